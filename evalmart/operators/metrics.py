@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.numeric import display_percent, ratio, wilson
+from evalmart.schemas import CONDITION_ALIASES
 
 # Error types that count as an error rather than a failed attempt.
 ERROR_TYPES = ("api_error", "no_code", "no_task_dir", "no_test_script", "missing_gene", "prompt_build_error")
@@ -78,6 +79,12 @@ def add_cost(df: DataFrame, prices: DataFrame, model: str = "model") -> DataFram
     return df.join(prices, model, "left").withColumn("cost_usd", cost).drop("input_price", "output_price")
 
 
+def normalize_condition(name: Column) -> Column:
+    """Full condition name from its short spelling; other names stay."""
+    aliases = F.create_map(*[F.lit(part) for pair in CONDITION_ALIASES.items() for part in pair])
+    return F.coalesce(F.element_at(aliases, name), name)
+
+
 def classify_status(passed: Column, error_type: Column) -> Column:
     error = F.coalesce(error_type, F.lit(""))
     return (
