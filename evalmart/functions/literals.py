@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from evalmart.functions.text import lines_of, strip
+from evalmart.functions.text import bind, lines_of, strip
 
 # Patterns of literals.
 NUMBER = r"(?U)-?\d+(?:\.\d+)?"
@@ -114,11 +114,11 @@ def _basename(path: Column) -> Column:
 def public_tokens(text: Column) -> Column:
     """Literals a reader of the public text can see: quoted, bare structured, and their path and name variants."""
     bare = F.filter(F.transform(_all(text, BARE_STRUCTURED), _public_form), _is_public_token)
-    stems = F.filter(
-        F.transform(F.filter(bare, lambda t: F.contains(t, F.lit(".")) & ~is_number(t)), lambda t: _stem(_basename(t))),
-        _is_public_token)
     percent = F.when(text.rlike(r"(?iU)%|\bpercent(?:age)?\b"), F.array(F.lit("100"))).otherwise(F.array().cast("array<string>"))
-    seen = F.array_distinct(F.concat(hard_literals(text), percent, bare, stems))
+    named = bind(bare, lambda b: F.concat(b, F.filter(
+        F.transform(F.filter(b, lambda t: F.contains(t, F.lit(".")) & ~is_number(t)), lambda t: _stem(_basename(t))),
+        _is_public_token)))
+    seen = F.array_distinct(F.concat(hard_literals(text), percent, named))
 
     def variants(token: Column) -> Column:
         cleaned = F.regexp_replace(token, r"^[./]+", "")
@@ -126,8 +126,8 @@ def public_tokens(text: Column) -> Column:
         dotted = F.contains(base, F.lit(".")) & ~is_number(base)
         return F.array_compact(F.array(F.nullif(cleaned, F.lit("")), F.nullif(base, F.lit("")), F.when(dotted, _stem(base))))
 
-    more = F.filter(F.transform(F.flatten(F.transform(seen, variants)), _public_form), _is_public_token)
-    return F.array_distinct(F.concat(seen, more))
+    return bind(seen, lambda a: F.array_distinct(F.concat(
+        a, F.filter(F.transform(F.flatten(F.transform(a, variants)), _public_form), _is_public_token))))
 
 
 def private_vocab(hidden: Column, public: Column) -> Column:

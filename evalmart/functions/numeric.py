@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from evalmart.functions.text import bind
+
 # The 95 % normal quantile and the base of the comparison seeds.
 Z95 = 1.959963984540054
 SEED_BASE = 20260718
@@ -36,8 +38,7 @@ def normalize_digits(text: Column) -> Column:
 
 def missing_constants(text: Column, constants: Column) -> Column:
     """The constants (text array) that the text does not state, digits normalised."""
-    plain = normalize_digits(text)
-    return F.filter(constants, lambda c: ~F.contains(plain, normalize_digits(c)))
+    return bind(normalize_digits(text), lambda plain: F.filter(constants, lambda c: ~F.contains(plain, normalize_digits(c))))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from evalmart.functions.literals import is_number, longest_first
 from evalmart.functions.text import (
-    NUMERIC_BOUNDARIES, WORD_BOUNDARY, alnum_count, bounded_pattern, escape_regex, has_letter, lines_of, rstrip, strip,
+    NUMERIC_BOUNDARIES, WORD_BOUNDARY, alnum_count, bind, bind_all, bounded_pattern, escape_regex, has_letter, last_items,
+    lines_of, rstrip, strip,
 )
 
 # Secret shapes and their replacement, in the order of application.
@@ -66,6 +67,10 @@ NO_ATTEMPT = "(text response redacted: ANSWER/ANALYSIS removed)"
 
 def safe_url(url: Column) -> Column:
     """URL without user, query and fragment; a sensitive path is masked, trailing punctuation kept."""
+    return bind(url, _safe_url)
+
+
+def _safe_url(url: Column) -> Column:
     trailing = F.regexp_extract(url, r"([.,;)\]}]*)$", 1)
     core = F.substr(url, F.lit(1), F.length(url) - F.length(trailing))
     pattern = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
@@ -106,18 +111,20 @@ def redact_exact(text: Column, secrets: Sequence[str]) -> Column:
 
 def redact_secrets(text: Column, exact: Sequence[str] = ()) -> Column:
     """Known secrets first, then URLs, bearer values, quoted and bare key values, common token shapes."""
-    text = redact_exact(text, exact)
-    urls = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), safe_url)
-    between = F.split(text, URL)
-    # one piece more than URLs: the last piece has no URL after it
-    joined = F.array_join(F.zip_with(between, urls, lambda p, u: F.concat(F.coalesce(p, F.lit("")), F.coalesce(u, F.lit("")))), "")
-    text = F.when(F.size(urls) > 0, joined).otherwise(text)
+    text = bind(redact_exact(text, exact), _mask_urls)
     text = F.regexp_replace(text, BEARER, "$1 " + MASK)
     text = F.regexp_replace(text, QUOTED_SECRET, "$1$2" + MASK + "$2")
     text = F.regexp_replace(text, BARE_SECRET, "$1" + MASK)
     return F.regexp_replace(text, TOKEN_SHAPES, MASK)
 
 
+def _mask_urls(text: Column) -> Column:
+    urls = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), _safe_url)
+    # one piece more than URLs: the last piece has no URL after it
+    pieces = F.zip_with(F.split(text, URL), urls, lambda p, u: F.concat(F.coalesce(p, F.lit("")), F.coalesce(u, F.lit(""))))
+    return F.when(F.contains(text, F.lit("://")), F.array_join(pieces, "")).otherwise(text)
+
+
 def literal_replacement(token: Column) -> Column:
     return (
         F.when(is_number(token), LITERAL_NUMBER).when(token.rlike(r"[/\\.]"), LITERAL_PATH)
@@ -139,7 +146,8 @@ def redact_literals(text: Column, tokens: Column, max_len: int | None = None) ->
     out = F.aggregate(longest_first(tokens), text, lambda t, k: replace_token(t, k, literal_replacement(k)))
     if max_len is None:
         return out
-    return F.when(F.length(out) > max_len, F.concat(rstrip(F.left(out, F.lit(max_len - 3))), F.lit("..."))).otherwise(out)
+    return bind(out, lambda t: F.when(
+        F.length(t) > max_len, F.concat(rstrip(F.left(t, F.lit(max_len - 3))), F.lit("..."))).otherwise(t))
 
 
 def redact_options(text: Column, options: Column, mask: str = "<answer_option>") -> Column:
@@ -186,9 +194,7 @@ def sanitize_verdict_tail(text: Column, n: int = 24) -> Column:
     """Last lines of a log without verdict lines, absolute paths masked."""
     kept = F.filter(lines_of(text), lambda line: ~line.rlike(VERDICT_LINE) & ~F.contains(F.lower(line), F.lit("short test summary info")))
     clean = F.filter(F.transform(kept, lambda line: strip(F.regexp_replace(line, ABSOLUTE_PATH, "<path>"))), lambda line: line != "")
-    size = F.size(clean)
-    tail = F.when(size > n, F.slice(clean, -n, n)).otherwise(clean)
-    return F.array_join(tail, "\n")
+    return F.array_join(last_items(clean, n), "\n")
 
 
 # Lines of a sanitised skill text.
@@ -214,21 +220,22 @@ def sanitize_skill(text: Column, options: Column, vocab: Column) -> Column:
 
     marked = F.aggregate(lines, seed, carry, lambda s: s["out"])
 
-    def redact(line: Column) -> Column:
-        loose = F.aggregate(longest_first(options), line, lambda t, o: _skill_token(t, o, "[ANSWER_OPTION]"))
-        return F.aggregate(longest_first(vocab), loose, lambda t, v: _skill_token(t, v, "[PRIVATE_LITERAL]"))
+    def redact(line: Column, masks: Column) -> Column:
+        loose = F.aggregate(masks["options"], line, lambda t, o: _skill_token(t, o, "[ANSWER_OPTION]"))
+        return F.aggregate(masks["vocab"], loose, lambda t, v: _skill_token(t, v, "[PRIVATE_LITERAL]"))
 
-    def one(item: Column) -> Column:
+    def one(item: Column, masks: Column) -> Column:
         line, low = item["line"], F.lower(item["line"])
         return (
             F.when(item["head"], line)
             .when(F.contains(low, F.lit("hidden convention")) | F.contains(low, F.lit("hidden behavior")), SKILL_HIDDEN)
             .when(line.rlike(r"(?i)\*\*action\*\*\s*:"), SKILL_ACTION)
             .when(item["section"].startswith("decision procedure") & low.rlike("emit |output |return "), SKILL_OUTPUT)
-            .otherwise(redact(line))
+            .otherwise(redact(line, masks))
         )
 
-    return strip(F.array_join(F.transform(marked, one), "\n"))
+    masks = {"options": longest_first(options), "vocab": longest_first(vocab)}
+    return strip(F.array_join(bind_all(masks, lambda m: F.transform(marked, lambda item: one(item, m))), "\n"))
 
 
 def _skill_token(text: Column, token: Column, mask: str) -> Column:

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Line ends as a Unicode-aware splitter sees them.
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once. Inside a lambda, any other outer expression is computed per element."""
+    return F.get(F.transform(F.array(value), lambda x: fn(x)), F.lit(0))
+
+
+def bind_all(values: dict[str, Column], fn: Callable[[Column], Column]) -> Column:
+    """``bind`` for several values; ``fn`` gets a struct of them."""
+    return bind(F.struct(*[v.alias(k) for k, v in values.items()]), fn)
+
+
 def lines_of(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+    body = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(body)
 
 
 def strip(text: Column) -> Column:
@@ -24,9 +35,11 @@ def rstrip(text: Column) -> Column:
 
 
 def tail_lines(text: Column, n: int) -> Column:
-    lines = lines_of(text)
-    keep = F.least(F.size(lines), F.lit(n))
-    return F.array_join(F.when(keep > 0, F.slice(lines, -keep, keep)).otherwise(lines), "\n")
+    return F.array_join(last_items(lines_of(text), n), "\n")
+
+
+def last_items(items: Column, n: int) -> Column:
+    return bind(items, lambda a: F.when(F.size(a) > n, F.slice(a, -n, n)).otherwise(a))
 
 
 def head_lines(text: Column, n: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.literals import answer_options, hard_literals, is_number, private_vocab, public_tokens, task_tokens
-from evalmart.functions.text import NUMERIC_BOUNDARIES, WORD_BOUNDARY, alnum_count, any_glob, bounded_pattern, holds_token, lines_of, strip
+from evalmart.functions.text import NUMERIC_BOUNDARIES, WORD_BOUNDARY, alnum_count, any_glob, bind, bounded_pattern, holds_token, lines_of, strip
 from evalmart.sources.documents import csv_cells
 
 
@@ -47,7 +47,7 @@ def find_option_leaks(texts: DataFrame, options: DataFrame) -> DataFrame:
 def find_token_leaks(texts: DataFrame, tasks: DataFrame) -> DataFrame:
     """(task_id, loc, token) of task names (snake case, flags, files) that a text holds as plain substring."""
     rows = texts.join(tasks.select("task_id", task_tokens(F.col("task_text")).alias("tokens")), "task_id")
-    found = F.filter("tokens", lambda t: F.contains(F.lower(F.col("text")), t))
+    found = bind(F.lower("text"), lambda low: F.filter("tokens", lambda t: F.contains(low, t)))
     return rows.select("task_id", "loc", F.explode(found).alias("token")).distinct()
 
 
@@ -104,13 +104,14 @@ def gold_literals(df: DataFrame, key: str, text: str, public: str, include_numbe
 
     raw = df.withColumn("_t", strip(F.coalesce(text, F.lit("")))).filter("_t <> ''")
     is_json = F.try_parse_json("_t").isNotNull()
-    lines = lines_of(F.col("_t"))
-    is_csv = F.contains(F.get(lines, F.lit(0)), F.lit(",")) & (F.size(lines) > 1)
     leaves = scalar_leaves(raw.filter(is_json), key, "_t", depth).select(key, F.col("value").alias("literal"))
-    # blank lines are no records
-    records = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: line != "")
-    cells = F.when(is_csv, F.flatten(F.transform(records, csv_cells))).otherwise(lines)
-    plain = raw.filter(~is_json).select(key, F.explode(cells).alias("literal"))
+
+    def values(lines: Column) -> Column:
+        is_csv = F.contains(F.get(lines, F.lit(0)), F.lit(",")) & (F.size(lines) > 1)
+        records = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: line != "")  # blank lines are no records
+        return F.when(is_csv, F.flatten(F.transform(records, csv_cells))).otherwise(lines)
+
+    plain = raw.filter(~is_json).select(key, F.explode(bind(lines_of(F.col("_t")), values)).alias("literal"))
     found = leaves.unionByName(plain).withColumn("literal", strip(F.col("literal")))
     keep = (F.length("literal").between(1, 500)) & (alnum_count(F.col("literal")) >= 2)
     if not include_numbers:
