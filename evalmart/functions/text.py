@@ -113,7 +113,13 @@ def any_glob(path: Column, patterns: list[str]) -> Column:
 
 
 def is_safe_relpath(path: Column) -> Column:
-    """Not empty, not absolute, no empty, dot or dot-dot part."""
+    """Not empty, not absolute, no dot-dot part. Empty and dot parts only need normalising."""
     plain = F.replace(path, F.lit("\\"), F.lit("/"))
-    bad = F.exists(F.split(plain, "/"), lambda part: part.isin("", ".", ".."))
-    return F.coalesce((plain != "") & ~bad, F.lit(False))
+    climbs = F.array_contains(F.split(plain, "/"), "..")
+    return F.coalesce((plain != "") & ~plain.startswith("/") & ~climbs, F.lit(False))
+
+
+def normal_relpath(path: Column) -> Column:
+    """Path with forward slashes and without empty and dot parts."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    return F.array_join(F.filter(parts, lambda p: ~p.isin("", ".")), "/")
