@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def content_sha256(value: Column) -> Column:
@@ -16,7 +16,7 @@ def content_sha1(value: Column) -> Column:
     return F.sha1(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_exact(values: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
@@ -45,7 +45,7 @@ def content_id(text: Column, exact: bool = False) -> Column:
     return F.concat(F.lit("sha256:"), stable_digest(text, exact))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_json_object(lines: pd.Series) -> pd.Series:
     """True when the whole line is one JSON object; trailing bytes make it false."""
 

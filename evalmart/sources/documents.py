@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from evalmart.functions.hashing import is_json_object
 from evalmart.functions.text import lines_of
 from evalmart.schemas import METRICS, TASK
+from evalmart.sources.files import read_files, walk_files
 
 try:
     import yaml
@@ -52,16 +53,11 @@ def join_task_text(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def read_task_text(spark: SparkSession, root: str, tasks: DataFrame, defaults: Mapping[str, str]) -> DataFrame:
-    raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    texts = raw.select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.make_valid_utf8("value").alias("text"))
-    return join_task_text(manifest_files(tasks, defaults), texts)
-
-
-def relative_path(uri: Column, root: str) -> Column:
-    """Path below ``root`` from a file URI."""
-    plain = root.rstrip("/")
-    cut = F.instr(uri, plain) + len(plain) + 1
-    return F.substr(uri, cut, F.length(uri))
+    """Texts of the manifest's files; only files that a task names are opened."""
+    wanted = manifest_files(tasks, defaults)
+    files = walk_files(spark, root).join(wanted.select("path").distinct(), "path", "left_semi")
+    texts = read_files(files, root, keep_content=True).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return join_task_text(wanted, texts)
 
 
 def parse_scenario(df: DataFrame, text: str = "text", keys: Sequence[str] = ("name", "answer_format")) -> DataFrame:

@@ -20,8 +20,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def flag_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines with ``ok``: valid UTF-8 and exactly one JSON object."""
     kept = lines.filter(~F.coalesce(F.make_valid_utf8("value"), F.lit("")).rlike(r"^\s*$"))
-    readable = F.is_valid_utf8("value")
-    return kept.withColumn("value", F.make_valid_utf8("value")).withColumn("_utf8", readable).withColumn(
+    return kept.withColumn("_utf8", F.is_valid_utf8("value")).withColumn("value", F.make_valid_utf8("value")).withColumn(
         "ok", is_json_object(F.col("value"))
     )
 
