@@ -579,8 +579,8 @@ def fn19_extract_code(spark, d):
     text = F.concat(F.col("text"), F.lit("\n```"), F.when(turn % 2 == 0, "python").otherwise(""), F.lit("\n"),
                     F.when(turn % 2 == 0, F.concat(F.lit("x = "), F.col("conv_id").cast("string"), F.lit("\n```\n```python\nthis is not ( code at all\n```"))).when(
                         F.col("role") == "user", "def broken(:\n```").otherwise("pass\n```\n```\npass  # longest one\n```"))
-    rows = A.table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("id"), F.regexp_replace(text, "`{4,}", "").alias("reply"))
-    return GR.extract_code(rows, "id", "reply").select("conv_id", "turn", "code")
+    rows = A.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(text, "`{4,}", "").alias("reply"))
+    return GR.extract_code(rows, "reply").select("conv_id", "turn", "code")
 
 
 @query("fn20_extract_json", sql="SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE props END AS found FROM events")

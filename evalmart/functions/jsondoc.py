@@ -117,28 +117,26 @@ def payload_strings(payload: Column) -> Column:
 
 
 def scalar_leaves(df: DataFrame, key: str, json_text: str, depth: int = 8) -> DataFrame:
-    """Scalar leaves of documents with their path: one generator per level, no recursion in Python.
+    """Scalar leaves of documents with their path: one chain of generators, each opening one level.
 
     Containers below ``depth`` come out with ``deeper`` set, so nothing is lost unseen.
     """
-    spark = df.sparkSession
-    level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(json_text).alias("v"))
-    found = None
-    for step in range(depth + 1):
-        shape = F.schema_of_variant("v")
-        container = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-        leaves = level.filter(~container & (shape != "VOID")).select(
-            key, "path", F.variant_get("v", "$", "string").alias("value"), F.lit(False).alias("deeper"))
-        if step == depth:
-            leaves = leaves.unionByName(level.filter(container).select(
-                key, "path", F.to_json("v").alias("value"), F.lit(True).alias("deeper")))
-        found = leaves if found is None else found.unionByName(leaves)
-        if step < depth:
-            inner = level.filter(container).alias("o").lateralJoin(
-                spark.tvf.variant_explode(F.col("o.v").outer()).alias("i"))
-            part = F.coalesce(F.concat(F.lit("."), F.col("i.key")), F.concat(F.lit("["), F.col("i.pos").cast("string"), F.lit("]")))
-            level = inner.select(F.col(f"o.{key}").alias(key), F.concat(F.col("o.path"), part).alias("path"), F.col("i.value").alias("v"))
-    return found
+    def is_container(v: Column, kind: str) -> Column:
+        return F.schema_of_variant(v).startswith(kind)
+
+    level = df.select(key, F.struct(F.lit("$").alias("path"), F.try_parse_json(json_text).alias("v")).alias("_n"))
+    path, v = F.col("_n.path"), F.col("_n.v")
+    for _ in range(depth):
+        members = F.transform(F.map_entries(v.cast("map<string,variant>")), lambda e: F.struct(
+            F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
+        items = F.transform(v.cast("array<variant>"), lambda x, i: F.struct(
+            F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
+        inner = F.when(is_container(v, "OBJECT"), members).when(is_container(v, "ARRAY"), items).otherwise(F.array("_n"))
+        level = level.select(key, F.explode(inner).alias("_n"))
+    shape = F.schema_of_variant(v)
+    deeper = shape.startswith("OBJECT") | shape.startswith("ARRAY")
+    return level.filter(v.isNotNull() & (shape != "VOID")).select(
+        key, path.alias("path"), F.when(deeper, F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string")).alias("value"), deeper.alias("deeper"))
 
 
 def json_shape(json_text: Column) -> Column:

@@ -13,7 +13,7 @@ QUOTED_LONG = r"""['"]([^'"]{2,80})['"]"""
 QUOTED_SKILL = r"""['"]([^'"]{2,64})['"]"""
 CODE_SPAN = r"(?<!`)`([^`\n]{2,80})`(?!`)"
 FLAG = r"--[a-z][a-z0-9_-]*[a-z0-9]"
-BARE_STRUCTURED = r"(?<![A-Za-z0-9_./\\-])[A-Za-z0-9][A-Za-z0-9_./\\-]{1,80}(?![A-Za-z0-9_./\\-])"
+BARE_STRUCTURED = r"(?<![A-Za-z0-9_./\\-])(?=[A-Za-z0-9-]*[0-9_./\\])[A-Za-z0-9][A-Za-z0-9_./\\-]{1,80}(?![A-Za-z0-9_./\\-])"
 ONE_OF = r"(?i)ANSWER:\s*<one of:\s*([^>\n]+)>"
 SNAKE = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
 FILE_NAME = r"\b([a-z][a-z0-9_-]*\.(?:py|h5|hdf5|csv|tsv|json|jsonl|yaml|yml|nc|mat|pdf|pptx|xlsx))\b"

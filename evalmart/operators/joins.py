@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.hashing import canonical_json
+from evalmart.operators.prefix import RANK_LIMIT, first_n, running_count
 
 SMALL_SIDE_LIMIT = 10_000
 
@@ -362,9 +363,11 @@ def unscanned_paths(walked: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def stop_index(df: DataFrame, group: str, order: str, success: Column, n: int) -> DataFrame:
     """Order key at which each group reaches its n-th success (null if never)."""
-    w = Window.partitionBy(group).orderBy(order)
-    # row_number <= n is applied in every task before the shuffle
-    hits = df.filter(success).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    found = df.filter(success)
+    if n <= RANK_LIMIT:
+        hits = first_n(found, [group], [order], n, "_r")
+    else:
+        hits = running_count(found, [group], order, "_r").filter(F.col("_r") <= n)
     return hits.groupBy(group).agg(F.max(F.when(F.col("_r") == n, F.col(order))).alias("filled_at"))
 
 

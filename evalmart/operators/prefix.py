@@ -78,6 +78,9 @@ def ordered_rank(
     return placed.drop("_at", "_part", "_offset")
 
 
+RANK_LIMIT = 1000  # up to here the optimizer applies a rank limit in each task before the shuffle
+
+
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per group; the rank limit is applied in each task before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -92,11 +95,3 @@ def preview_ids(df: DataFrame, group: Sequence[str], id_col: str, n: int) -> Dat
         F.array_join(F.sort_array(F.collect_list(id_col)), ",").alias("preview")
     )
     return counts.join(head, list(group)).withColumn("more", F.greatest(F.col("n_ids") - n, F.lit(0)))
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_on: Column, salts: int = 16,
-                how: str = "inner") -> DataFrame:
-    """Join whose left side may hold one key in a third of its rows; ``right`` is the small, key-unique side."""
-    lhs = left.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-    rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.numeric import seeded_digest
-from evalmart.operators.prefix import DEFAULT_WIDTH, first_n, ordered_rank, running_count, running_total
+from evalmart.operators.prefix import (
+    DEFAULT_WIDTH, RANK_LIMIT, first_n, ordered_rank, running_count, running_count_by_digest, running_total,
+)
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
@@ -16,11 +18,16 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 
 
 def cap_per_group(df: DataFrame, group: str, id_col: str, k: int, seed: int) -> DataFrame:
-    """Up to k rows per group in seeded order; 0 takes all. The cap is applied before the shuffle."""
+    """Up to k rows per group in seeded order; 0 takes all.
+
+    A small cap is applied in each task before the shuffle; a large one by ranks over digest chunks.
+    """
     if k <= 0:
         return df
     rows = df.withColumn("_d", seeded_digest(seed, F.col(id_col)))
-    return first_n(rows, [group], ["_d", id_col], k, "_r").drop("_d", "_r")
+    if k <= RANK_LIMIT:
+        return first_n(rows, [group], ["_d", id_col], k, "_r").drop("_d", "_r")
+    return running_count_by_digest(rows, [group], "_d", "_r").filter(F.col("_r") <= k).drop("_d", "_r")
 
 
 def assign_ids(df: DataFrame, group: str, order: Sequence[str], prefixes: Column, width: int = 4) -> DataFrame:

@@ -41,6 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="evalmart-checkpoint-")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input with fewer partitions than the session has cores is dealt out before costly work on its texts.
+
+    One large row group cannot be split by the scan. A read of many files comes back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later passes read the same rows in the same partitions."""
     spark = df.sparkSession

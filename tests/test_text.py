@@ -153,7 +153,7 @@ def test_canonical_answers(spark, raw, fmt, value, error):
 def test_code_extraction(spark, rows):
     texts = [("a", "```python\nx = 1\n```\n```python\nx = 1\ny = 2\n```"), ("b", "```\nnot code (\n```"), ("c", "none"), ("d", "```python\nbad (\n```\n```python\nok = 1\n```")]
     df = spark.createDataFrame(texts, "id string, t string")
-    assert {r.id: r.code for r in GR.extract_code(df, "id", "t").collect()} == {"a": "x = 1\ny = 2", "b": "not code (", "c": "", "d": "ok = 1"}
+    assert {r.id: r.code for r in GR.extract_code(df, "t").collect()} == {"a": "x = 1\ny = 2", "b": "not code (", "c": "", "d": "ok = 1"}
     assert one(spark, GR.strip_fence(F.col("t")), t="```md\nhello\n```") == "hello"
 
 
