@@ -10,12 +10,16 @@ from evalmart.functions import numeric as N
 from evalmart.operators import latest as L, metrics as M, paired as P, subsets as S
 
 
-def latest(spark, d):
-    return L.latest_by_key(A.trials(spark, d))
+def latest(spark, d, *columns):
+    return L.latest_by_key(A.trials(spark, d), columns=columns or None)
+
+
+OUTCOME = ("model", "condition", "task_id", "family", "passed")
+TOKENS = ("input_tokens", "output_tokens", "thoughts_tokens")
 
 
 def metric_rows(spark, d):
-    return latest(spark, d).withColumn(
+    return latest(spark, d, *OUTCOME, *TOKENS).withColumn(
         "total_tokens", F.col("input_tokens") + F.col("output_tokens") + F.col("thoughts_tokens"))
 
 
@@ -80,7 +84,7 @@ mem AS (SELECT task_id, coalesce(max(CASE WHEN subset='evolved' THEN subset END)
   FROM subsets GROUP BY task_id)
 SELECT trial_key, latest.task_id, subset, subset_memberships FROM latest JOIN mem ON latest.task_id = mem.task_id""")
 def prj7_membership(spark, d):
-    return S.add_membership(latest(spark, d).select("trial_key", "task_id"), subsets(spark, d))
+    return S.add_membership(latest(spark, d, "task_id"), subsets(spark, d))
 
 
 @query("ag1_headline", "trials latest", f""", {SUBSETS_SQL}, {METRICS_SQL},
@@ -100,7 +104,7 @@ def ag2_tracks(spark, d):
 
 
 def summary_rows(spark, d):
-    return latest(spark, d).select(
+    return latest(spark, d, "seq", "error_type", *OUTCOME, *TOKENS).select(
         "model", "condition", "family", F.concat(F.lit("s"), (F.col("seq") % 5).cast("string")).alias("source"),
         "error_type", "passed", (F.col("output_tokens") / 100).alias("pass_rate"),
         F.when(F.col("error_type") != "api_error", F.col("input_tokens") / 1000).alias("agg_score"))
@@ -135,7 +139,7 @@ def prj3_cost(spark, d):
 @query("prj8_status", "trials latest", """
 SELECT trial_key, CASE WHEN passed = 1 THEN 'pass' WHEN error_type = 'api_error' THEN 'error' ELSE 'fail' END AS status FROM latest""")
 def prj8_status(spark, d):
-    return latest(spark, d).select(
+    return latest(spark, d, "passed", "error_type").select(
         "trial_key", M.classify_status(F.col("passed") == 1, F.col("error_type")).alias("status"))
 
 
@@ -149,7 +153,7 @@ SELECT CASE WHEN gm = 0 THEN 'model_condition' WHEN gc = 0 THEN 'condition' ELSE
   CASE WHEN gm = 0 THEN concat_ws('::', model, condition) WHEN gc = 0 THEN condition ELSE family END AS bucket,
   n_pass, n_fail, n_error, n_skip, CAST(cost_usd AS DOUBLE) AS cost_usd FROM g""")
 def ag4_status_summary(spark, d):
-    rows = M.add_cost(latest(spark, d), prices(spark)).withColumn(
+    rows = M.add_cost(latest(spark, d, "error_type", *OUTCOME, *TOKENS), prices(spark)).withColumn(
         "status", M.classify_status(F.col("passed") == 1, F.col("error_type")))
     return M.status_summary(rows).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
@@ -186,7 +190,7 @@ SELECT g.model, g.condition, count(l.trial_key) AS n, any_value(expected) AS exp
 FROM g CROSS JOIN t LEFT JOIN latest l ON l.model = g.model AND l.condition = g.condition GROUP BY ALL HAVING count(l.trial_key) <> any_value(expected)""")
 def ag7_grid(spark, d):
     log = A.trials(spark, d)
-    counts = M.check_grid(latest(spark, d), log, log, -1).drop("expected")
+    counts = M.check_grid(latest(spark, d, *OUTCOME), log, log, -1).drop("expected")
     expected = log.agg(F.count_distinct("task_id").alias("expected"))
     return counts.crossJoin(F.broadcast(expected)).filter("n <> expected")  # one row
 
@@ -281,7 +285,7 @@ shared AS (SELECT model, family, task_id, """ + ", ".join(
 
 @query("jn5_common_tasks", "trials latest", f", {SHARED_SQL} SELECT * FROM shared")
 def jn5_common_tasks(spark, d):
-    return P.common_tasks(latest(spark, d), CONDITIONS)
+    return P.common_tasks(latest(spark, d, *OUTCOME), CONDITIONS)
 
 
 @query("ag12_compare", "trials latest", f""", {SHARED_SQL},
@@ -289,14 +293,14 @@ g AS (SELECT model, family, count(*) AS n, {', '.join(f'sum({c}) AS {c}' for c i
 SELECT model, coalesce(family, 'ALL') AS family, n, {', '.join(f'round(100 * ({c} / n), 6) AS pct_{c}' for c in CONDITIONS)},
   {', '.join(f'round(100 * ({c} / n) - 100 * (no_context / n), 6) AS delta_{c}' for c in CONDITIONS[1:])} FROM g""")
 def ag12_compare(spark, d):
-    return M.compare_conditions(P.common_tasks(latest(spark, d), CONDITIONS), CONDITIONS, "no_context")
+    return M.compare_conditions(P.common_tasks(latest(spark, d, *OUTCOME), CONDITIONS), CONDITIONS, "no_context")
 
 
 @query("ag13_churn", "trials latest", f""", {SHARED_SQL}
 SELECT model, count(*) FILTER (no_context = 0 AND with_asset_a = 1) AS fail_to_pass, count(*) FILTER (no_context = 1 AND with_asset_a = 0) AS pass_to_fail,
   count(*) FILTER (no_context = 0 AND with_asset_a = 1) - count(*) FILTER (no_context = 1 AND with_asset_a = 0) AS net FROM shared GROUP BY model""")
 def ag13_churn(spark, d):
-    return M.churn(P.common_tasks(latest(spark, d), CONDITIONS), "no_context", "with_asset_a")
+    return M.churn(P.common_tasks(latest(spark, d, *OUTCOME), CONDITIONS), "no_context", "with_asset_a")
 
 
 COMPARISONS = [("full", "with_asset_a", "with_skill"), ("evolved", "with_asset_a", "with_skill"),
@@ -323,7 +327,7 @@ ci AS (SELECT {keys}, round(quantile_cont(mean, 0.025), 6) AS low_pp, round(quan
 
 @query("jn4_pairs", "trials latest", f", {PAIRS_SQL} SELECT * FROM pairs")
 def jn4_pairs(spark, d):
-    return P.pair_outcomes(latest(spark, d), subsets(spark, d), COMPARISONS)
+    return P.pair_outcomes(latest(spark, d, *OUTCOME), subsets(spark, d), COMPARISONS)
 
 
 @query("jn4_incomplete", "trials latest", f""", {PAIRS_SQL},
@@ -332,7 +336,7 @@ SELECT subset, treatment, comparator, model, complete, expected FROM (SELECT sub
   count(*) FILTER (t IS NOT NULL AND c IS NOT NULL) AS complete FROM pairs GROUP BY ALL) JOIN sz USING (subset) WHERE complete <> expected""")
 def jn4_incomplete(spark, d):
     s = subsets(spark, d)
-    return P.incomplete_pairs(P.pair_outcomes(latest(spark, d), s, COMPARISONS), s)
+    return P.incomplete_pairs(P.pair_outcomes(latest(spark, d, *OUTCOME), s, COMPARISONS), s)
 
 
 @query("st6_paired_tests", "trials latest", f""", {PAIRS_SQL}, {BOOT_SQL.format(keys='subset, treatment, comparator, model')}
@@ -342,12 +346,12 @@ SELECT subset, treatment, comparator, model, n, treatment_passed, comparator_pas
   round({MCNEMAR_SQL.format(b='treatment_only', c='comparator_only')}, 8) AS mcnemar_p, seed
 FROM counts JOIN ci USING (subset, treatment, comparator, model)""")
 def st6_paired_tests(spark, d):
-    return P.paired_tests(latest(spark, d), subsets(spark, d), COMPARISONS, exact_draws=True)
+    return P.paired_tests(latest(spark, d, *OUTCOME), subsets(spark, d), COMPARISONS, exact_draws=True)
 
 
 @query("st6_paired_tests_scale")
 def st6_paired_tests_scale(spark, d):
-    return P.paired_tests(latest(spark, d), subsets(spark, d), COMPARISONS)
+    return P.paired_tests(latest(spark, d, *OUTCOME), subsets(spark, d), COMPARISONS)
 
 
 def label_counts(spark, d):
@@ -398,7 +402,7 @@ def st5_seed(spark, d):
 @query("st1_wilson", "trials latest", f""",
 g AS (SELECT family, count(*) AS n, sum(passed) AS passed FROM latest GROUP BY family) SELECT family, n, passed, {RATE_SQL} FROM g""")
 def st1_wilson(spark, d):
-    g = latest(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("passed").alias("passed"))
+    g = latest(spark, d, *OUTCOME).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("passed").alias("passed"))
     return g.select("family", "n", "passed", *M._rate_columns())
 
 

@@ -58,7 +58,7 @@ calv AS (SELECT *, CASE WHEN n_solved = 0 THEN '0_of_3_hard_no_solve' WHEN n_sol
 
 
 def calibrated(spark, d):
-    return CU.calibrate(latest(spark, d).filter("condition = 'no_context'").select("task_id", "family", F.col("passed").alias("solved")), 3)
+    return CU.calibrate(latest(spark, d, "condition", "task_id", "family", "passed").filter("condition = 'no_context'").select("task_id", "family", F.col("passed").alias("solved")), 3)
 
 
 @query("ag17_calibrate", "trials latest", f", {CAL_SQL} SELECT * FROM calv")
@@ -149,7 +149,7 @@ def so3_task_order(spark, d):
 @query("so1_report_order", "trials latest", """
 SELECT trial_key, row_number() OVER (ORDER BY CASE model WHEN 'm2' THEN 1 WHEN 'm0' THEN 2 ELSE 3 END, CASE condition WHEN 'with_skill' THEN 1 ELSE 2 END, task_id, trial_key) AS at FROM latest""")
 def so1_report_order(spark, d):
-    rows = latest(spark, d).select("trial_key", "model", "condition", "task_id")
+    rows = latest(spark, d, "model", "condition", "task_id")
     rank = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0)), F.lit(len(names) + 1))
     keyed = rows.withColumn("_m", rank("model", ["m2", "m0"])).withColumn("_c", rank("condition", ["with_skill"]))
     return X.ordered_rank(keyed, [], ["_m", "_c", "task_id", "trial_key"], "at").select("trial_key", "at")

@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def latest_by_key(df: DataFrame, key: str = "trial_key", seq: str = "seq", on_missing: str = "skip") -> DataFrame:
+def latest_by_key(df: DataFrame, key: str = "trial_key", seq: str = "seq", on_missing: str = "skip",
+                  columns: Sequence[str] | None = None) -> DataFrame:
     """Record with the highest ordinal per key.
 
+    ``columns`` are the fields to keep besides the key: the aggregate carries whole records, so fields that are
+    not named here are not read and not shuffled.
+
     One ``max_by`` aggregate: combined in each task first, so a hot key costs one row per task, and no sort of
     its records. ``on_missing="fail"`` raises inside the job on a record without key.
     """
@@ -18,9 +22,10 @@ def latest_by_key(df: DataFrame, key: str = "trial_key", seq: str = "seq", on_mi
                            .otherwise(F.col(key)))
     else:
         df = df.filter(F.coalesce(F.col(key), F.lit("")) != "")
-    others = [c for c in df.columns if c != key]
+    others = [c for c in (columns if columns is not None else df.columns) if c != key]
+    order = df.columns if columns is None else [key, *others]
     picked = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_row"))
-    return picked.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns])
+    return picked.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in order])
 
 
 def dedup_keep_last(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
