@@ -110,6 +110,13 @@ def prj12_ignored(spark, d):
     return A.table(spark, d, "part").select("p_partkey", FI.is_ignored(path).alias("ignored"))
 
 
+@query("prj12_layout_debris", sql="SELECT p_partkey, p_size % 5 <> 4 AS dropped FROM part")
+def prj12_layout_debris(spark, d):
+    m = F.col("p_size") % 5
+    path = F.concat(F.lit("a/"), F.when(m == 0, "_bad_solutions/x").when(m == 1, "_trace.json").when(m == 2, "_s5_attempt3.py").when(m == 3, "_design.json").otherwise("_s5_attempt3.txt"))
+    return A.table(spark, d, "part").select("p_partkey", FI.is_layout_debris(path).alias("dropped"))
+
+
 @query("wn7_cap", "tasks", """
 SELECT task_id, family FROM tasks QUALIFY row_number() OVER (PARTITION BY family ORDER BY sha256(concat_ws('|', '42', task_id)), task_id) <= 7""")
 def wn7_cap(spark, d):

@@ -669,3 +669,47 @@ def wn12_line_windows(spark, d):
 SELECT doc_id, list_reduce({lines_sql('text')}, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS line FROM documents WHERE len({lines_sql('text')}) > 0""")
 def so5_longest(spark, d):
     return A.table(spark, d, "documents").filter(F.size(TX.lines_of(F.col("text"))) > 0).select("doc_id", GR.longest(TX.lines_of(F.col("text"))).alias("line"))
+
+
+@query("fn13_outcome", sql=f"WITH {LOG_SQL} SELECT event_id, k + 1 AS n_pass, k % 3 AS n_fail, 1 AS n_error FROM lg")
+def fn13_outcome(spark, d):
+    return logs(spark, d).select("event_id", GR.pytest_outcome(F.col("pytest")).alias("o")).select("event_id", "o.n_pass", "o.n_fail", "o.n_error")
+
+
+@query("tx17_scenario_gates", sql="""
+SELECT p_partkey, CASE WHEN p_size > 45 THEN 'yaml_error' WHEN p_size > 40 THEN 'not_a_mapping' WHEN p_size > 30 THEN 'missing_keys' WHEN p_size % 3 = 0 THEN 'difficulty'
+  WHEN p_size % 2 = 0 THEN 'tags' ELSE 'pass' END AS code FROM part""")
+def tx17_scenario_gates(spark, d):
+    size = F.col("p_size")
+    body = F.concat(
+        F.lit("id: 1\nname: "), "p_name", F.lit("\ndomain: d\ndifficulty: "), F.when(size % 3 == 0, "extreme").otherwise("easy"),
+        F.when(size > 30, "").otherwise("\nsource: s"), F.lit("\ntags: "), F.when(size % 2 == 0, "[]").otherwise("[a, b]"), F.lit("\nrequired_packages: []\n"))
+    text = F.when(size > 45, "a: [b\nc: }").when(size > 40, "- a\n- b\n").otherwise(body)
+    rows = A.table(spark, d, "part").select("p_partkey", text.alias("text"))
+    return GA.scenario_gates(rows, "text").select("p_partkey", F.coalesce("code", F.lit("pass")).alias("code"))
+
+
+@query("tx17_unmentioned", sql="""
+SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brushed') OR contains(lower(p_type), 'copper') THEN '' ELSE 'the Brushed copper' END AS missing FROM part""")
+def tx17_unmentioned(spark, d):
+    operations = F.array(F.lit("the Brushed copper"), F.lit("a of it"))
+    return A.table(spark, d, "part").select("p_partkey", F.array_join(GA.unmentioned_operations(F.col("p_type"), operations), ",").alias("missing"))
+
+
+@query("tx27_script_excerpt", sql="""
+SELECT p_partkey, concat_ws(chr(10), 'import os', 'GOLD = <case/output literals redacted>', 'def check():', concat('    print("', p_name, '")'),
+  CASE WHEN p_size > 20 THEN '    x = candidate' END) AS excerpt FROM part""")
+def tx27_script_excerpt(spark, d):
+    code = F.concat(F.lit('import os\nGOLD = [\n "'), "p_type", F.lit('",\n]\n\ndef check():\n    y = 1\n    print("'), "p_name", F.lit('")\n'),
+                    F.when(F.col("p_size") > 20, "    x = candidate\n").otherwise("    z = 2\n"))
+    return A.table(spark, d, "part").select("p_partkey", GA.script_excerpt(code, 4000).alias("excerpt"))
+
+
+@query("tx8_python_gold", sql="""
+SELECT id, literal FROM (SELECT p_partkey AS id, p_brand AS pub, unnest([p_type, 'k' || p_size]) AS literal FROM part) WHERE NOT contains(lower(pub), lower(literal))
+UNION ALL SELECT p_partkey, 'shown' FROM part WHERE p_size > 25""")
+def tx8_python_gold(spark, d):
+    code = F.concat(F.lit("def f():\n    EXPECTED = {'a': '"), "p_type", F.lit("', 'b': [12, '"), "p_brand", F.lit("']}\nmy_answer = 'k"), F.col("p_size").cast("string"),
+                    F.lit("'\nother = 'nothing'\n"), F.when(F.col("p_size") > 25, "gold = ('shown', None)\n").otherwise("gold = f()\n"))
+    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), code.alias("code"), F.col("p_brand").alias("pub"))
+    return LK.python_gold_literals(rows, "id", "code", "pub")

@@ -121,6 +121,15 @@ def gold_literals(df: DataFrame, key: str, text: str, public: str, include_numbe
     return found.join(shown, key).filter(~F.contains(F.col("_public"), F.lower("literal"))).select(key, "literal")
 
 
+def python_gold_literals(df: DataFrame, key: str, code: str, public: str) -> DataFrame:
+    """(key, literal): values that code assigns to answer names, split like target texts."""
+    from evalmart.functions.gates import python_gold_values
+
+    values = df.withColumn("_v", F.explode(python_gold_values(code))).select(
+        F.struct(F.col(key).alias("k"), F.col("_v").alias("v")).alias("_id"), F.col("_v").alias("_text"), F.col(public).alias("_pub"))
+    return gold_literals(values.distinct(), "_id", "_text", "_pub").select(F.col("_id.k").alias(key), "literal").distinct()
+
+
 def scan_content(assets: DataFrame, globs: Sequence[str], regexes: Sequence[str], exempt: DataFrame | None = None,
                  max_chars: int | None = None) -> DataFrame:
     """(path, code, pattern): forbidden paths and forbidden content of text assets (path, content text, sha256).

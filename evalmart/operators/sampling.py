@@ -37,15 +37,18 @@ def assign_ids(df: DataFrame, group: str, order: Sequence[str], prefixes: Column
 
 
 def assign_flat_ids(df: DataFrame, order: Sequence[str], prefix: str, width: int) -> DataFrame:
-    """One sequence over all rows, padded; an id that is taken already gets a numbered suffix elsewhere."""
+    """One sequence over all rows, every number padded to ``width`` or to the digits of the row count."""
     ranked = ordered_rank(df, [], order, "_r")
-    return ranked.withColumn("flat_id", F.concat(F.lit(prefix), padded(F.col("_r"), width))).drop("_r")
+    digits = ranked.agg(F.greatest(F.lit(width), F.length(F.count(F.lit(1)).cast("string"))).alias("_w"))
+    wide = ranked.crossJoin(F.broadcast(digits))  # one row
+    return wide.withColumn("flat_id", F.concat(F.lit(prefix), padded(F.col("_r"), F.col("_w")))).drop("_r", "_w")
 
 
-def padded(number: Column, width: int) -> Column:
+def padded(number: Column, width: int | Column) -> Column:
     """Left-padded with zeros; never cut."""
     text = number.cast("string")
-    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+    wanted = width if isinstance(width, Column) else F.lit(width)
+    return F.lpad(text, F.greatest(F.length(text), wanted), F.lit("0"))
 
 
 def fit_budget(df: DataFrame, group: Sequence[str], order: str, cap: int, text: str = "text",

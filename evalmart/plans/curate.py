@@ -26,7 +26,7 @@ def quarantine(tasks: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFra
 def flatten_layout(tasks: DataFrame, exclude_sources: Sequence[str], prefix: str, width: int, folder: str = "tasks") -> DataFrame:
     """Tasks of the kept sources under new flat ids in family and id order; the first id stays as legacy id.
 
-    ``width`` is the least width of the number; pass the digits of the task count when it is larger.
+    ``width`` is the least width of the number.
     """
     kept = tasks.filter(~F.coalesce(F.col("source").isin(list(exclude_sources)), F.lit(False))) if exclude_sources else tasks
     legacy = F.coalesce("legacy_task_id", "task_id") if "legacy_task_id" in tasks.columns else F.col("task_id")
