@@ -45,10 +45,20 @@ def content_id(text: Column, exact: bool = False) -> Column:
     return F.concat(F.lit("sha256:"), stable_digest(text, exact))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_json_object(lines: pd.Series) -> pd.Series:
-    """True when the whole line is one JSON object; trailing bytes make it false."""
+def is_json_object(line: Column) -> Column:
+    """True when the whole line is one JSON object; trailing bytes make it false.
+
+    The native parser ignores what follows a value. Inside brackets and as a member of an object, nothing can
+    follow unseen, so a line that parses both ways is fine. Only the others (bad ones, repeated keys) go to Python.
+    """
+    in_list = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).cast("array<variant>")
+    as_member = F.try_parse_json(F.concat(F.lit('{"r":'), line, F.lit("}")))
+    fine = F.coalesce(line.rlike(r"^\s*\{") & (F.size(in_list) == 1) & as_member.isNotNull(), F.lit(False))
+    return fine | _is_json_object(F.when(~fine, line))
 
+
+@F.pandas_udf(T.BooleanType())
+def _is_json_object(lines: pd.Series) -> pd.Series:
     def one(line):
         if line is None:
             return False

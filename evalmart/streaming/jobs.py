@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evalmart.operators.joins import reconcile
@@ -131,7 +131,24 @@ def stream_reconcile(results: DataFrame, cases: Callable[[SparkSession], DataFra
 def activity_windows(df: DataFrame, ts: str = "ts", width: str = "1 hour", slide: str | None = None, gap: str | None = None,
                      lateness: str = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
     """Activity per tumbling, sliding or session window; on a stream, rows later than the watermark are dropped."""
+    if gap and not df.isStreaming:
+        return _batch_sessions(df, ts, gap, by)
     timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     frame = F.session_window(ts, gap) if gap else F.window(ts, width, slide)
     return timed.groupBy(frame.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("passed").alias("passed")).select(
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "passed")
+
+
+def _batch_sessions(df: DataFrame, ts: str, gap: str, by: Sequence[str]) -> DataFrame:
+    """Sessions of a table. Rows of one gap-long slot always share a session, so they are combined in each task
+    first; a key with very many rows then has one row per slot."""
+    length = F.expr(f"unix_micros(timestamp_seconds(0) + interval {gap})")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    slots = df.groupBy(*by, F.floor(at / length).alias("_slot")).agg(
+        F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count(F.lit(1)).alias("n"), F.sum("passed").alias("passed"))
+    w = Window.partitionBy(*by).orderBy("_slot")
+    fresh = F.coalesce((F.col("_lo") - F.lag("_hi").over(w) > length).cast("int"), F.lit(1))
+    numbered = slots.withColumn("_fresh", fresh).withColumn("_session", F.sum("_fresh").over(w))
+    return numbered.groupBy(*by, "_session").agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("n").alias("n"), F.sum("passed").alias("passed")
+    ).select(F.timestamp_micros("_lo").alias("start"), F.timestamp_micros(F.col("_hi") + length).alias("end"), *by, "n", "passed")

@@ -149,3 +149,13 @@ def test_report_sinks(spark, tmp_path):
     lines = SK.report_lines(df, "model", "condition", F.col("n").cast("string"), ["x", "y"])
     SK.write_markdown(lines, str(tmp_path / "m"), "model", ["x", "y"], "Model")
     assert next((tmp_path / "m").glob("*.txt")).read_text() == "| Model | x | y |\n|---|---|---|\n| a |  | 1 |\n| b | 2 |  |\n"
+
+
+def test_json_object_lines_like_a_strict_parser(spark):
+    from evalmart.functions.hashing import is_json_object
+
+    good = ['{}', ' {"a": [1, {"b": "}]"}]} ', '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": "\\u00e9"}']
+    bad = ['{"a": 1}{"b": 2}', '{"a": 1},{"b": 2}', '{"a": 1} x', '[{}]', '1', '"x"', '{"a": 1}], [{}', '{"a": 1}, "b": {}', '{"a": 01}', '{"a"', "{'a': 1}", '{"a": 1,}', 'null', '{"a": 1}}']
+    df = spark.createDataFrame([(line,) for line in good + bad], "v string")
+    got = {r.v: r.ok for r in df.select("v", is_json_object(F.col("v")).alias("ok")).collect()}
+    assert got == {**{g: True for g in good}, **{b: False for b in bad}}

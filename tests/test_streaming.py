@@ -75,3 +75,19 @@ def test_ingest_and_windows(spark, tmp_path, rows):
     q = out.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ckw")).start()
     q.awaitTermination()
     assert rows(spark.table("w")) == rows(SJ.activity_windows(events, width="1 hour"))
+
+
+def test_batch_sessions_equal_the_stream(spark, tmp_path, rows):
+    import random
+
+    rng = random.Random(4)
+    at, data = 0, []
+    for i in range(300):
+        at += rng.choice([1, 5, 30, 60, 61, 200])
+        data.append((at, "hot" if i % 3 else "k", i % 2))
+    events = spark.createDataFrame(data, "s bigint, k string, passed bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.coalesce(1).write.parquet(str(tmp_path / "ev"))
+    live = SJ.activity_windows(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")), gap="1 minute", by=["k"])
+    q = live.writeStream.format("memory").queryName("sess").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    assert rows(spark.table("sess")) == rows(SJ.activity_windows(events, gap="1 minute", by=["k"]))
