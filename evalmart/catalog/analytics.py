@@ -53,7 +53,7 @@ subsets AS (SELECT 'full' AS subset, task_id FROM prod UNION ALL SELECT 'evolved
 METRICS_SQL = """
 metrics AS (SELECT *, input_tokens + output_tokens + thoughts_tokens AS total_tokens FROM latest)"""
 Z2 = "3.8414588206941236"
-RATE_SQL = f"""round(passed / n, 6) AS pass_rate, format('{{:.1f}}', round(passed / n, 4) * 100) AS pass_rate_percent,
+RATE_SQL = f"""round(passed / n, 6) AS pass_rate, format('{{:.1f}}', CAST(format('{{:.4f}}', passed / n) AS DOUBLE) * 100) AS pass_rate_percent,
   round(100 * ((passed/n + {Z2}/(2*n)) / (1 + {Z2}/n) - 1.959963984540054 * sqrt((passed/n)*(1-passed/n)/n + {Z2}/(4*n*n)) / (1 + {Z2}/n)), 6) AS wilson_low,
   round(100 * ((passed/n + {Z2}/(2*n)) / (1 + {Z2}/n) + 1.959963984540054 * sqrt((passed/n)*(1-passed/n)/n + {Z2}/(4*n*n)) / (1 + {Z2}/n)), 6) AS wilson_high"""
 
@@ -98,7 +98,7 @@ def ag1_headline(spark, d):
 
 @query("ag2_tracks", "trials latest", f""", {SUBSETS_SQL}, {METRICS_SQL},
 g AS (SELECT subset, family, model, condition, count(*) AS n, sum(passed) AS passed FROM metrics JOIN subsets USING (task_id) GROUP BY ALL)
-SELECT *, format('{{:.1f}}', round(passed / n, 4) * 100) AS pass_rate_percent FROM g""")
+SELECT *, format('{{:.1f}}', CAST(format('{{:.4f}}', passed / n) AS DOUBLE) * 100) AS pass_rate_percent FROM g""")
 def ag2_tracks(spark, d):
     return M.tracks(metric_rows(spark, d), subsets(spark, d))
 
@@ -119,8 +119,8 @@ g AS (SELECT model, condition, family, source, error_type, grouping(family) AS g
   GROUP BY GROUPING SETS ((model, condition), (model, condition, family), (model, condition, source), (model, condition, error_type)))
 SELECT model, condition, CASE WHEN gf = 0 THEN 'family' WHEN gs = 0 THEN 'source' WHEN ge = 0 THEN 'error_type' ELSE 'all' END AS level,
   CASE WHEN gf = 0 THEN family WHEN gs = 0 THEN source WHEN ge = 0 THEN error_type ELSE 'all' END AS member, n,
-  round(CAST(p AS DOUBLE) / n, 4) AS pass_mean, round(CAST(r AS DOUBLE) / n, 4) AS pass_rate_mean,
-  round(coalesce(CAST(sc AS DOUBLE) / nullif(ns, 0), 0.0), 4) AS score_mean FROM g""")
+  CAST(format('{:.4f}', CAST(p AS DOUBLE) / n) AS DOUBLE) AS pass_mean, CAST(format('{:.4f}', CAST(r AS DOUBLE) / n) AS DOUBLE) AS pass_rate_mean,
+  CAST(format('{:.4f}', coalesce(CAST(sc AS DOUBLE) / nullif(ns, 0), 0.0)) AS DOUBLE) AS score_mean FROM g""")
 def ag3_run_summary(spark, d):
     return M.run_summary(summary_rows(spark, d))
 
@@ -247,7 +247,7 @@ def ag10_trace_stats(spark, d):
 runs AS (SELECT 'exploration' AS mode, task_id, sum(api_call) AS calls, 1 AS passed, sum(api_call * total_tokens) AS total_tokens FROM rollouts GROUP BY task_id
   UNION ALL SELECT condition, trial_key, 1, passed, total_tokens FROM metrics)
 SELECT mode, sum(calls) AS calls, count(*) AS tasks, sum(passed) AS passed, sum(total_tokens) AS total_tokens,
-  format('{{:.1f}}', round(sum(passed) / count(*), 4) * 100) AS pass_rate_percent, round(sum(total_tokens) / count(*), 6) AS avg_tokens_per_task,
+  format('{{:.1f}}', CAST(format('{{:.4f}}', sum(passed) / count(*)) AS DOUBLE) * 100) AS pass_rate_percent, round(sum(total_tokens) / count(*), 6) AS avg_tokens_per_task,
   round(sum(total_tokens) / nullif(sum(passed), 0), 6) AS tokens_per_passed_task FROM runs GROUP BY mode""")
 def ag11_token_efficiency(spark, d):
     explored = A.rollouts(spark, d).groupBy("task_id").agg(
@@ -341,7 +341,7 @@ def jn4_incomplete(spark, d):
 
 @query("st6_paired_tests", "trials latest", f""", {PAIRS_SQL}, {BOOT_SQL.format(keys='subset, treatment, comparator, model')}
 SELECT subset, treatment, comparator, model, n, treatment_passed, comparator_passed,
-  format('{{:.1f}}', round(treatment_passed / n, 4) * 100) AS treatment_percent, format('{{:.1f}}', round(comparator_passed / n, 4) * 100) AS comparator_percent,
+  format('{{:.1f}}', CAST(format('{{:.4f}}', treatment_passed / n) AS DOUBLE) * 100) AS treatment_percent, format('{{:.1f}}', CAST(format('{{:.4f}}', comparator_passed / n) AS DOUBLE) * 100) AS comparator_percent,
   round(100 * ((treatment_passed - comparator_passed) / n), 6) AS delta_pp, low_pp, high_pp, treatment_only, comparator_only,
   round({MCNEMAR_SQL.format(b='treatment_only', c='comparator_only')}, 8) AS mcnemar_p, seed
 FROM counts JOIN ci USING (subset, treatment, comparator, model)""")
@@ -407,7 +407,7 @@ def st1_wilson(spark, d):
 
 
 @query("st8_success_rate", "rollouts", """
-SELECT task_id, max(rollout) AS n_iters, round(1.0 / max(rollout), 4) AS success_rate FROM rollouts GROUP BY task_id""")
+SELECT task_id, max(rollout) AS n_iters, CAST(format('{:.4f}', CAST(1 AS DOUBLE) / max(rollout)) AS DOUBLE) AS success_rate FROM rollouts GROUP BY task_id""")
 def st8_success_rate(spark, d):
     return A.rollouts(spark, d).groupBy("task_id").agg(F.max("rollout").alias("n_iters")).withColumn(
         "success_rate", N.success_rate(F.col("n_iters")))

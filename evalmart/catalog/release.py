@@ -336,7 +336,7 @@ def snk2_jsonl_lines(spark, d):
 
 
 @query("snk4_report_lines", "trials latest", f""", {METRICS_SQL},
-g AS (SELECT model, condition, concat(format('{{:.1f}}', round(sum(passed) / count(*), 4) * 100), '% (', sum(passed), '/', count(*), ')') AS cell FROM metrics GROUP BY ALL)
+g AS (SELECT model, condition, concat(format('{{:.1f}}', CAST(format('{{:.4f}}', sum(passed) / count(*)) AS DOUBLE) * 100), '% (', sum(passed), '/', count(*), ')') AS cell FROM metrics GROUP BY ALL)
 SELECT model, concat('| ', model, ' | ', coalesce(max(cell) FILTER (condition = 'no_context'), ''), ' | ', coalesce(max(cell) FILTER (condition = 'with_skill'), ''), ' |') AS line FROM g GROUP BY model""")
 def snk4_report_lines(spark, d):
     from evalmart.functions.numeric import display_percent

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, functions as F
 
@@ -45,6 +46,20 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def exact_round(value: Column, digits: int) -> Column:
+    """Round by the exact binary value, ties to even; ``round`` works on the printed decimal, ties away from 0.
+
+    Values below the last digit are compared with the half step directly: the formatter sees only their
+    shortest decimal.
+    """
+    unit = 10.0 ** -digits
+    half = Fraction(1, 2 * 10**digits)
+    size = F.abs(value)
+    up = size >= float(half) if Fraction(float(half)) > half else size > float(half)
+    formatted = F.call_function("format_number", value, F.lit("0." + "0" * digits)).cast("double")
+    return F.when(size < unit, F.when(up, F.signum(value) * unit).otherwise(0.0)).otherwise(formatted)
+
+
 def wilson(passed: Column, n: Column) -> Column:
     """Wilson 95 % interval in percent; (0, 0) for an empty group."""
     total = n.cast("double")
@@ -60,11 +75,11 @@ def wilson(passed: Column, n: Column) -> Column:
 
 def display_percent(passed: Column, n: Column) -> Column:
     """Percent text with one decimal; null for an empty group."""
-    return F.call_function("format_number", F.round(ratio(passed, n), 4) * 100, F.lit("0.0"))
+    return F.call_function("format_number", exact_round(ratio(passed, n), 4) * 100, F.lit("0.0"))
 
 
 def success_rate(iterations: Column) -> Column:
-    return F.round(F.try_divide(F.lit(1.0), iterations.cast("double")), 4)
+    return exact_round(F.try_divide(F.lit(1.0), iterations.cast("double")), 4)
 
 
 def log_gamma(x: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalmart.functions.numeric import display_percent, ratio, wilson
+from evalmart.functions.numeric import display_percent, exact_round, ratio, wilson
 from evalmart.schemas import CONDITION_ALIASES
 
 # Error types that count as an error rather than a failed attempt.
@@ -156,9 +156,9 @@ def run_summary(latest: DataFrame) -> DataFrame:
     return out.select(
         "model", "condition", F.coalesce(level, F.lit("all")).alias("level"),
         F.coalesce(member, F.lit("all")).alias("member"), "n",
-        F.round(ratio(F.col("_p"), F.col("n")), 4).alias("pass_mean"),
-        F.round(ratio(F.col("_r"), F.col("n")), 4).alias("pass_rate_mean"),
-        F.round(F.coalesce(ratio(F.col("_sc"), F.nullif(F.col("_ns"), F.lit(0))), F.lit(0.0)), 4).alias("score_mean"),
+        exact_round(ratio(F.col("_p"), F.col("n")), 4).alias("pass_mean"),
+        exact_round(ratio(F.col("_r"), F.col("n")), 4).alias("pass_rate_mean"),
+        exact_round(F.coalesce(ratio(F.col("_sc"), F.nullif(F.col("_ns"), F.lit(0))), F.lit(0.0)), 4).alias("score_mean"),
     )
 
 

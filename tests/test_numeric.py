@@ -34,6 +34,12 @@ def test_wilson_and_percent(spark):
             assert row.t == want[2]
 
 
+def test_rounding_follows_the_binary_value(spark):
+    values = [0.53975, 0.03125, 0.09375, 1 / 3, 0.12345, 2.5e-5, 0.99995, 0.00005]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.r for r in df.select(N.exact_round(F.col("v"), 4).alias("r")).collect()] == [round(v, 4) for v in values]
+
+
 def test_empty_group(spark):
     row = spark.range(1).select(N.wilson(F.lit(0), F.lit(0)).alias("w"), N.display_percent(F.lit(0), F.lit(0)).alias("t")).first()
     assert tuple(row.w) == (0.0, 0.0) and row.t is None
