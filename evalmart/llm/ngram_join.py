@@ -271,3 +271,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     out = join.nodes.select("doc_id", "sid", "n").join(named, "sid")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, with all its columns; empty texts all stay.
+
+    Rows that share the kept doc_id stay together: they are one document to every other table.
+    """
+    groups = jaccard_components(docs, size, percent)
+    gone = groups.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return keyed.join(checked_broadcast(gone, 16), "_id", "left_anti").drop("_id")
