@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,9 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalmart.session import checkpoint_dir
+
 SLICE_BYTES = 8 << 20
 SLICE_ROWS = 20_000
 BROADCAST_BYTES = 16 << 20
+LONG_WORD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,17 @@ def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_B
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder: computed once, the same for every later pass, short lineage.
+
+    checkpoint() would compute the last stage twice. The tables are named evalmart-*; clear them when the job is done.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/evalmart-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that ``column`` holds about ``limit`` bytes in each; a longer text is alone in its slice."""
     for batch in batches:
@@ -57,12 +72,6 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, offsets
 
 
-def hashed(values: pa.Array) -> np.ndarray:
-    """64-bit hash of each string; every distinct one of the slice is hashed once."""
-    coded = values.dictionary_encode()
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,6 +79,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hashed(values: pa.Array) -> np.ndarray:
+    """64-bit hash of each string, eight bytes at a time over all strings at once; long ones singly."""
+    n = len(values)
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset : values.offset + n + 1].astype(np.int64)
+    raw = np.concatenate([np.frombuffer(data, np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    starts, sizes = ends[:-1], np.diff(ends)
+    out = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(n)
+    for k in range(0, LONG_WORD, 8):
+        at = at[sizes[at] > k]
+        if len(at) == 0:
+            break
+        left = np.minimum(sizes[at] - k, 8).astype(np.uint64)
+        part = eights[starts[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        out[at] = mixed(out[at] * np.uint64(0xD6E8FEB86659FD93) + part)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i + 1]].tobytes())
+    return out
+
+
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` neighbouring codes; shorter input as one hash of the whole, empty input none."""
     if len(codes) == 0:

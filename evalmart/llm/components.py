@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.session import pin
+from evalmart.llm.common import kept
+
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,13 +15,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label's own label, so the number of rounds grows
     with the logarithm of a chain's length. Sums per id are combined before the shuffle, so hubs are no hot groups.
     """
-    both = pin(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = pin(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")))
+    both = kept(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
         better = labels.join(near, "id").select("id", "label", F.least("label", "_near").alias("_new"))
         of_label = labels.select(F.col("id").alias("_new"), F.col("label").alias("_jump"))
-        step = pin(better.join(of_label, "_new", "left").select("id", F.least("_new", "_jump").alias("label"), (F.least("_new", "_jump") < F.col("label")).alias("_moved")))
+        step = kept(better.join(of_label, "_new", "left").select("id", F.least("_new", "_jump").alias("label"), (F.least("_new", "_jump") < F.col("label")).alias("_moved")))
         labels = step.select("id", "label")
         if not step.filter("_moved").limit(1).count():
             return labels

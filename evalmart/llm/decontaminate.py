@@ -27,9 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, mixed, slices, text_of
+from evalmart.llm.common import checked_broadcast, kept, mixed, slices, text_of
 from evalmart.llm.quality import row_key
-from evalmart.session import pin
 
 WINDOW = 8
 LITERALS = 5  # of a window; shorter items in proportion
@@ -156,7 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     schema = "{} long, _key long, _at long, _hash long, _values array<long>, _tokens long"
     sizes = list(range(1, WINDOW + 1))
     own = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).withColumn("_key", F.xxhash64("item_id", "text"))
-    known = pin(own.mapInArrow(_windows(sizes, None, "item_id", True), schema.format("item_id")))
+    known = kept(own.mapInArrow(_windows(sizes, None, "item_id", True), schema.format("item_id")))
     spot = F.shiftrightunsigned("_hash", 64 - BITMAP_BITS)
     # A bitmap of 2^22 bits in 128 pieces, whatever the benchmark's size.
     pieces = known.select(F.bitmap_bucket_number(spot + 1).alias("b"), F.bitmap_bit_position(spot + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
@@ -168,7 +167,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     seen = rows.mapInArrow(_windows(present, bytes(bitmap), "doc_id", False), schema.format("doc_id"))
     bench = known.select("item_id", F.col("_hash").alias("_h"), F.col("_at").alias("_item_at"), F.col("_values").alias("_item_values"))
     totals = known.groupBy("item_id").agg(F.countDistinct("_at").alias("_windows"))
-    met = pin(seen.join(bench, F.col("_hash") == F.col("_h")).select("doc_id", "_key", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_values", "_item_values"))
+    met = kept(seen.join(bench, F.col("_hash") == F.col("_h")).select("doc_id", "_key", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_values", "_item_values"))
     who = ["doc_id", "_key", "item_id"]
     pairs = met.select(*who, "_diagonal", "_item_at", F.explode(F.arrays_zip("_item_values", "_values")).alias("v")).filter("v._item_values <> 0")
     places = pairs.groupBy(*who, "_diagonal", F.col("v._item_values").alias("_was")).agg(F.min("v._values").alias("_lo"), F.max("v._values").alias("_hi"))

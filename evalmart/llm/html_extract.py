@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, slices, text_of
-from evalmart.session import pin
+from evalmart.llm.common import checked_broadcast, kept, slices, text_of
 
 COPY_SHARE = 0.6
 # Element names of HTML by their part in a page, and words that name such parts in class, id and role.
@@ -178,7 +177,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["host", "path", "url", "_key"]
-    placed = pin(pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = kept(pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per range partition
     before, total = {}, 0
@@ -205,5 +204,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     hashed = rows.select("_key", host.alias("host"), path.alias("path"), address.alias("url"), "html").mapInArrow(
         _hashed, "_key long, host string, path string, url string, hashes array<long>, sizes array<int>, main array<boolean>")
     pairs = neighbours(hashed).filter("theirs IS NOT NULL").select("_key", "hashes", "sizes", "main", "theirs")
-    gone = pin(pairs.mapInArrow(_deleted, "_key long, gone array<int>").dropDuplicates(["_key"]))
+    gone = kept(pairs.mapInArrow(_deleted, "_key long, gone array<int>").dropDuplicates(["_key"]))
     return rows.join(checked_broadcast(gone, 64), "_key", "left").select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, slices, text_of
+from evalmart.llm.common import checked_broadcast, kept, slices, text_of
 from evalmart.llm.quality import row_key
-from evalmart.session import pin
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
@@ -65,10 +64,9 @@ def _trained(languages: tuple[str, ...]):
 def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Log-probabilities of shape (languages, buckets) from all documents whose declared language is listed."""
     rows = docs.select(text_of().alias("text"), F.lower(F.col("lang").cast("string")).alias("lang")).filter(F.col("lang").isin(*languages))
-    slots = rows.mapInArrow(_trained(languages), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most languages x buckets
+    slots = rows.mapInArrow(_trained(languages), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages x buckets
     counts = np.zeros(len(languages) * BUCKETS)
-    for r in slots:
-        counts[r["slot"]] = r["n"]
+    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
     counts = counts.reshape(len(languages), BUCKETS) + 0.5
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
@@ -145,7 +143,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...]
     rows = rows.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     keep = ["page_id", "url", "host", "declared", "domain", "suffix"]
     scored = rows.mapInArrow(_scored(table, page_text, keep), "page_id long, url string, host string, declared string, domain string, suffix string, likelihood array<double>")
-    return fuse(pin(scored), languages).select("page_id", "url", "declared", "text_lang", "lang", "confidence")
+    return fuse(kept(scored), languages).select("page_id", "url", "declared", "text_lang", "lang", "confidence")
 
 
 def identify_documents(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -159,7 +157,7 @@ def identify_documents(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES)
     ).withColumn("domain", F.lit("")).withColumn("suffix", F.lit(""))
     keep = ["doc_id", "_key", "declared", "host", "domain", "suffix"]
     scored = rows.mapInArrow(_scored(train(docs, languages), None, keep), "doc_id long, _key long, declared string, host string, domain string, suffix string, likelihood array<double>")
-    fused = fuse(pin(scored), languages)
+    fused = fuse(kept(scored), languages)
     claimed = F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("declared")).cast("int"), F.lit(0))
     excluded = (claimed > 0) & (F.try_element_at("posterior", claimed) < FOREIGN)
     return fused.withColumn("keep", (F.col("confidence") >= SURE) & ~F.coalesce(excluded, F.lit(False))).select("doc_id", "declared", "text_lang", "lang", "confidence", "keep", "_key")

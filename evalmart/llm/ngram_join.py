@@ -5,8 +5,9 @@
 2. Two sets within the radius share one of their rarest shingles (prefix filter under the order of bucket counts). These
    rare shingles are the outer regions: inside one, distances to pivots tell something, while across the corpus nearly all
    distances are 1.
-3. A small region joins directly. In a larger one about log2(size) pivots are drawn, all exact distances to them are
-   taken, and each document falls to its nearest pivot: its Voronoi cell. Links found so far are contracted.
+3. A small region joins directly. In a larger one a few pivots are drawn, all exact distances to them are taken, and each
+   document falls to its nearest pivot: its Voronoi cell. Further documents, a multiple of log2(size), are probed for links
+   only. Links found so far are contracted, which leaves few documents outside the largest component.
 4. By the triangle inequality a document can link into a cell only if its distance to the cell's pivot is at most the
    cell's radius plus the join radius; documents within that window are replicated there. In a cell only pairs of
    different components are left to compare, and the cells join recursively as regions of their own: those compared
@@ -17,8 +18,8 @@ Candidate pairs pass two exact bounds before any set is shipped: sizes, and the
 which never exceeds the symmetric difference. No pair is ever left out, so the result equals brute force.
 
 Defined results: null and empty text has no shingles and links with nothing; texts shorter than a shingle are one shingle;
-a null doc_id joins as the largest id and names its component only if alone; repeated rows are rows of one node; an empty
-table gives no rows; other columns are ignored.
+a null doc_id joins as the largest id and names its component only if alone; repeated rows are rows of one node, and
+different texts of one doc_id share its name without being linked; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, hashed, pack, slices, text_of, unpack, windows, words
+from evalmart.llm.common import checked_broadcast, hashed, kept, pack, slices, text_of, unpack, windows, words
 from evalmart.llm.components import components
-from evalmart.session import pin
 
 SHINGLE = 4
 PERCENT = 85
 ORDER_BITS = 18
 VECTOR = 256
 LEAF = 16
+PIVOTS = 3
+PROBES = 4
 BITMAP_BITS = 24
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
@@ -50,7 +52,12 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     flat, offsets = words(texts)
     codes = hashed(flat)
-    return [np.unique(windows(codes[a:b], size)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    every, out = windows(codes, size), []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = every[a : b - size + 1].copy() if b - a >= size else windows(codes[a:b], size)
+        own.sort()
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own)
+    return out
 
 
 def set_id(shingles: np.ndarray) -> tuple[int, int]:
@@ -67,9 +74,8 @@ def _nodes(size: int):
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), size)
             ids = [set_id(s) for s in sets]
-            for s in sets:
-                np.add.at(counts, (s >> _U(64 - ORDER_BITS)).astype(np.int64), 1)
-            vectors = [np.minimum(np.bincount((s & _U(VECTOR - 1)).astype(np.int64), minlength=VECTOR), 65535).astype("<u2").tobytes() for s in sets]
+            counts += np.bincount((np.concatenate(sets) >> _U(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+            vectors = [np.minimum(np.bincount((s & _U(VECTOR - 1)).astype(np.int64), minlength=VECTOR), 255).astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([i for i, _ in ids], pa.int64()), pa.array([g for _, g in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(vectors, pa.binary()), pa.nulls(len(sets), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([pack(counts)], pa.binary())], names)
@@ -136,7 +142,7 @@ def _bounded(percent: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, VECTOR).astype(np.int32) for c in ("va", "vb"))
+            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int32) for c in ("va", "vb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = (na + nb - np.abs(va - vb).sum(axis=1)) // 2
             ok = batch.column("exact").to_numpy(zero_copy_only=False) | (100 * most >= percent * (na + nb - most))
@@ -162,43 +168,49 @@ class _Join:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         self.radius = 1 - percent / 100
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"))
-        first = pin(self.rows.mapInArrow(_nodes(size), "doc_id long, sid long, guard long, n long, vector binary, counts binary"))
+        first = kept(self.rows.mapInArrow(_nodes(size), "doc_id long, sid long, guard long, n long, vector binary, counts binary"))
         self.nodes = first.filter("counts IS NULL").select("doc_id", "sid", "guard", "n", "vector")
         self.counts = first.filter("counts IS NOT NULL").select("counts")
         same = self.nodes.groupBy("sid").agg(F.min("guard").alias("g"), F.max("guard").alias("h"), F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-        self.reps = pin(same)
+        self.reps = kept(same)
         if self.reps.filter("g <> h").limit(1).count():
             raise ValueError("two different shingle sets share a hash")
 
     def members(self) -> DataFrame:
-        """region, sid, m: documents by rare shingle, where at least two different sets meet; equal regions once."""
+        """region, sid, m, large: documents by rare shingle, where at least two different sets meet; equal regions once."""
         order = np.zeros(1 << ORDER_BITS, np.int64)
-        for r in self.counts.mapInArrow(_spread, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # at most 2^ORDER_BITS rows
-            order[r["bucket"]] = r["c"]
+        sums = self.counts.mapInArrow(_spread, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most 2^ORDER_BITS rows
+        order[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
         shared = self.spark.sparkContext.broadcast(order)
         rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long")
         live = rows.groupBy("region").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("region")
-        met = pin(rows.join(live, "region").groupBy("region", "sid").agg(F.lit(1).alias("_one")).select("region", "sid"))
+        met = kept(rows.join(live, "region").groupBy("region", "sid").agg(F.lit(1).alias("_one")).select("region", "sid"))
         mark = F.xxhash64("sid")
         signs = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
         once = signs.groupBy("m", "x", "s").agg(F.min("region").alias("region")).select("region", "m")
-        return pin(met.join(once, "region"))
+        marked = met.join(once, "region")
+        large = marked.filter(F.col("m") > LEAF)
+        # Large regions overlap; those with the same first pivot become one, so that no pair is met once per shingle.
+        first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
+        merged = large.join(first, "region").select(F.xxhash64("_first").alias("region"), "sid").distinct()
+        sizes = merged.groupBy("region").agg(F.count(F.lit(1)).alias("m"))
+        return kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """a, b, common, either of distinct pairs (a < b, exact); pairs that cannot link are left out unless exact."""
-        pairs = pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"))
-        sizes = self.reps.select("sid", "n")
-        sized = pairs.join(sizes.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.filter(F.col("exact") | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent))
-        vectors = self.nodes.join(self.reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "vector").dropDuplicates(["sid"])
-        bounded = sized.join(vectors.select(F.col("sid").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("sid").alias("b"), F.col("vector").alias("vb")), "b")
-        left = pin(bounded.mapInArrow(_bounded(self.percent), "a long, b long"))
+        pairs = kept(pairs.groupBy("a", "b").agg(F.max("exact").alias("exact")))
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+        about = kept(self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"]))
+        a, b = (about.select(*(F.col(c).alias(x) for c, x in zip(("sid", "n", "vector"), names, strict=True))) for names in (("a", "na", "va"), ("b", "nb", "vb")))
+        sized = pairs.join(a.drop("va"), "a").join(b.drop("vb"), "b").filter(F.col("exact") | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent))
+        bounded = sized.join(a.drop("na"), "a").join(b.drop("nb"), "b")
+        left = kept(bounded.mapInArrow(_bounded(self.percent), "a long, b long"))
         needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         sets = self.rows.mapInArrow(_sets(self.size, self.spark.sparkContext.broadcast(self.bitmap(needed))), "rep long, sid long, shingles binary")
         sets = sets.join(self.reps.join(needed, "sid").select("sid", "rep"), ["sid", "rep"]).select("sid", "shingles")
-        sets = pin(sets.dropDuplicates(["sid"]))
+        sets = kept(sets.dropDuplicates(["sid"]))
         full = left.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
-        return pin(full.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, common long, either long"))
+        return kept(full.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, common long, either long"))
 
     def bitmap(self, sids: DataFrame) -> bytes:
         """2^BITMAP_BITS bits in pieces of 4 KB, whatever the number of sets."""
@@ -211,24 +223,35 @@ class _Join:
     def linked(self, measured: DataFrame) -> DataFrame:
         return measured.filter(F.col("common") * 100 >= F.col("either") * self.percent).select("a", "b")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """All links that matter for components (a, b as sid), and the components of their ends."""
+    def links(self) -> DataFrame:
+        """Links (a, b as sid) with the same components as all links."""
         met = self.members()
-        chance = (F.xxhash64("sid", F.lit(7)).cast("double") / float(1 << 64) + 0.5) * F.col("m")
-        first = met.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
-        drawn = met.join(first, "region").withColumn("pivot", (F.col("m") <= LEAF) | (F.col("sid") == F.col("_first")) | (chance < F.log2("m")))
-        pivots = drawn.filter("pivot").select("region", F.col("sid").alias("p"), "m")
-        stars = drawn.select("region", "sid", "pivot").join(pivots, "region").filter("sid <> p AND (NOT pivot OR sid < p)")
-        stars = pin(stars.select("region", "m", "sid", "p", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
-        near = self.measured(stars.select("a", "b", (F.col("m") > LEAF).alias("exact")))
+        first = met.filter("large").groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
+        drawn = met.join(first, "region", "left").withColumn("pivot", F.col("large") & ((F.col("sid") == F.col("_first")) | (self.chance(7) < PIVOTS)))
+        drawn = drawn.withColumn("probe", ~F.col("large") | F.col("pivot") | (self.chance(8) < PROBES * F.log2("m")))
+        to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"))
+        stars = drawn.select("region", "sid", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))")
+        stars = kept(stars.select("region", "sid", "p", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
+        near = self.measured(stars.select("a", "b", "exact"))
         links = self.linked(near)
-        large = stars.filter(F.col("m") > LEAF)
+        large = drawn.filter("large")
         if not large.limit(1).count():
-            return links, components(links)
-        cells, labels = self.cells(drawn.filter(F.col("m") > LEAF), large, near), components(links)
-        more = self.linked(self.measured(self.across(cells, labels)))
-        links = links.union(more)
-        return links, components(links)
+            return links
+        cells = self.cells(large, stars.filter("exact"), near)
+        return links.union(self.linked(self.measured(self.across(cells, components(links)))))
+
+    @staticmethod
+    def chance(seed: int) -> Column:
+        """A document's own number between 0 and the size of its region."""
+        return (F.xxhash64("sid", F.lit(seed)).cast("double") / float(1 << 64) + 0.5) * F.col("m")
+
+    @staticmethod
+    def labelled(rows: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
+        """Adds each document's component and the largest one of its region, where there is more than one."""
+        known = rows.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        tally = known.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("c"))
+        main = tally.groupBy(*key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        return known.join(main, key)
 
     def cells(self, drawn: DataFrame, stars: DataFrame, near: DataFrame) -> DataFrame:
         """region, cell (pivot), sid, native: each document in its own cell and in those whose window it reaches."""
@@ -238,23 +261,20 @@ class _Join:
         both = pivots.select("region", F.col("sid").alias("_other"))
         swapped = far.join(both, (far["region"] == both["region"]) & (far["sid"] == both["_other"]), "left_semi").select("region", F.col("p").alias("sid"), F.col("sid").alias("p"), "d")
         own = pivots.select("region", "sid", F.col("sid").alias("p"), F.lit(0.0).alias("d"))
-        table = pin(far.select("region", "sid", "p", "d").unionByName(swapped).unionByName(own))
+        table = kept(far.select("region", "sid", "p", "d").unionByName(swapped).unionByName(own))
         home = table.groupBy("region", "sid").agg(F.min(F.struct("d", "p")).alias("h")).select("region", "sid", F.col("h.p").alias("home"), F.col("h.d").alias("_d"))
         reach = home.groupBy("region", "home").agg(F.max("_d").alias("reach")).withColumnRenamed("home", "p")
         inside = table.join(home.select("region", "sid", "home"), ["region", "sid"]).join(reach, ["region", "p"])
         slack = 1e-9  # a window may be too wide, never too narrow
-        return pin(inside.filter((F.col("p") == F.col("home")) | (F.col("d") <= F.col("reach") + self.radius + slack)).select("region", F.col("p").alias("cell"), "sid", (F.col("p") == F.col("home")).alias("native")))
+        return kept(inside.filter((F.col("p") == F.col("home")) | (F.col("d") <= F.col("reach") + self.radius + slack)).select("region", F.col("p").alias("cell"), "sid", (F.col("p") == F.col("home")).alias("native")))
 
     def across(self, cells: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components in a cell: every one with a document outside the cell's largest component.
 
         Documents of one component need no comparison, so visitors that share the component of all natives go first.
         """
-        known = cells.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         key = ["region", "cell"]
-        tally = known.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("c"))
-        main = tally.groupBy(*key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        left = known.join(main, key)
+        left = self.labelled(cells, labels, key)
         outside = left.filter("label <> main").select(*key, F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("native").alias("nx"))
         met = outside.join(left.select(*key, "sid", "label", "main", "native"), key).filter("lx <> label AND (nx OR native) AND (label = main OR x < sid)")
         return met.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.lit(False).alias("exact")).distinct()
@@ -263,7 +283,7 @@ class _Join:
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. ``percent``: least share of common shingles of two linked documents."""
     join = _Join(docs, size, percent)
-    _, labels = join.links()
+    labels = components(join.links())
     ids = join.reps.select("sid", "rep")
     smallest = labels.join(ids.withColumnRenamed("sid", "id"), "id").groupBy("label").agg(F.min("rep").alias("component"))
     of_set = labels.join(smallest, "label").select(F.col("id").alias("sid"), "component")

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmart.llm import spans
-from evalmart.llm.common import slices, text_of
-from evalmart.session import pin
+from evalmart.llm.common import kept, slices, text_of
 
 SEQUENCE = 2048
 CLOSING_ID = 1
@@ -160,9 +159,9 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str | No
 def pack_documents(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset per piece.
 
-    The pieces are checkpointed, because their ranks must not change between the histogram and the placement.
+    The pieces are written to a table, because their ranks must not change between the histogram and the placement.
     """
-    pieces = pin(token_pieces(docs, size=size))
+    pieces = kept(token_pieces(docs, size=size))
     per_task = pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,8 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import text_of
-from evalmart.session import pin
+from evalmart.llm.common import kept, text_of
 
 SHARD_BYTES = 16 << 20
 CELL_BITS = 4
@@ -41,14 +40,14 @@ def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def extendible_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard (its bits), depth, shard_bytes, shard_docs of every row.
 
-    The key rows are checkpointed once: sizes and assignment must see the same row numbers.
+    The key rows are kept in a table: sizes and assignment must see the same row numbers.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")).alias("_key"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    active = pin(keyed).withColumn("_bits", F.concat(_bits(F.col("_key")), _bits(F.md5(F.col("_row").cast("string")))))
+    active = kept(keyed).withColumn("_bits", F.concat(_bits(F.col("_key")), _bits(F.md5(F.col("_row").cast("string")))))
     total = active.agg(F.sum("n_bytes")).first()[0] or 0
     want = max(0, math.ceil(math.log2(max(1, total) / limit)))
     low, high, out = max(0, want - 6), want + CELL_BITS, None
@@ -64,7 +63,7 @@ def extendible_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         large = leaves.filter(over)
         if not large.limit(1).count():
             return out
-        active = pin(rows.join(large.select("cell"), "cell", "left_semi").drop("cell"))
+        active = kept(rows.join(large.select("cell"), "cell", "left_semi").drop("cell"))
         low, high = high + 1, min(256, high + MORE_BITS)
 
 
