@@ -6,8 +6,9 @@ so a shard holds all it needs beside the discounts (counts of counts) and the un
 in a count join: each slice of texts sends every shard one packed row of (gram, document, count), gets one vector of
 log-probabilities back, and the vectors are summed per slice. Rows for one shard are salted, and texts are not shuffled.
 
-A document is kept if its mean negative log-probability is at most the ``quantile`` of the trusted documents of its
-language, or of all languages where fewer than ``least`` trusted ones exist.
+A document is kept if its mean negative log-probability is at most the ``quantile`` of held-out trusted documents of its
+language, or of all languages where fewer than ``least`` of those exist. One trusted document in five, by its key, is held
+out of the counts: texts that the model has seen look better than new ones, most of all where trusted text is scarce.
 
 Defined results: null and empty text has no perplexity and is not kept; without trusted text there is no threshold and all
 other documents are kept; a null language is a language of its own; equal rows get equal decisions; an empty table gives no
@@ -34,6 +35,7 @@ SHARDS = 64
 SALTS = 4
 QUANTILE = 0.995
 LEAST = 30
+HELD_OUT = 5  # one trusted document in so many sets thresholds, the others train
 STEPS = 1000  # thresholds are exact to a thousandth of a nat
 _U = np.uint64
 
@@ -219,13 +221,17 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), text_of())
 
 
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("_key"), F.lit(HELD_OUT)) == 0
+
+
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_units, mean negative log-probability of every row; ``trusted``: doc_id of trusted documents."""
     spark = docs.sparkSession
     ids = checked_broadcast(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_in", F.lit(True)), 16)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"), row_key().alias("_key"))
-    rows = rows.join(ids, "doc_id", "left").withColumn("_trusted", F.coalesce("_in", F.lit(False))).drop("_in")
-    counts = kept(rows.filter("_trusted").select("text").mapInArrow(_trusted_counts, "gram long, shard int, n long").groupBy("gram", "shard").agg(F.sum("n").alias("n")))
+    rows = rows.join(ids, "doc_id", "left").withColumn("_in", F.coalesce("_in", F.lit(False))).withColumn("_trusted", F.col("_in") & held_out())
+    counts = kept(rows.filter(F.col("_in") & ~held_out()).select("text").mapInArrow(_trusted_counts, "gram long, shard int, n long").groupBy("gram", "shard").agg(F.sum("n").alias("n")))
     third = counts.groupBy(F.col("gram").bitwiseAND((1 << 48) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     second = third.groupBy(F.col("gram").bitwiseAND((1 << 32) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     first = second.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
@@ -239,7 +245,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([shard_model(gram[order], shard.column("n").to_numpy()[order], ds, unigram)], pa.binary())})
 
     model = counts.groupBy("shard").applyInArrow(build, "shard int, model binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = rows.mapInArrow(_requests, "shard int, salt int, chunk long, blob binary")
+    asked = rows.drop("_in").mapInArrow(_requests, "shard int, salt int, chunk long, blob binary")
     answered = asked.join(model, ["shard", "salt"], "left").select("shard", "chunk", "blob", "model").mapInArrow(_answers(unigram), "chunk long, base boolean, blob binary")
     return answered.groupBy("chunk").applyInArrow(_gather, _SCORED)
 
