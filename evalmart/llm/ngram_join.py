@@ -294,11 +294,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all its columns; empty texts all stay.
-
-    Rows that share the kept doc_id stay together: they are one document to every other table.
-    """
-    groups = jaccard_components(docs, size, percent)
-    gone = groups.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(checked_broadcast(gone, 16), "_id", "left_anti").drop("_id")
+    """One document of each group, that of the smallest doc_id, with all its columns; empty texts all stay, once per doc_id."""
+    groups = kept(jaccard_components(docs, size, percent).withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))))
+    gone = groups.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("_id").distinct()
+    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(checked_broadcast(gone, 16), "_id", "left_anti")
+    twice = groups.groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_id")
+    if twice.limit(1).count():  # only rows of repeated ids are shuffled
+        few = checked_broadcast(twice, 16)
+        out = out.join(few, "_id", "left_anti").unionByName(out.join(few, "_id", "left_semi").dropDuplicates(["_id"]))
+    return out.select(*docs.columns)
