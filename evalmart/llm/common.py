@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evalmart.session import checkpoint_dir
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SLICE_ROWS = 20_000
 BROADCAST_BYTES = 16 << 20
 LONG_WORD = 64
@@ -58,6 +58,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, min(int(np.searchsorted(ends, base + limit, "right")), start + SLICE_ROWS))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on: what one task needed must not add up over stages
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

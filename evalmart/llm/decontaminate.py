@@ -35,7 +35,7 @@ LITERALS = 5  # of a window; shorter items in proportion
 COVERAGE = 0.4
 CONSISTENT = 0.75
 BITMAP_BITS = 22
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 # Unit names and signs.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent degree degrees °c °f k w kw kwh v volt volts a hz khz mhz ghz b kb mb gb tb $ € £ usd eur gbp dollar dollars euro euros cent cents mph kmh".split())
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
@@ -146,6 +146,7 @@ def _windows(sizes: list[int], bitmap: bytes | None, id_column: str, only_own_si
                 [batch.column(id_column).take(take), batch.column("_key").take(take), pa.array(start - offsets[owner]), pa.array(hashes.view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(lengths[owner])],
                 [id_column, "_key", "_at", "_hash", "_values", "_tokens"],
             )
+        _memo().clear()
 
     return run
 

@@ -23,7 +23,7 @@ BESIDE_SPACE = f"[{BLANKS}] | [{BLANKS}]"
 CUT = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
 PLAIN = re.compile("[\x00-\u024f]*\\Z")
 SPECIAL = "<|endoftext|>"
-MEMO_SPANS = 600_000
+MEMO_SPANS = 250_000
 
 
 def vocabulary_path(name: str) -> str:

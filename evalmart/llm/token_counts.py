@@ -26,7 +26,7 @@ from evalmart.llm.common import chunk_id, pack, slices, text_of, unpack
 
 TOKEN_LIMIT = 512
 MAX_SHARDS = 256
-MEMO_COUNTS = 1_000_000
+MEMO_COUNTS = 400_000
 _EXCHANGED = "shard int, chunk long, base boolean, blob binary"
 _COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
