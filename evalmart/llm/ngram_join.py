@@ -43,6 +43,7 @@ VECTOR = 256
 LEAF = 16
 PIVOTS = 3
 PROBES = 4
+BLOCK = 2048
 BITMAP_BITS = 24
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
@@ -151,6 +152,26 @@ def _bounded(percent: int):
     return run
 
 
+def _block_pairs(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        outer = group.column("outer").to_numpy()
+        sid, label, main, n = (group.column(c).to_numpy() for c in ("sid", "label", "main", "n"))
+        native = group.column("native").to_numpy()
+        vectors = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
+        inner, a, b = np.flatnonzero(~outer), [], []
+        for x in np.flatnonzero(outer):
+            y = inner[(label[inner] != label[x]) & (native[x] | native[inner]) & ((label[inner] == main[x]) | (sid[x] < sid[inner]))]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            most = (n[y] + n[x] - np.abs(vectors[y] - vectors[x]).sum(axis=1, dtype=np.int64)) // 2
+            y = y[100 * most >= percent * (n[y] + n[x] - most)]
+            a.append(np.minimum(sid[x], sid[y]))
+            b.append(np.maximum(sid[x], sid[y]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return run
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = []
@@ -269,15 +290,23 @@ class _Join:
         return kept(inside.filter((F.col("p") == F.col("home")) | (F.col("d") <= F.col("reach") + self.radius + slack)).select("region", F.col("p").alias("cell"), "sid", (F.col("p") == F.col("home")).alias("native")))
 
     def across(self, cells: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components in a cell: every one with a document outside the cell's largest component.
+        """Pairs of different components in a cell that pass both bounds: every one with a document outside its largest component.
 
-        Documents of one component need no comparison, so visitors that share the component of all natives go first.
+        Documents of one component need no comparison. Both sides of a cell are cut into blocks of about ``BLOCK`` documents,
+        and each pair of blocks is one small group, so neither a hot cell nor its pairs ever stand in one place.
         """
         key = ["region", "cell"]
-        left = self.labelled(cells, labels, key)
-        outside = left.filter("label <> main").select(*key, F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("native").alias("nx"))
-        met = outside.join(left.select(*key, "sid", "label", "main", "native"), key).filter("lx <> label AND (nx OR native) AND (label = main OR x < sid)")
-        return met.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.lit(False).alias("exact")).distinct()
+        known = self.labelled(cells, labels, key)
+        about = self.nodes.join(self.reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector")
+        known = kept(known.join(about.join(known.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "sid"))
+        outer = F.sum((F.col("label") != F.col("main")).cast("long"))
+        blocks = known.groupBy(*key).agg(F.ceil(outer / BLOCK).alias("bo"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("bm"))
+        rows = known.join(blocks, key)
+        own, cols = F.xxhash64("sid", F.lit(9)), ["sid", "label", "main", "native", "n", "vector"]
+        outside = rows.filter("label <> main").select(*key, F.pmod(own, "bo").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bm") - 1)).alias("i"), F.lit(True).alias("outer"), *cols)
+        inside = rows.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("o"), F.pmod(own, "bm").alias("i"), F.lit(False).alias("outer"), *cols)
+        found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent), "a long, b long")
+        return found.distinct().withColumn("exact", F.lit(False))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
