@@ -157,8 +157,8 @@ def so3_task_order(spark, d):
 SELECT trial_key, row_number() OVER (ORDER BY CASE model WHEN 'm2' THEN 1 WHEN 'm0' THEN 2 ELSE 3 END, CASE condition WHEN 'with_skill' THEN 1 ELSE 2 END, task_id, trial_key) AS at FROM latest""")
 def so1_report_order(spark, d):
     rows = latest(spark, d, "model", "condition", "task_id")
-    rank = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0)), F.lit(len(names) + 1))
-    keyed = rows.withColumn("_m", rank("model", ["m2", "m0"])).withColumn("_c", rank("condition", ["with_skill"]))
+    by_model, by_condition = J.report_ranks(["m2", "m0"], ["with_skill"])
+    keyed = rows.withColumn("_m", by_model).withColumn("_c", by_condition)
     return X.ordered_rank(keyed, [], ["_m", "_c", "task_id", "trial_key"], "at").select("trial_key", "at")
 
 
@@ -181,8 +181,9 @@ SELECT task_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'pass' WHEN toxic = 1 T
 def wn11_replace_failed(spark, d):
     t = A.tasks(spark, d)
     old = t.select("task_id", F.when(F.col("toxic") == 1, "crash").otherwise("kept").alias("verdict"), F.col("seq").alias("score"))
-    new = t.filter("quality = 1").select("task_id", F.lit("pass").alias("verdict"), F.col("n_chars").alias("score"))
-    return L.replace_failed(old, new, "task_id")
+    newest = t.filter("quality = 1").select("task_id", F.lit(2).alias("attempt"), F.lit("pass").alias("verdict"), F.col("n_chars").alias("score"))
+    earlier = newest.withColumns({"attempt": F.lit(1), "verdict": F.lit("fail"), "score": F.col("score") + 1})
+    return L.replace_failed(old, newest.unionByName(earlier), "task_id", "attempt")
 
 
 @query("ag24_target_progress", "trials", """,

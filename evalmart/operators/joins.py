@@ -9,15 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evalmart.functions.hashing import canonical_json
 from evalmart.operators.prefix import RANK_LIMIT, first_n, running_count
 
-SMALL_SIDE_LIMIT = 10_000
-
-
-def small_frame(spark, values: Sequence, schema: str) -> DataFrame:
-    """A configuration list as a frame; the size is checked because it will be broadcast."""
-    if len(values) > SMALL_SIDE_LIMIT:
-        raise ValueError(f"configuration list of {len(values)} rows; pass it as a DataFrame and join it")
-    return spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema)
-
 
 def trial_grid(tasks: DataFrame, models: Sequence[str], conditions: Sequence[str]) -> DataFrame:
     """Every task under every model and condition, with its key.
@@ -162,6 +153,14 @@ def merge_supplement(base: DataFrame, supplement: DataFrame, key: str, content:
     return base.unionByName(new.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in base.columns]))
 
 
+def merge_conflicts(base: DataFrame, supplement: DataFrame, key: str, content: Column) -> DataFrame:
+    """Keys that a merge may not settle by itself, those that only the supplement has (``n_base`` 0) among them.
+
+    ``merge_supplement`` leaves such supplement-only keys out: pass this to ``require_empty`` before merging.
+    """
+    return merge_state(base, supplement, key, content).filter("state IN ('conflict', 'duplicate_base')")
+
+
 def canonical_record(df: DataFrame) -> Column:
     return canonical_json(F.to_json(F.struct(*df.columns)))
 
@@ -348,13 +347,18 @@ def duplicates(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     ).filter("n > 1")
 
 
-def order_report(df: DataFrame, models: Sequence[str], conditions: Sequence[str]) -> DataFrame:
-    """Report order: configured model, configured condition, task."""
+def report_ranks(models: Sequence[str], conditions: Sequence[str]) -> tuple[Column, Column]:
+    """Places of a row's model and condition in the configured lists; what is not listed comes last."""
     def rank(column: str, names: Sequence[str]) -> Column:
         return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)), F.lit(0)),
                           F.lit(len(names) + 1))
 
-    return df.orderBy(rank("model", models), rank("condition", conditions), "task_id")
+    return rank("model", models), rank("condition", conditions)
+
+
+def order_report(df: DataFrame, models: Sequence[str], conditions: Sequence[str]) -> DataFrame:
+    """Report order: configured model, configured condition, task."""
+    return df.orderBy(*report_ranks(models, conditions), "task_id")
 
 
 def unscanned_paths(walked: DataFrame, scanned: DataFrame) -> DataFrame:

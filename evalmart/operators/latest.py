@@ -79,10 +79,10 @@ def plan_resume(grid: DataFrame, log: DataFrame, key: str = "trial_key") -> Data
     )
 
 
-def replace_failed(old: DataFrame, new: DataFrame, id_col: str, verdict: str = "verdict", failed: str = "crash"):
-    """Newest retry record replaces rows with the failed verdict; all others are kept."""
+def replace_failed(old: DataFrame, new: DataFrame, id_col: str, order: str, verdict: str = "verdict", failed: str = "crash"):
+    """Newest retry record, by ``order``, replaces rows with the failed verdict; all others are kept."""
     payload = [c for c in old.columns if c != id_col]
-    retry = new.select(id_col, F.struct(*payload).alias("_new"))
+    retry = new.groupBy(id_col).agg(F.max_by(F.struct(*payload), F.col(order)).alias("_new"))
     use = (F.col(verdict) == failed) & F.col("_new").isNotNull()
     return old.join(retry, id_col, "left").select(
         id_col, *[F.when(use, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in payload],

@@ -152,3 +152,12 @@ def test_calibration(spark, rows):
     assert CU.calibrate(trials, 3, True).filter("verdict = 'ISOLATE_likely_broken'").count() == 1
     row = CU.calibration_yield(CU.calibrate(trials, 3)).first()
     assert (row.n_keep, row.keep_percent, row.go) == (2, 66, True)
+
+
+def test_merge_conflicts_name_supplement_only_keys(spark, rows):
+    from evalmart.operators import joins as J
+
+    base = spark.createDataFrame([("A", "1"), ("B", "2")], "k string, v string")
+    supplement = spark.createDataFrame([("N", "1"), ("N", "2"), ("M", "1"), ("A", "9")], "k string, v string")
+    got = rows(J.merge_conflicts(base, supplement, "k", F.col("v")), "k", "n_base", "state")
+    assert got == [("A", 1, "conflict"), ("N", 0, "conflict")]
