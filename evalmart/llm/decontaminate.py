@@ -186,5 +186,5 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without leaks, with all their columns."""
-    gone = leaks(docs, items).select("_key").distinct()
+    gone = kept(leaks(docs, items).select("_key").distinct())
     return docs.withColumn("_key", row_key()).join(checked_broadcast(gone, 16), "_key", "left_anti").drop("_key")

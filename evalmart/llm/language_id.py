@@ -165,5 +165,5 @@ def identify_documents(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES)
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that identify_documents() keeps, with all their columns."""
-    gone = identify_documents(docs).filter(~F.col("keep")).select("_key").distinct()
+    gone = kept(identify_documents(docs).filter(~F.col("keep")).select("_key").distinct())
     return docs.withColumn("_key", row_key()).join(checked_broadcast(gone, 16), "_key", "left_anti").drop("_key")

@@ -278,5 +278,5 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, lea
 
 def keep_quality(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The documents that quality() keeps, with all their columns."""
-    gone = quality(docs, trusted).filter(~F.col("keep")).select("_key").distinct()
+    gone = kept(quality(docs, trusted).filter(~F.col("keep")).select("_key").distinct())
     return docs.withColumn("_key", row_key()).join(checked_broadcast(gone, 16), "_key", "left_anti").drop("_key")
