@@ -106,10 +106,20 @@ def in14_release_records(spark, d):
     return AU.release_records(classified(spark, d)).select("distribution", "bundle_path", "role", "sha256", "size", "source_relpath", "task_id")
 
 
+def tree_sql(src: str, group: str, line: str, copies: str = "count(*)") -> str:
+    """The digest tree of ``digests.lines_digest`` over the lines of a table, as CTEs and the final SELECT."""
+    levels = "".join(f""",
+n{d} AS (SELECT {group}, left(k, {d}) AS k, sha256(string_agg(line, '' ORDER BY line)) AS h, sum(n) AS n FROM l{d} GROUP BY {group}, left(k, {d})),
+l{d - 2} AS (SELECT {group}, k, concat(k, ':', h, chr(10)) AS line, n FROM n{d})""" for d in (6, 4, 2))
+    return f""",
+cnt AS (SELECT {group}, sha256({line}) AS k, {copies} AS n FROM {src} GROUP BY {group}, sha256({line})),
+l6 AS (SELECT {group}, k, concat(k, ':', n, chr(10)) AS line, n FROM cnt){levels}
+SELECT {group}, sha256(string_agg(line, '' ORDER BY line)) AS digest, CAST(sum(n) AS BIGINT) AS n_lines, 'sha256-tree-6-2' AS form FROM l0 GROUP BY {group}"""
+
+
 @query("in14_release_roots", "assets", f""", {INVENTORY_SQL},
 ln AS (SELECT distribution, concat('{{"bundle_path":"', bundle_path, '","execution_mode":null,"family":"', family, '","materialize":', materialize, ',"mode":"0644","role":"', role, '","sha256":"', sha256,
-  '","size":', size, ',"source_relpath":"', path, '","task_id":"', task_id, '"}}', chr(10)) AS line FROM cl WHERE state = 'classified' AND bundle_path IS NOT NULL)
-SELECT distribution, sha256(string_agg(line, '' ORDER BY line)) AS digest, count(*) AS n_lines, 'flat' AS form FROM ln GROUP BY 1""")
+  '","size":', size, ',"source_relpath":"', path, '","task_id":"', task_id, '"}}', chr(10)) AS line FROM cl WHERE state = 'classified' AND bundle_path IS NOT NULL)""" + tree_sql("ln", "distribution", "line"))
 def in14_release_roots(spark, d):
     return AU.release_roots(AU.release_records(classified(spark, d)))
 
@@ -289,26 +299,18 @@ def fn3_content_id(spark, d):
     return A.table(spark, d, "events").select("event_id", H.content_id(doc, exact=True).alias("content_id"))
 
 
-@query("fn4_set_digest", "tasks", """
-SELECT source, sha256(string_agg(concat(task_id, chr(0), sha256(text), chr(10)), '' ORDER BY concat(task_id, chr(0), sha256(text), chr(10)))) AS digest, count(*) AS n_lines, 'flat' AS form FROM tasks GROUP BY source""")
+@query("fn4_set_digest", "tasks", tree_sql("tasks", "source", "concat(task_id, chr(0), sha256(text), chr(10))", "1"))
 def fn4_set_digest(spark, d):
     return DG.set_digest(A.tasks(spark, d).withColumn("sha", F.sha2("text", 256)), ["source"], "task_id", "sha")
 
 
-@query("fn4_set_digest_tree")
-def fn4_set_digest_tree(spark, d):
-    return DG.set_digest(A.tasks(spark, d).withColumn("sha", F.sha2("text", 256)), ["family"], "task_id", "sha", limit=20)
-
-
 @query("fn5_release_root", "tasks", """,
-ln AS (SELECT family, concat('{"n_chars":', n_chars, ',"source":"', source, '","task_id":"', task_id, '"}', chr(10)) AS line FROM tasks)
-SELECT family, sha256(string_agg(line, '' ORDER BY line)) AS digest, count(*) AS n_lines, 'flat' AS form FROM ln GROUP BY 1""")
+ln AS (SELECT family, concat('{"n_chars":', n_chars, ',"source":"', source, '","task_id":"', task_id, '"}', chr(10)) AS line FROM tasks)""" + tree_sql("ln", "family", "line"))
 def fn5_release_root(spark, d):
     return DG.release_root(A.tasks(spark, d), ["family"], ["task_id", "source", "n_chars"])
 
 
-@query("fn6_ordered_ids", "tasks", """
-SELECT family, sha256(string_agg(concat(task_id, chr(10)), '' ORDER BY seq)) AS digest, count(*) AS n_lines, 'flat' AS form FROM tasks GROUP BY 1""")
+@query("fn6_ordered_ids", "tasks", tree_sql("tasks", "family", "concat(seq, chr(9), task_id, chr(10))"))
 def fn6_ordered_ids(spark, d):
     return DG.ordered_ids_digest(A.tasks(spark, d), ["family"], "task_id", "seq")
 
@@ -319,8 +321,7 @@ def fn6_release_id(spark, d):
     return A.assets(spark, d).select("asset_id", DG.release_id("release-content", F.col("sha256"), p, i, F.col("sha256"), p).alias("release_id"))
 
 
-@query("fn7_tree_digest", "tasks", """
-SELECT source, sha256(string_agg(concat(sha256(text), '  ', task_id, chr(10)), '' ORDER BY task_id)) AS digest, count(*) AS n_lines, 'flat' AS form FROM tasks GROUP BY source""")
+@query("fn7_tree_digest", "tasks", tree_sql("tasks", "source", "concat(sha256(text), '  ', task_id, chr(10))"))
 def fn7_tree_digest(spark, d):
     return DG.tree_digest(A.tasks(spark, d).withColumn("sha", F.sha2("text", 256)), ["source"], "task_id", "sha")
 

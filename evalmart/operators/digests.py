@@ -1,8 +1,10 @@
-"""Digests of sets, ordered lists and record sets.
+"""Digests of sets, ordered lists and record sets, as hash trees of one shape at every size.
 
-The plain form hashes the joined lines of a group, which one task has to hold. It is used only for groups up to
-``limit`` lines. Larger groups get the tree form: lines are hashed per bucket of bounded size, then the bucket
-hashes are hashed. The form is part of the result, because the two give different values.
+Each line is hashed in its own task; equal lines are counted before anything is gathered. A leaf is the set of line hashes
+that share their first ``LEAF_DIGITS`` hex digits, every level above drops ``STEP_DIGITS`` of them, and the root hashes what
+is left. So no task holds more than one leaf or 16 ** STEP_DIGITS children, whatever the lines' lengths, and a group with
+one line more has the same form. Both numbers are part of the digest's name in the column ``form``; digests of other numbers,
+or of lines simply joined, have other values.
 """
 
 from __future__ import annotations
@@ -13,69 +15,52 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.hashing import canonical_json
 
-FLAT_LIMIT = 1_000_000
+LEAF_DIGITS = 6
+STEP_DIGITS = 2
+FORM = f"sha256-tree-{LEAF_DIGITS}-{STEP_DIGITS}"
 
 
-def lines_digest(df: DataFrame, group: Sequence[str], line: Column, distinct: bool = False, limit: int = FLAT_LIMIT) -> DataFrame:
-    """Digest of each group's sorted lines: group, digest, n_lines, form.
+def lines_digest(df: DataFrame, group: Sequence[str], line: Column, distinct: bool = False) -> DataFrame:
+    """Digest of each group's lines, whatever their order: group, digest, n_lines, form.
 
-    Equal lines are counted before anything is gathered, so copies of one line stay one row.
+    A leaf hashes ``hash:count LF`` of its lines in hash order, an inner node ``prefix:hash LF`` of its children.
+    All levels lie in the partitions of the first ``STEP_DIGITS``, so that they share one shuffle. A null line is no line.
     """
     key = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("all"))
-    per = df.select(key.alias("_g"), line.alias("_line")).groupBy("_g", "_line").agg(F.count(F.lit(1)).alias("_c"))
-    if distinct:
-        per = per.withColumn("_c", F.lit(1).cast("bigint"))
-    sized = per.join(per.groupBy("_g").agg(F.sum("_c").alias("_n")), "_g")
-    small = sized.filter(F.col("_n") <= limit).groupBy("_g", "_n").agg(
-        F.sort_array(F.collect_list(F.struct("_line", "_c"))).alias("_rows"))
-    repeated = F.flatten(F.transform("_rows", lambda r: F.array_repeat(r["_line"], r["_c"].cast("int"))))
-    flat = small.select("_g", F.sha2(F.array_join(repeated, ""), 256).alias("digest"), F.col("_n").alias("n_lines"), F.lit("flat").alias("form"))
-    large = sized.filter(F.col("_n") > limit)
-    # hex digits so that a bucket holds about a sixteenth of the limit
-    digits = F.ceil(F.log(16.0, F.col("_n") / limit) + 1).cast("int")
-    bucket = F.left(F.sha2("_line", 256), digits)
-    leaves = large.groupBy("_g", "_n", bucket.alias("_b")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("#", "_line", F.col("_c").cast("string")))), ""), 256).alias("_h"))
-    tree = leaves.groupBy("_g", "_n").agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("_b", F.lit(":"), "_h", F.lit("\n")))), ""), 256).alias("digest")
-    ).select("_g", "digest", F.col("_n").alias("n_lines"), F.lit("tree").alias("form"))
-    out = flat.unionByName(tree)
-    return out.select(*[F.col("_g")[g].alias(g) for g in group], "digest", "n_lines", "form")
-
-
-def set_digest(df: DataFrame, group: Sequence[str], name: str, sha: str, limit: int = FLAT_LIMIT) -> DataFrame:
+    hashed = df.select(key.alias("_g"), F.sha2(line, 256).alias("_h")).filter("_h IS NOT NULL")
+    copies = F.lit(1).cast("bigint") if distinct else F.count(F.lit(1))
+    level = hashed.groupBy("_g", "_h").agg(copies.alias("_c")).select(
+        "_g", F.left("_h", F.lit(LEAF_DIGITS)).alias("_b"), F.concat("_h", F.lit(":"), F.col("_c").cast("string"), F.lit("\n")).alias("_line"),
+        F.col("_c").alias("_n")).withColumn("_top", F.left("_b", F.lit(STEP_DIGITS))).repartition("_g", "_top")
+    for digits in range(LEAF_DIGITS, -1, -STEP_DIGITS):
+        by = ["_g", "_top", "_b"] if digits else ["_g"]
+        node = level.groupBy(*by).agg(
+            F.sha2(F.array_join(F.sort_array(F.collect_list("_line")), ""), 256).alias("_h"), F.sum("_n").alias("_n"))
+        if digits:
+            level = node.select(
+                "_g", "_top", F.left("_b", F.lit(digits - STEP_DIGITS)).alias("_b"), F.concat("_b", F.lit(":"), "_h", F.lit("\n")).alias("_line"), "_n")
+    return node.select(*[F.col("_g")[g].alias(g) for g in group], F.col("_h").alias("digest"), F.col("_n").alias("n_lines"), F.lit(FORM).alias("form"))
+
+
+def set_digest(df: DataFrame, group: Sequence[str], name: str, sha: str) -> DataFrame:
     """Order-independent digest of named files: ``name NUL sha LF`` per distinct file."""
-    return lines_digest(df, group, F.concat(F.col(name), F.lit("\0"), F.col(sha), F.lit("\n")), True, limit)
+    return lines_digest(df, group, F.concat(F.col(name), F.lit("\0"), F.col(sha), F.lit("\n")), True)
 
 
-def tree_digest(df: DataFrame, group: Sequence[str], path: str, sha: str, limit: int = FLAT_LIMIT) -> DataFrame:
-    """Digest of a file tree from ``sha  path`` lines in path order."""
-    ordered = F.concat(F.col(path), F.lit("\n"), F.col(sha))
-    return _ordered_digest(df, group, ordered, F.concat(F.col(sha), F.lit("  "), F.col(path), F.lit("\n")), limit)
+def tree_digest(df: DataFrame, group: Sequence[str], path: str, sha: str) -> DataFrame:
+    """Digest of a file tree from ``sha  path`` lines."""
+    return lines_digest(df, group, F.concat(F.col(sha), F.lit("  "), F.col(path), F.lit("\n")))
 
 
-def release_root(records: DataFrame, group: Sequence[str], columns: Sequence[str], exact: bool = False, limit: int = FLAT_LIMIT):
-    """Root of release records: digest of their sorted canonical JSON lines."""
+def release_root(records: DataFrame, group: Sequence[str], columns: Sequence[str], exact: bool = False) -> DataFrame:
+    """Root of release records: digest of their canonical JSON lines."""
     text = canonical_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), exact)
-    return lines_digest(records, group, F.concat(text, F.lit("\n")), False, limit)
+    return lines_digest(records, group, F.concat(text, F.lit("\n")))
 
 
-def ordered_ids_digest(df: DataFrame, group: Sequence[str], id_col: str, order: str, limit: int = FLAT_LIMIT) -> DataFrame:
-    """Digest of the ids in the given order (an integer position)."""
-    return _ordered_digest(df, group, F.col(order), F.concat(F.col(id_col), F.lit("\n")), limit)
-
-
-def _ordered_digest(df: DataFrame, group: Sequence[str], order: Column, line: Column, limit: int) -> DataFrame:
-    """Digest of lines joined in the order of a key. Large groups fall back to the tree form of (order, line)."""
-    key = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("all"))
-    rows = df.select(key.alias("_g"), order.alias("_o"), line.alias("_line"))
-    sized = rows.join(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "_g")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_line"))), lambda r: r["_line"]), "")
-    flat = sized.filter(F.col("_n") <= limit).groupBy("_g", "_n").agg(F.sha2(joined, 256).alias("digest")).select(
-        "_g", "digest", F.col("_n").alias("n_lines"), F.lit("flat").alias("form"))
-    tree = lines_digest(sized.filter(F.col("_n") > limit), ["_g"], F.concat_ws("\t", F.col("_o").cast("string"), "_line"), False, limit)
-    out = flat.unionByName(tree.select("_g", "digest", "n_lines", "form"))
-    return out.select(*[F.col("_g")[g].alias(g) for g in group], "digest", "n_lines", "form")
+def ordered_ids_digest(df: DataFrame, group: Sequence[str], id_col: str, order: str) -> DataFrame:
+    """Digest of the ids with their positions: ``position TAB id LF``, so another order is another digest."""
+    return lines_digest(df, group, F.concat(F.col(order).cast("string"), F.lit("\t"), F.col(id_col), F.lit("\n")))
 
 
 def release_id(tag: str, manifest_sha: Column, ids_sha: Column, policy_sha: Column, public_root: Column, private_root: Column) -> Column:

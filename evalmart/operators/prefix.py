@@ -1,7 +1,8 @@
 """Running totals, ranks and bounded lists that never put a whole group into one task.
 
 A window over a hot group is one task. Here the order key is cut into chunks of bounded width: the window
-over rows runs inside (group, chunk), and only one total per chunk crosses chunks.
+over rows runs inside (group, chunk), and only one total per chunk crosses chunks. Where the key is sparse, chunks
+are as many as rows; so chunks are cut into wider chunks by a fixed radix, until a group can only have few of them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evalmart.session import pin
 
 DEFAULT_WIDTH = 1_000_000
+RADIX = 1_000_000  # most chunks of a group in one window
+KEYS = 1 << 64  # an integer order key has so many values at most
 
 
 def running_total(
@@ -23,7 +26,7 @@ def running_total(
 
     ``width`` is in units of the order key, so a chunk holds at most ``width`` rows.
     """
-    return _running(df, group, order, value, out, keep_previous, F.expr(f"`{order}` div {int(width)}L"))
+    return _running(df, group, [order], value, out, keep_previous, F.expr(f"`{order}` div {int(width)}L"), KEYS // int(width) + 1)
 
 
 def running_count(df: DataFrame, group: Sequence[str], order: str, out: str = "rank", width: int = DEFAULT_WIDTH):
@@ -31,21 +34,32 @@ def running_count(df: DataFrame, group: Sequence[str], order: str, out: str = "r
     return running_total(df, group, order, F.lit(1).cast("bigint"), out, width)
 
 
-def running_count_by_digest(df: DataFrame, group: Sequence[str], digest: str, out: str = "rank", hex_digits: int = 4):
-    """``row_number`` by a hex digest: the leading digits are evenly spread chunks in the same order."""
+def running_count_by_digest(df: DataFrame, group: Sequence[str], digest: str, out: str = "rank", hex_digits: int = 4,
+                            tie: Sequence[str] = ()):
+    """``row_number`` by a hex digest, then ``tie``: the leading digits are evenly spread chunks in the same order."""
     chunk = F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("bigint")
-    return _running(df, group, digest, F.lit(1).cast("bigint"), out, None, chunk)
+    return _running(df, group, [digest, *tie], F.lit(1).cast("bigint"), out, None, chunk, 16 ** hex_digits)
 
 
-def _running(df, group, order, value, out, keep_previous, chunk):
+def _offsets(totals: DataFrame, group: Sequence[str], chunks: int) -> DataFrame:
+    """``_offset`` of each ``_chunk``: the sum of the group's earlier ones, of which there are ``chunks`` at most."""
+    parts, number = [F.col("_chunk")[g] for g in group], F.col("_chunk._n")
+    before = lambda *by: F.coalesce(F.sum("_sum").over(
+        Window.partitionBy(*by).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if chunks <= RADIX:
+        return totals.select("_chunk", before(*parts).alias("_offset"))
+    wide = totals.withColumn("_wide", F.struct(*[p.alias(g) for g, p in zip(group, parts, strict=True)], F.expr(f"_chunk._n div {RADIX}L").alias("_n")))
+    above = wide.groupBy(F.col("_wide").alias("_chunk")).agg(F.sum("_sum").alias("_sum"))
+    base = _offsets(above, group, chunks // RADIX + 1).select(F.col("_chunk").alias("_wide"), F.col("_offset").alias("_base"))
+    return wide.join(base, "_wide").select("_chunk", (F.col("_base") + before("_wide")).alias("_offset"))
+
+
+def _running(df, group, order, value, out, keep_previous, chunk, chunks):
     # Struct keys compare null group values as equal, so such rows are kept.
     tagged = df.withColumn("_chunk", F.struct(*[F.col(g) for g in group], chunk.alias("_n"))).withColumn("_v", value)
     totals = tagged.groupBy("_chunk").agg(F.sum("_v").alias("_sum"))
-    parts = [F.col("_chunk")[g] for g in group]
-    across = Window.partitionBy(*parts).orderBy(F.col("_chunk._n")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_chunk", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    result = tagged.join(offsets, "_chunk").withColumn(out, F.col("_offset") + F.sum("_v").over(inside))
+    inside = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    result = tagged.join(_offsets(totals, group, chunks), "_chunk").withColumn(out, F.col("_offset") + F.sum("_v").over(inside))
     if keep_previous:
         result = result.withColumn(keep_previous, F.col(out) - F.col("_v"))
     return result.drop("_chunk", "_v", "_offset")

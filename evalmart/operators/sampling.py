@@ -27,7 +27,7 @@ def cap_per_group(df: DataFrame, group: str, id_col: str, k: int, seed: int) ->
     rows = df.withColumn("_d", seeded_digest(seed, F.col(id_col)))
     if k <= RANK_LIMIT:
         return first_n(rows, [group], ["_d", id_col], k, "_r").drop("_d", "_r")
-    return running_count_by_digest(rows, [group], "_d", "_r").filter(F.col("_r") <= k).drop("_d", "_r")
+    return running_count_by_digest(rows, [group], "_d", "_r", tie=[id_col]).filter(F.col("_r") <= k).drop("_d", "_r")
 
 
 def assign_ids(df: DataFrame, group: str, order: Sequence[str], prefixes: Column, width: int = 4) -> DataFrame:

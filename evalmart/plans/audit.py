@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalmart.operators.digests import FLAT_LIMIT, release_root
+from evalmart.operators.digests import release_root
 from evalmart.operators.joins import compare_file_sets, field_equality, hash_overlap, source_overlap
 from evalmart.operators.leaks import scan_content
 from evalmart.operators.rules import path_policy
@@ -65,8 +65,8 @@ def release_records(classified: DataFrame) -> DataFrame:
         F.col(c) if c in classified.columns else F.lit(None).cast("string").alias(c) for c in RECORD_COLUMNS])
 
 
-def release_roots(records: DataFrame, limit: int = FLAT_LIMIT) -> DataFrame:
-    return release_root(records, ["distribution"], list(RECORD_COLUMNS), limit=limit)
+def release_roots(records: DataFrame) -> DataFrame:
+    return release_root(records, ["distribution"], list(RECORD_COLUMNS))
 
 
 def runtime_view(classified: DataFrame) -> DataFrame:

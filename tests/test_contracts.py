@@ -81,25 +81,39 @@ def test_canonical_json(spark):
     assert row.x == '{"a":{"x":"é","y":1000.0},"b":2.5}' and row.n == '{"a":[2,3],"b":1}'
 
 
-def test_digests_ignore_order_and_scale_by_form(spark, rows):
+def tree(lines):
+    """The digest tree by its definition, over (line, copies)."""
+    level = [(hashlib.sha256(line.encode()).hexdigest(), n) for line, n in lines]
+    level = [(h[:6], f"{h}:{n}\n") for h, n in level]
+    for digits in (4, 2, 0):
+        nodes = {}
+        for prefix, line in level:
+            nodes.setdefault(prefix, []).append(line)
+        level = [(p[:digits], f"{p}:{hashlib.sha256(''.join(sorted(own)).encode()).hexdigest()}\n") for p, own in nodes.items()]
+    return hashlib.sha256("".join(sorted(line for _, line in level)).encode()).hexdigest()
+
+
+def test_digests_ignore_order_and_partitioning(spark, rows):
     files = [("a.txt", hashlib.sha256(b"alpha\n").hexdigest()), ("nested/b.txt", hashlib.sha256(b"beta\n").hexdigest())]
-    want = hashlib.sha256("".join(f"{n}\0{s}\n" for n, s in sorted(files)).encode()).hexdigest()
+    want = tree([(f"{n}\0{s}\n", 1) for n, s in files])
     df = spark.createDataFrame([*reversed(files), files[0]], "name string, sha string")
-    assert rows(DG.set_digest(df, [], "name", "sha")) == [(want, 2, "flat")]
+    assert rows(DG.set_digest(df, [], "name", "sha")) == [(want, 2, "sha256-tree-6-2")]
     many = spark.range(500).select(F.col("id").cast("string").alias("name"), F.sha1(F.col("id").cast("string")).alias("sha"))
-    one = rows(DG.set_digest(many, [], "name", "sha", limit=50))
-    assert one == rows(DG.set_digest(many.repartition(7), [], "name", "sha", limit=50)) and one[0][2] == "tree"
+    one = rows(DG.set_digest(many, [], "name", "sha"))
+    assert one == rows(DG.set_digest(many.repartition(7), [], "name", "sha"))
+    assert one[0][:2] == (tree([(f"{i}\0{hashlib.sha1(str(i).encode()).hexdigest()}\n", 1) for i in range(500)]), 500)
     changed = many.withColumn("sha", F.when(F.col("name") == "3", "x").otherwise(F.col("sha")))
-    assert rows(DG.set_digest(changed, [], "name", "sha", limit=50)) != one
+    assert rows(DG.set_digest(changed, [], "name", "sha")) != one
     ids = spark.createDataFrame([("b", 1), ("a", 2)], "id string, pos int")
-    assert rows(DG.ordered_ids_digest(ids, [], "id", "pos"))[0][0] == hashlib.sha256(b"b\na\n").hexdigest()
+    assert rows(DG.ordered_ids_digest(ids, [], "id", "pos"))[0][0] == tree([("1\tb\n", 1), ("2\ta\n", 1)])
 
 
-def test_hot_line_stays_one_row_in_the_tree_form(spark, rows):
+def test_hot_line_stays_one_row(spark, rows):
     hot = spark.range(300).select(F.when(F.col("id") < 200, "same").otherwise(F.col("id").cast("string")).alias("line"))
-    one = rows(DG.lines_digest(hot, [], F.col("line"), limit=20))
-    assert one == rows(DG.lines_digest(hot.repartition(5), [], F.col("line"), limit=20))
-    assert one != rows(DG.lines_digest(hot.limit(299), [], F.col("line"), limit=20))
+    one = rows(DG.lines_digest(hot, [], F.col("line")))
+    assert one[0][0] == tree([("same", 200), *((str(i), 1) for i in range(200, 300))])
+    assert one == rows(DG.lines_digest(hot.repartition(5), [], F.col("line")))
+    assert one != rows(DG.lines_digest(hot.limit(299), [], F.col("line")))
 
 
 ASSET = "source_relpath string, relpath string, scope string, collection string, task_id string, family string, execution_mode string, official boolean"
@@ -138,7 +152,7 @@ def test_bundle_root(spark, rows):
     actual = spark.createDataFrame([("p/a", sha, 1)], "path string, sha256 string, size bigint")
     sums = actual.select("path", "sha256")
     line = ('{"bundle_path":"p/a","execution_mode":null,"family":"f","materialize":true,"mode":"0644","role":"runtime.a","sha256":"%s","size":1,"source_relpath":"s/a","task_id":"T1"}\n' % sha)
-    root = hashlib.sha256(line.encode()).hexdigest()
+    root = tree([(line, 1)])
     assert rows(AU.verify_bundle(records, actual, sums, root)) == []
     assert [r[0] for r in rows(AU.verify_bundle(records, actual, sums, "0" * 64))] == ["asset_root_mismatch"]
     moved = actual.withColumn("size", F.lit(2).cast("bigint"))

@@ -29,6 +29,15 @@ def test_running_total(hot, width, partitions):
     assert {r.seq: (r.r, r.p) for r in out.collect()} == want
 
 
+def test_running_total_of_sparse_keys(spark):
+    """Keys far apart: every row is a chunk of its own, and chunks of chunks bound each window."""
+    keys = [0, 5, -(1 << 62), 1 << 62, *(k * 10**9 for k in range(-40, 300)), *(k * 10**15 for k in range(2, 60))]
+    df = spark.createDataFrame([(k, "g" if k % 2 == 0 else "h") for k in keys], "seq bigint, g string").repartition(5).dropDuplicates()
+    got = {r.seq: r.rank for r in X.running_count(df, ["g"], "seq").collect()}
+    want = {k: i for odd in (0, 1) for i, k in enumerate(sorted(k for k in set(keys) if k % 2 == odd), 1)}
+    assert got == want
+
+
 def test_ordered_rank_spreads_a_hot_group(spark, hot):
     data, df = hot
     named = df.withColumn("id", F.concat(F.lit("k"), F.col("seq").cast("string"))).withColumn("g", F.coalesce("g", F.lit("none")))
