@@ -44,6 +44,7 @@ LEAF = 16
 PIVOTS = 3
 PROBES = 4
 BLOCK = 2048
+SHIP = 32  # sets on either side of a block of measured pairs
 BITMAP_BITS = 24
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
@@ -147,7 +148,7 @@ def _bounded(percent: int):
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = (na + nb - np.abs(va - vb).sum(axis=1)) // 2
             ok = batch.column("exact").to_numpy(zero_copy_only=False) | (100 * most >= percent * (na + nb - most))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b", "region"]).filter(pa.array(ok))
 
     return run
 
@@ -172,16 +173,17 @@ def _block_pairs(percent: int):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
+def _overlaps(block: pa.Table) -> pa.Table:
+    """Overlaps of a block's pairs, from the sets that came with it."""
+    sets = {sid: np.frombuffer(s, np.uint64) for sid, s in zip(block.column("sid").to_pylist(), block.column("shingles").to_pylist(), strict=True) if s is not None}
+    out = []
+    for a, b in zip(block.column("a").to_pylist(), block.column("b").to_pylist(), strict=True):
+        if a is not None:
+            both = np.concatenate([sets[a], sets[b]])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            sizes.append((common, len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64())], ["a", "b", "common", "either"])
+            out.append((a, b, common, len(both) - common))
+    return pa.table({name: pa.array([row[i] for row in out], pa.int64()) for i, name in enumerate(("a", "b", "common", "either"))})
 
 
 class _Join:
@@ -218,20 +220,29 @@ class _Join:
         return kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """a, b, common, either of distinct pairs (a < b, exact); pairs that cannot link are left out unless exact."""
-        pairs = kept(pairs.groupBy("a", "b").agg(F.max("exact").alias("exact")))
+        """a, b, common, either of distinct pairs (a < b, exact, region); pairs that cannot link are left out unless exact.
+
+        Pairs of a region meet in blocks of about ``SHIP`` sets by as many, so a set is sent once per block, not once per pair.
+        """
+        pairs = kept(pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.min("region").alias("region")))
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
         about = kept(self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"]))
         a, b = (about.select(*(F.col(c).alias(x) for c, x in zip(("sid", "n", "vector"), names, strict=True))) for names in (("a", "na", "va"), ("b", "nb", "vb")))
         sized = pairs.join(a.drop("va"), "a").join(b.drop("vb"), "b").filter(F.col("exact") | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent))
         bounded = sized.join(a.drop("na"), "a").join(b.drop("nb"), "b")
-        left = kept(bounded.mapInArrow(_bounded(self.percent), "a long, b long"))
+        left = kept(bounded.mapInArrow(_bounded(self.percent), "a long, b long, region long"))
         needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         sets = self.rows.mapInArrow(_sets(self.size, self.spark.sparkContext.broadcast(self.bitmap(needed))), "rep long, sid long, shingles binary")
         sets = sets.join(self.reps.join(needed, "sid").select("sid", "rep"), ["sid", "rep"]).select("sid", "shingles")
         sets = kept(sets.dropDuplicates(["sid"]))
-        full = left.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
-        return kept(full.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, common long, either long"))
+        ends = F.explode(F.array("a", "b")).alias("sid")
+        spans = kept(left.select("region", ends).distinct().groupBy("region").agg(F.ceil(F.count(F.lit(1)) / SHIP).alias("_n")))
+        i, j = (F.pmod(F.xxhash64(c, F.lit(11)), "_n") for c in ("a", "b"))
+        placed = left.join(spans, "region").select(F.xxhash64("region", F.least(i, j), F.greatest(i, j)).alias("block"), "a", "b")
+        none = F.lit(None).cast("long")
+        sent = placed.select("block", ends).distinct().join(sets, "sid").select("block", none.alias("a"), none.alias("b"), "sid", "shingles")
+        full = sent.unionByName(placed.withColumn("sid", none).withColumn("shingles", F.lit(None).cast("binary")))
+        return kept(full.groupBy("block").applyInArrow(_overlaps, "a long, b long, common long, either long"))
 
     def bitmap(self, sids: DataFrame) -> bytes:
         """2^BITMAP_BITS bits in pieces of 4 KB, whatever the number of sets."""
@@ -253,7 +264,7 @@ class _Join:
         to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"))
         stars = drawn.select("region", "sid", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))")
         stars = kept(stars.select("region", "sid", "p", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
-        near = self.measured(stars.select("a", "b", "exact"))
+        near = self.measured(stars.select("a", "b", "exact", "region"))
         links = self.linked(near)
         large = drawn.filter("large")
         if not large.limit(1).count():
@@ -306,7 +317,7 @@ class _Join:
         outside = rows.filter("label <> main").select(*key, F.pmod(own, "bo").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bm") - 1)).alias("i"), F.lit(True).alias("outer"), *cols)
         inside = rows.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("o"), F.pmod(own, "bm").alias("i"), F.lit(False).alias("outer"), *cols)
         found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent), "a long, b long")
-        return found.distinct().withColumn("exact", F.lit(False))
+        return found.distinct().select("a", "b", F.lit(False).alias("exact"), F.col("a").alias("region"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
