@@ -14,8 +14,8 @@
    directly are small or hold few documents outside their largest component.
 5. Components over all links name each document's group.
 
-Candidate pairs pass two exact bounds before any set is shipped: sizes, and the L1 distance of bucketed shingle counts,
-which never exceeds the symmetric difference. No pair is ever left out, so the result equals brute force.
+Candidate pairs pass two exact bounds before any set is shipped: sizes, as soon as the documents of a region meet, and the L1
+distance of bucketed shingle counts, which never exceeds the symmetric difference. No pair is ever left out, so the result equals brute force.
 
 Defined results: null and empty text has no shingles and links with nothing; texts shorter than a shingle are one shingle;
 a null doc_id joins as the largest id and names its component only if alone; repeated rows are rows of one node, and
@@ -102,7 +102,7 @@ def _prefixes(size: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in slices(batches):
-            seen, tokens, sids = set(), [], []
+            seen, tokens, sids, sizes = set(), [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 if len(s) == 0:
                     continue
@@ -114,8 +114,9 @@ def _prefixes(size: int, percent: int, order):
                 rare = np.lexsort((s, counts[(s >> _U(64 - ORDER_BITS)).astype(np.int64)]))[:k]
                 tokens.append(s[rare])
                 sids.append(np.full(k, sid, np.int64))
+                sizes.append(np.full(k, len(s), np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids))], ["region", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))], ["region", "sid", "n"])
 
     return run
 
@@ -200,14 +201,14 @@ class _Join:
             raise ValueError("two different shingle sets share a hash")
 
     def members(self) -> DataFrame:
-        """region, sid, m, large: documents by rare shingle, where at least two different sets meet; equal regions once."""
+        """region, sid, n, m, large: documents by rare shingle, where at least two different sets meet; equal regions once."""
         order = np.zeros(1 << ORDER_BITS, np.int64)
         sums = self.counts.mapInArrow(_spread, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most 2^ORDER_BITS rows
         order[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
         shared = self.spark.sparkContext.broadcast(order)
-        rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long")
+        rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long, n long")
         live = rows.groupBy("region").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("region")
-        met = kept(rows.join(live, "region").groupBy("region", "sid").agg(F.lit(1).alias("_one")).select("region", "sid"))
+        met = kept(rows.join(live, "region").groupBy("region", "sid").agg(F.max("n").alias("n")))
         mark = F.xxhash64("sid")
         signs = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
         once = signs.groupBy("m", "x", "s").agg(F.min("region").alias("region")).select("region", "m")
@@ -215,22 +216,25 @@ class _Join:
         large = marked.filter(F.col("m") > LEAF)
         # Large regions overlap; those with the same first pivot become one, so that no pair is met once per shingle.
         first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
-        merged = large.join(first, "region").select(F.xxhash64("_first").alias("region"), "sid").distinct()
+        merged = large.join(first, "region").select(F.xxhash64("_first").alias("region"), "sid", "n").distinct()
         sizes = merged.groupBy("region").agg(F.count(F.lit(1)).alias("m"))
-        return kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
+        return kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "n", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """a, b, common, either of distinct pairs (a < b, exact, region); pairs that cannot link are left out unless exact.
-
-        Pairs of a region meet in blocks of about ``SHIP`` sets by as many, so a set is sent once per block, not once per pair.
-        """
+        """Overlaps of distinct pairs (a < b, exact, region) that pass the bound of bucketed counts or are exact."""
         pairs = kept(pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.min("region").alias("region")))
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
         about = kept(self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"]))
         a, b = (about.select(*(F.col(c).alias(x) for c, x in zip(("sid", "n", "vector"), names, strict=True))) for names in (("a", "na", "va"), ("b", "nb", "vb")))
-        sized = pairs.join(a.drop("va"), "a").join(b.drop("vb"), "b").filter(F.col("exact") | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent))
-        bounded = sized.join(a.drop("na"), "a").join(b.drop("nb"), "b")
-        left = kept(bounded.mapInArrow(_bounded(self.percent), "a long, b long, region long"))
+        bounded = pairs.join(a, "a").join(b, "b")
+        return self.overlaps(bounded.mapInArrow(_bounded(self.percent), "a long, b long, region long"))
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """a, b, common, either of distinct pairs (a < b, region).
+
+        Pairs of a region meet in blocks of about ``SHIP`` sets by as many, so a set is sent once per block, not once per pair.
+        """
+        left = kept(pairs)
         needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         sets = self.rows.mapInArrow(_sets(self.size, self.spark.sparkContext.broadcast(self.bitmap(needed))), "rep long, sid long, shingles binary")
         sets = sets.join(self.reps.join(needed, "sid").select("sid", "rep"), ["sid", "rep"]).select("sid", "shingles")
@@ -261,8 +265,9 @@ class _Join:
         first = met.filter("large").groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
         drawn = met.join(first, "region", "left").withColumn("pivot", F.col("large") & ((F.col("sid") == F.col("_first")) | (self.chance(7) < PIVOTS)))
         drawn = drawn.withColumn("probe", ~F.col("large") | F.col("pivot") | (self.chance(8) < PROBES * F.log2("m")))
-        to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"))
-        stars = drawn.select("region", "sid", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))")
+        to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"), F.col("n").alias("pn"))
+        fits = F.col("exact") | (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
+        stars = drawn.select("region", "sid", "n", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))").filter(fits)
         stars = kept(stars.select("region", "sid", "p", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
         near = self.measured(stars.select("a", "b", "exact", "region"))
         links = self.linked(near)
@@ -270,7 +275,7 @@ class _Join:
         if not large.limit(1).count():
             return links
         cells = self.cells(large, stars.filter("exact"), near)
-        return links.union(self.linked(self.measured(self.across(cells, components(links)))))
+        return links.union(self.linked(self.overlaps(self.across(cells, components(links)))))
 
     @staticmethod
     def chance(seed: int) -> Column:
@@ -317,7 +322,7 @@ class _Join:
         outside = rows.filter("label <> main").select(*key, F.pmod(own, "bo").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bm") - 1)).alias("i"), F.lit(True).alias("outer"), *cols)
         inside = rows.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("o"), F.pmod(own, "bm").alias("i"), F.lit(False).alias("outer"), *cols)
         found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent), "a long, b long")
-        return found.distinct().select("a", "b", F.lit(False).alias("exact"), F.col("a").alias("region"))
+        return found.distinct().select("a", "b", F.col("a").alias("region"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
