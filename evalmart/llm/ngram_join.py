@@ -237,14 +237,14 @@ class _Join:
         left = kept(pairs)
         needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         sets = self.rows.mapInArrow(_sets(self.size, self.spark.sparkContext.broadcast(self.bitmap(needed))), "rep long, sid long, shingles binary")
-        sets = sets.join(self.reps.join(needed, "sid").select("sid", "rep"), ["sid", "rep"]).select("sid", "shingles")
-        sets = kept(sets.dropDuplicates(["sid"]))
         ends = F.explode(F.array("a", "b")).alias("sid")
         spans = kept(left.select("region", ends).distinct().groupBy("region").agg(F.ceil(F.count(F.lit(1)) / SHIP).alias("_n")))
         i, j = (F.pmod(F.xxhash64(c, F.lit(11)), "_n") for c in ("a", "b"))
         placed = left.join(spans, "region").select(F.xxhash64("region", F.least(i, j), F.greatest(i, j)).alias("block"), "a", "b")
         none = F.lit(None).cast("long")
-        sent = placed.select("block", ends).distinct().join(sets, "sid").select("block", none.alias("a"), none.alias("b"), "sid", "shingles")
+        # One key for all: copies of a set stay apart, repeated rows are dropped where they are, a set is shuffled once before its blocks.
+        wanted = placed.select("block", ends).distinct().join(self.reps.select("sid", "rep"), "sid")
+        sent = sets.dropDuplicates(["rep", "sid"]).join(wanted, ["rep", "sid"]).select("block", none.alias("a"), none.alias("b"), "sid", "shingles")
         full = sent.unionByName(placed.withColumn("sid", none).withColumn("shingles", F.lit(None).cast("binary")))
         return kept(full.groupBy("block").applyInArrow(_overlaps, "a long, b long, common long, either long"))
 
