@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from evalmart.llm.common import checked_broadcast, hashed, kept, pack, slices, text_of, unpack, windows, words
 from evalmart.llm.components import components
+from evalmart.llm.quality import row_key
 
 SHINGLE = 4
 PERCENT = 85
@@ -71,7 +72,7 @@ def _nodes(size: int):
     """A row per document, and one row per task with its bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "sid", "guard", "n", "vector", "counts"]
+        names = ["doc_id", "key", "sid", "guard", "n", "vector", "counts"]
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), size)
@@ -79,8 +80,8 @@ def _nodes(size: int):
             counts += np.bincount((np.concatenate(sets) >> _U(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
             vectors = [np.minimum(np.bincount((s & _U(VECTOR - 1)).astype(np.int64), minlength=VECTOR), 255).astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([i for i, _ in ids], pa.int64()), pa.array([g for _, g in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(vectors, pa.binary()), pa.nulls(len(sets), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([pack(counts)], pa.binary())], names)
+                [batch.column("doc_id"), batch.column("key"), pa.array([i for i, _ in ids], pa.int64()), pa.array([g for _, g in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(vectors, pa.binary()), pa.nulls(len(sets), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.nulls(1, pa.binary()), pa.array([pack(counts)], pa.binary())], names)
 
     return run
 
@@ -192,11 +193,12 @@ class _Join:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         self.radius = 1 - percent / 100
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"))
-        first = kept(self.rows.mapInArrow(_nodes(size), "doc_id long, sid long, guard long, n long, vector binary, counts binary"))
-        self.nodes = first.filter("counts IS NULL").select("doc_id", "sid", "guard", "n", "vector")
+        keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"), row_key().alias("key"))
+        first = kept(keyed.mapInArrow(_nodes(size), "doc_id long, key long, sid long, guard long, n long, vector binary, counts binary"))
+        self.nodes = first.filter("counts IS NULL").select("doc_id", "key", "sid", "guard", "n", "vector")
         self.counts = first.filter("counts IS NOT NULL").select("counts")
-        same = self.nodes.groupBy("sid").agg(F.min("guard").alias("g"), F.max("guard").alias("h"), F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-        self.reps = kept(same)
+        same = self.nodes.groupBy("sid").agg(F.min("guard").alias("g"), F.max("guard").alias("h"), F.min(F.struct("doc_id", "key")).alias("_r"), F.max("n").alias("n"))
+        self.reps = kept(same.select("sid", "g", "h", F.col("_r.doc_id").alias("rep"), F.col("_r.key").alias("key"), "n"))
         if self.reps.filter("g <> h").limit(1).count():
             raise ValueError("two different shingle sets share a hash")
 
@@ -339,12 +341,20 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all its columns; empty texts all stay, once per doc_id."""
-    groups = kept(jaccard_components(docs, size, percent).withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))))
-    gone = groups.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("_id").distinct()
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(checked_broadcast(gone, 16), "_id", "left_anti")
-    twice = groups.groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_id")
-    if twice.limit(1).count():  # only rows of repeated ids are shuffled
+    """One document of each group, the row of the smallest (doc_id, row_key), with all its columns; empty texts all stay.
+
+    Rows count by id and text, so null and repeated ids lose nothing but copies. Rows equal in both stay once. Groups are
+    reduced set by set before they meet, so neither a hot id nor a hot text stands in one task.
+    """
+    join = _Join(docs, size, percent)
+    labels = components(join.links())
+    sets = join.reps.filter("n > 0").join(labels.withColumnRenamed("id", "sid"), "sid", "left")
+    first = sets.groupBy(F.coalesce("label", "sid").alias("label")).agg(F.min(F.struct("rep", "key")).alias("_r")).select(F.col("_r.key").alias("_key"))
+    own = kept(join.nodes.groupBy(F.col("key").alias("_key")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("_c")))
+    gone = kept(own.filter("n > 0").select("_key").join(first, "_key", "left_anti"))
+    out = docs.withColumn("_key", row_key()).join(checked_broadcast(gone, 16), "_key", "left_anti")
+    twice = kept(own.filter("_c > 1").select("_key").join(gone, "_key", "left_anti"))
+    if twice.limit(1).count():  # only rows that are repeated are shuffled
         few = checked_broadcast(twice, 16)
-        out = out.join(few, "_id", "left_anti").unionByName(out.join(few, "_id", "left_semi").dropDuplicates(["_id"]))
+        out = out.join(few, "_key", "left_anti").unionByName(out.join(few, "_key", "left_semi").dropDuplicates(["_key"]))
     return out.select(*docs.columns)

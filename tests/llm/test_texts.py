@@ -119,6 +119,15 @@ def test_jaccard_keeps_one_of_each_group(spark, docs, rows, no_docs):
     assert ngram_join.jaccard_components(no_docs).count() == 0
 
 
+def test_null_and_repeated_ids_keep_their_own_texts(spark, no_docs):
+    rng = random.Random(21)
+    a, b, c, d, e, f = (prose(rng, "en", 40) for _ in range(6))
+    texts = [(3, a), (7, a), (7, b), (8, c), (8, d), (None, a), (None, e), (None, e), (None, f), (9, f), (9, f), (11, ""), (11, " "), (None, None)]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, [(i, t, "en", "s") for i, t in texts]), 5, 80).collect())
+    assert got == Counter([(3, a), (7, b), (8, c), (8, d), (None, e), (9, f), (11, ""), (11, " "), (None, None)])
+    assert ngram_join.keep_one(no_docs).count() == 0
+
+
 def test_words_and_hashes():
     texts = ["A b\tC", "", None, "É ß x y", "w" * 200 + " " + "w" * 200]
     flat, offsets = words(pa.array(texts))
