@@ -2,9 +2,11 @@
 
 Words become template tokens: numbers, units after numbers and capitalised names inside sentences give way to typed
 placeholders, everything else is its lower-cased core. Windows of template tokens with enough literal words are hash-joined
-with those of the benchmark. Windows on one diagonal (document place minus item place) belong to one occurrence; there,
+with those of the benchmark; a benchmark window that is too dense in numbers, units or names for that is sought in its exact
+form (all cores), so every item with any word has windows at all its places and a verbatim copy meets all of them. Windows on one diagonal (document place minus item place) belong to one occurrence; there,
 equal values of the item must meet equal values of the document, so a question with other numbers or names is caught and an
-accidental frame is not. A document is a leak of an item if consistent windows cover enough of the item.
+accidental frame is not. A document is a leak of an item if consistent windows cover enough of all its windows, or enough of
+those with literals (dense windows of another parameterisation cannot meet). ``coverage`` is the share of all windows.
 
 Before the join each task drops windows that no benchmark window can equal, by a bitmap of fixed size over window hashes.
 An item shorter than a window is one window of its own length, sought at that length.
@@ -41,6 +43,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 EDGES = "\"'`´‘’“”„«»()[]{}<>.,;:!?…*_~|-–—/\\#"
 LITERAL, NUM, NAME_CASE, UNIT, NUM_UNIT, EMPTY = range(6)
+EXACT = np.uint64(xxhash.xxh64_intdigest("<exact>"))
 PLACEHOLDERS = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "name", "unit", "quantity"))], np.uint64)
 
 
@@ -69,7 +72,7 @@ def _memo() -> dict[str, tuple[int, int, bool]]:
 
 
 def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template codes, slot values (0 for literals), line starts excluded names, and token offsets of each text."""
+    """Kinds, hashes of cores, slot types (0 for literals) and token offsets of each text."""
     parts = pc.ascii_split_whitespace(texts)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -97,8 +100,7 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     after_number = np.zeros(len(kind), bool)
     after_number[1:] = kind[:-1] == NUM
     slot = np.where(kind == NUM, 1, np.where((kind == NAME_CASE) & ~opens, 2, np.where((kind == UNIT) & after_number, 3, np.where(kind == NUM_UNIT, 4, 0))))
-    codes = np.where(slot > 0, PLACEHOLDERS[slot], value)
-    return codes, np.where(slot > 0, value, np.uint64(0)), slot > 0, offsets
+    return kind, value, slot, offsets
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -114,37 +116,76 @@ def _needed(size: int) -> int:
     return max(1, -(-LITERALS * size // WINDOW))
 
 
-def _windows(sizes: list[int], bitmap: bytes | None, id_column: str, only_own_size: bool):
-    """Rows (id, _key, place, size, hash, slots) of windows that have enough literals and may be in the bitmap."""
-    bits = np.frombuffer(bitmap, np.uint8) if bitmap is not None else None
+def _sums(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(flags)])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the benchmark at every place of an item: as a template where literals suffice, in exact form where words that are literals anywhere do not.
+
+    ``_rich``: the place has a template window; ``_plain``: the row is one.
+    """
+    for batch in slices(batches):
+        kind, value, slot, offsets = template(batch.column("text"))
+        codes, slots = np.where(slot > 0, PLACEHOLDERS[slot], value), np.where(slot > 0, value, np.uint64(0))
+        owner, at, rich, plain, found, held = [], [], [], [], [], []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            size = min(b - a, WINDOW)
+            if size == 0:
+                continue
+            exact, templates = (window_hashes(c[a:b], size).view(np.int64).tolist() for c in (value ^ EXACT, codes))
+            for k in range(b - a - size + 1):
+                span = slice(a + k, a + k + size)
+                enough = int((slot[span] == 0).sum()) >= _needed(size)
+                rows = [(True, templates[k])] if enough else []
+                if int((kind[span] == LITERAL).sum()) < _needed(size):
+                    rows.append((False, exact[k]))
+                for is_plain, h in rows:
+                    owner.append(i)
+                    at.append(k)
+                    rich.append(enough)
+                    plain.append(is_plain)
+                    found.append(h)
+                    held.append(slots[span].view(np.int64).tolist())
+        take, lengths = pa.array(owner, pa.int64()), np.diff(offsets)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("item_id").take(take), pa.array(at, pa.int64()), pa.array(found, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(lengths[owner] if owner else [], pa.int64()), pa.array(plain, pa.bool_()), pa.array(rich, pa.bool_())],
+            ["item_id", "_at", "_hash", "_values", "_tokens", "_plain", "_rich"],
+        )
+    _memo().clear()
+
+
+def _windows(sizes: list[int], bitmap: bytes):
+    """Rows (doc_id, _key, _at, _hash, _values, _plain) of windows that may be in the bitmap: templates with enough literals, and exact forms."""
+    bits = np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            codes, values, slots, offsets = template(batch.column("text"))
-            lengths = np.diff(offsets)
-            literal = np.concatenate([[0], np.cumsum(~slots)])
-            rows, places, found, width = [], [], [], []
+            _, value, slot, offsets = template(batch.column("text"))
+            readings = [(np.where(slot > 0, PLACEHOLDERS[slot], value), np.where(slot > 0, value, np.uint64(0)), _sums(slot == 0), None, True), (value ^ EXACT, value, None, None, False)]
+            rows, places, found, held, plain = [], [], [], [], []
             for size in sizes:
-                hashes = window_hashes(codes, size)
-                start = np.arange(len(hashes))
+                start = np.arange(max(len(value) - size + 1, 0))
                 owner = np.searchsorted(offsets, start, "right") - 1
-                ok = (start + size <= offsets[owner + 1]) & (literal[start + size] - literal[start] >= _needed(size)) if len(start) else np.zeros(0, bool)
-                if only_own_size and len(start):
-                    ok &= np.minimum(lengths[owner], WINDOW) == size
-                if bits is not None and len(start):
+                inside = start + size <= offsets[owner + 1] if len(start) else np.zeros(0, bool)
+                for codes, values, literal, other, is_plain in readings:
+                    hashes = window_hashes(codes, size)
                     spot = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                    ok &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                start, owner = start[ok], owner[ok]
-                rows.append(owner)
-                places.append(start)
-                found.append(hashes[ok])
-                width.append(np.full(len(start), size))
-            owner, start, hashes, width = map(np.concatenate, (rows, places, found, width))
-            held = [values[a : a + w].view(np.int64).tolist() for a, w in zip(start.tolist(), width.tolist(), strict=True)]
+                    ok = inside & ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1)
+                    if literal is not None:
+                        ok &= literal[start + size] - literal[start] >= _needed(size)
+                    if other is not None:
+                        ok &= other[start + size] > other[start]
+                    rows.append(owner[ok])
+                    places.append(start[ok])
+                    found.append(hashes[ok])
+                    plain.append(np.full(int(ok.sum()), is_plain))
+                    held += [values[a : a + size].view(np.int64).tolist() for a in start[ok].tolist()]
+            owner, start, hashes, plain = map(np.concatenate, (rows, places, found, plain))
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_column).take(take), batch.column("_key").take(take), pa.array(start - offsets[owner]), pa.array(hashes.view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(lengths[owner])],
-                [id_column, "_key", "_at", "_hash", "_values", "_tokens"],
+                [batch.column("doc_id").take(take), batch.column("_key").take(take), pa.array(start - offsets[owner]), pa.array(hashes.view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(plain)],
+                ["doc_id", "_key", "_at", "_hash", "_values", "_plain"],
             )
         _memo().clear()
 
@@ -153,10 +194,8 @@ def _windows(sizes: list[int], bitmap: bytes | None, id_column: str, only_own_si
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, changed_slots, _key: documents that hold an item or a re-parameterised form of it."""
-    schema = "{} long, _key long, _at long, _hash long, _values array<long>, _tokens long"
-    sizes = list(range(1, WINDOW + 1))
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).withColumn("_key", F.xxhash64("item_id", "text"))
-    known = kept(own.mapInArrow(_windows(sizes, None, "item_id", True), schema.format("item_id")))
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
+    known = kept(own.mapInArrow(_item_windows, "item_id long, _at long, _hash long, _values array<long>, _tokens long, _plain boolean, _rich boolean"))
     spot = F.shiftrightunsigned("_hash", 64 - BITMAP_BITS)
     # A bitmap of 2^22 bits in 128 pieces, whatever the benchmark's size.
     pieces = known.select(F.bitmap_bucket_number(spot + 1).alias("b"), F.bitmap_bit_position(spot + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
@@ -165,23 +204,29 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
         bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["bits"]
     present = sorted(r["n"] for r in known.select(F.least("_tokens", F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]  # at most WINDOW sizes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), row_key().alias("_key"))
-    seen = rows.mapInArrow(_windows(present, bytes(bitmap), "doc_id", False), schema.format("doc_id"))
-    bench = known.select("item_id", F.col("_hash").alias("_h"), F.col("_at").alias("_item_at"), F.col("_values").alias("_item_values"))
-    totals = known.groupBy("item_id").agg(F.countDistinct("_at").alias("_windows"))
-    met = kept(seen.join(bench, F.col("_hash") == F.col("_h")).select("doc_id", "_key", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_values", "_item_values"))
+    seen = rows.mapInArrow(_windows(present, bytes(bitmap)), "doc_id long, _key long, _at long, _hash long, _values array<long>, _plain boolean")
+    bench = known.select("item_id", F.col("_hash").alias("_h"), F.col("_at").alias("_item_at"), F.col("_values").alias("_item_values"), F.col("_plain").alias("_item_plain"), "_rich")
+    totals = known.groupBy("item_id").agg(F.countDistinct("_at").alias("_windows"), F.countDistinct(F.when(F.col("_rich"), F.col("_at"))).alias("_templates"))
+    joined = seen.join(bench, F.col("_hash") == F.col("_h"))
+    # Plain templates count by themselves and with all other forms: values that only the other forms show can add windows, never take any away.
+    forms = F.explode(F.when(F.col("_plain") & F.col("_item_plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("_form")
+    met = kept(joined.select("doc_id", "_key", "item_id", "_item_at", "_rich", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_values", "_item_values", forms))
     who = ["doc_id", "_key", "item_id"]
-    pairs = met.select(*who, "_diagonal", "_item_at", F.explode(F.arrays_zip("_item_values", "_values")).alias("v")).filter("v._item_values <> 0")
-    places = pairs.groupBy(*who, "_diagonal", F.col("v._item_values").alias("_was")).agg(F.min("v._values").alias("_lo"), F.max("v._values").alias("_hi"))
-    slots = places.groupBy(*who, "_diagonal").agg(F.count(F.lit(1)).alias("_slots"), F.sum((F.col("_lo") == F.col("_hi")).cast("long")).alias("_steady"), F.sum((F.col("_lo") != F.col("_was")).cast("long")).alias("_changed"))
-    null_safe = [c for c in (*who, "_diagonal")]
-    left, right = met.groupBy(*null_safe).agg(F.collect_set("_item_at").alias("_places")), slots
-    on = [left[c].eqNullSafe(right[c]) for c in null_safe]
-    runs = left.join(right, on, "left").select(*(left[c] for c in null_safe), "_places", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_slots", "_steady", "_changed")))
-    steady = runs.filter(F.col("_steady") >= CONSISTENT * F.col("_slots"))
-    found = steady.groupBy(*who).agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"), F.max("_slots").alias("n_slots"), F.min("_changed").alias("changed_slots"))
-    total = checked_broadcast(totals.withColumnRenamed("item_id", "_item"), 24)
+    run = [*who, "_diagonal", "_form"]
+    pairs = met.select(*run, F.explode(F.arrays_zip("_item_values", "_values")).alias("v")).filter("v._item_values <> 0")
+    places = pairs.groupBy(*run, F.col("v._item_values").alias("_was")).agg(F.min("v._values").alias("_lo"), F.max("v._values").alias("_hi"))
+    slots = places.groupBy(*run).agg(F.count(F.lit(1)).alias("_slots"), F.sum((F.col("_lo") == F.col("_hi")).cast("long")).alias("_steady"), F.sum((F.col("_lo") != F.col("_was")).cast("long")).alias("_changed"))
+    left, right = met.groupBy(*run).agg(F.collect_set(F.struct("_item_at", "_rich")).alias("_places")), slots
+    on = [left[c].eqNullSafe(right[c]) for c in run]
+    runs = left.join(right, on, "left").select(*(left[c] for c in run), "_places", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_slots", "_steady", "_changed")))
+    steady = runs.filter(F.col("_steady") >= CONSISTENT * F.col("_slots")).groupBy(*who, "_diagonal").agg(F.max_by(F.struct("_places", "_slots", "_changed"), "_form").alias("r")).select(*who, "r.*")
+    places = F.array_distinct(F.flatten(F.collect_list("_places")))
+    found = steady.groupBy(*who).agg(places.alias("_places"), F.max("_slots").alias("n_slots"), F.min("_changed").alias("changed_slots"))
+    found = found.withColumn("n_windows", F.size("_places").cast("long")).withColumn("_met", F.size(F.filter("_places", lambda p: p["_rich"])))
+    total = checked_broadcast(totals.withColumnRenamed("item_id", "_item"), 32)
     covered = found.join(total, F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("coverage", F.round(F.col("n_windows") / F.col("_windows"), 6))
-    return covered.filter(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "changed_slots", "_key")
+    enough = (F.col("coverage") >= coverage) | (F.round(F.col("_met") / F.nullif("_templates", F.lit(0)), 6) >= coverage)
+    return covered.filter(enough).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "changed_slots", "_key")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

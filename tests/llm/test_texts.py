@@ -158,6 +158,24 @@ def test_leaks_exact_and_reparameterised(spark, no_docs):
     assert broken != item
 
 
+def leaked(spark, texts: list[str], items: list[str]) -> dict[tuple[int, int], tuple]:
+    """(document, item) -> (n_windows, coverage, changed_slots), by place in the lists."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.n_windows, r.coverage, r.changed_slots) for r in decontaminate.leaks(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), bench).collect()}
+
+
+def test_items_dense_in_numbers_are_sought_exactly(spark):
+    rng = random.Random(9)
+    items = ["Compute 17 * 23 .", "What is 12 + 7 ?", "Sort 5, 3, 9, 1, 7, 2, 8, 4, 6", "For the record the clerk of the town wrote down these values 4 8 15 16 23 42 108 7 9 11 13"]
+    filler = [prose(rng, "en", 30) for _ in items]
+    texts = [f"{f}. {item} {f}" for f, item in zip(filler, items, strict=True)]
+    other = ["Compute 17 * 24 .", "What is 12 + 8 ?", "Sort 5, 3, 9, 2, 7, 1, 4, 8, 6", "For the record the clerk of the town wrote down these values 3 7 14 15 22 41 107 6 8 10 12"]
+    got = leaked(spark, texts + other, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (7, 3)}
+    assert all(got[(i, i)][1:] == (1, 0) for i in range(4)) and got[(3, 3)][0] == 16
+    assert got[(7, 3)][1] < 1
+
+
 # --- quality ---
 
 def brute_model(texts: list[str]):
