@@ -6,7 +6,7 @@ with those of the benchmark; a benchmark window that is too dense in numbers, un
 form (all cores), so every item with any word has windows at all its places and a verbatim copy meets all of them. Windows on one diagonal (document place minus item place) belong to one occurrence; there,
 equal values of the item must meet equal values of the document, so a question with other numbers or names is caught and an
 accidental frame is not. A document is a leak of an item if consistent windows cover enough of all its windows, or enough of
-those with literals (dense windows of another parameterisation cannot meet). ``coverage`` is the share of all windows.
+those with literals (dense windows of another parameterisation cannot meet), or as many as a passage of ``PASSAGE`` words has. ``coverage`` is the share of all windows.
 
 Before the join each task drops windows that no benchmark window can equal, by a bitmap of fixed size over window hashes.
 An item shorter than a window is one window of its own length, sought at that length.
@@ -35,6 +35,7 @@ from evalmart.llm.quality import row_key
 WINDOW = 8
 LITERALS = 5  # of a window; shorter items in proportion
 COVERAGE = 0.4
+PASSAGE = 50  # words of an item that suffice, however long the item is
 CONSISTENT = 0.75
 BITMAP_BITS = 22
 MEMO_WORDS = 100_000
@@ -225,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     found = found.withColumn("n_windows", F.size("_places").cast("long")).withColumn("_met", F.size(F.filter("_places", lambda p: p["_rich"])))
     total = checked_broadcast(totals.withColumnRenamed("item_id", "_item"), 32)
     covered = found.join(total, F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("coverage", F.round(F.col("n_windows") / F.col("_windows"), 6))
-    enough = (F.col("coverage") >= coverage) | (F.round(F.col("_met") / F.nullif("_templates", F.lit(0)), 6) >= coverage)
+    enough = (F.col("coverage") >= coverage) | (F.round(F.col("_met") / F.nullif("_templates", F.lit(0)), 6) >= coverage) | (F.col("n_windows") >= PASSAGE - WINDOW + 1)
     return covered.filter(enough).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "changed_slots", "_key")
 
 

@@ -176,6 +176,14 @@ def test_items_dense_in_numbers_are_sought_exactly(spark):
     assert got[(7, 3)][1] < 1
 
 
+def test_a_long_passage_of_a_longer_item_is_a_leak(spark):
+    rng = random.Random(10)
+    item = " ".join(f"{w}{i}x" for i, w in enumerate(prose(rng, "en", 300).lower().replace(".", "").split())).split()
+    texts = [" ".join(item[100 : 100 + n]) for n in (100, 50, 49)]
+    got = leaked(spark, texts, [" ".join(item)])
+    assert {k: v[0] for k, v in got.items()} == {(0, 0): 93, (1, 0): 43}
+
+
 # --- quality ---
 
 def brute_model(texts: list[str]):
