@@ -9,6 +9,10 @@ accidental frame is not. A document is a leak of an item if consistent windows c
 those with literals (dense windows of another parameterisation cannot meet), or as many as a passage of ``PASSAGE`` words has. ``coverage`` is the share of all windows.
 
 Before the join each task drops windows that no benchmark window can equal, by a bitmap of fixed size over window hashes.
+A capitalised word that opens a sentence has two readings, its core and a name; so has a unit that opens an item, since a number
+may stand before the copy. Items emit windows in every mixture of readings, documents in two: all openers as cores and all as
+names. So neither what stands before a copy nor another name at the head of a sentence hides it.
+
 An item shorter than a window is one window of its own length, sought at that length.
 
 Defined results: null or empty texts, documents and items alike, match nothing; repeated documents are reported each,
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +77,8 @@ def _memo() -> dict[str, tuple[int, int, bool]]:
     return {}
 
 
-def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kinds, hashes of cores, slot types (0 for literals) and token offsets of each text."""
+def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, hashes of cores, slot types (0 for literals) with openers as literals and as names, and token offsets of each text."""
     parts = pc.ascii_split_whitespace(texts)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -100,8 +105,9 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     kind, value, opens = kind[full], value[full], opens[full]
     after_number = np.zeros(len(kind), bool)
     after_number[1:] = kind[:-1] == NUM
+    after_number[offsets[:-1][offsets[:-1] < len(kind)]] = False  # a text does not depend on the one before it
     slot = np.where(kind == NUM, 1, np.where((kind == NAME_CASE) & ~opens, 2, np.where((kind == UNIT) & after_number, 3, np.where(kind == NUM_UNIT, 4, 0))))
-    return kind, value, slot, offsets
+    return kind, value, slot, np.where(kind == NAME_CASE, 2, slot), offsets
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -127,8 +133,10 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     ``_rich``: the place has a template window; ``_plain``: the row is one.
     """
     for batch in slices(batches):
-        kind, value, slot, offsets = template(batch.column("text"))
-        codes, slots = np.where(slot > 0, PLACEHOLDERS[slot], value), np.where(slot > 0, value, np.uint64(0))
+        kind, value, slot, named, offsets = template(batch.column("text"))
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        named[heads[kind[heads] == UNIT]] = 3
+        codes = np.where(slot > 0, PLACEHOLDERS[slot], value)
         owner, at, rich, plain, found, held = [], [], [], [], [], []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             size = min(b - a, WINDOW)
@@ -137,17 +145,23 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             exact, templates = (window_hashes(c[a:b], size).view(np.int64).tolist() for c in (value ^ EXACT, codes))
             for k in range(b - a - size + 1):
                 span = slice(a + k, a + k + size)
-                enough = int((slot[span] == 0).sum()) >= _needed(size)
-                rows = [(True, templates[k])] if enough else []
+                spare = int((slot[span] == 0).sum()) - _needed(size)
+                enough = spare >= 0
+                rows = [(True, templates[k], slot[span])] if enough else []
+                open_ = np.flatnonzero(slot[span] != named[span])
+                for some in chain.from_iterable(combinations(open_.tolist(), n) for n in range(1, min(len(open_), spare) + 1)):
+                    mix = slot[span].copy()
+                    mix[list(some)] = named[span][list(some)]
+                    rows.append((False, int(window_hashes(np.where(mix > 0, PLACEHOLDERS[mix], value[span]), size).view(np.int64)[0]), mix))
                 if int((kind[span] == LITERAL).sum()) < _needed(size):
-                    rows.append((False, exact[k]))
-                for is_plain, h in rows:
+                    rows.append((False, exact[k], named[span]))
+                for is_plain, h, mix in rows:
                     owner.append(i)
                     at.append(k)
                     rich.append(enough)
                     plain.append(is_plain)
                     found.append(h)
-                    held.append(slots[span].view(np.int64).tolist())
+                    held.append(np.where(mix > 0, value[span], np.uint64(0)).view(np.int64).tolist())
         take, lengths = pa.array(owner, pa.int64()), np.diff(offsets)
         yield pa.RecordBatch.from_arrays(
             [batch.column("item_id").take(take), pa.array(at, pa.int64()), pa.array(found, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(lengths[owner] if owner else [], pa.int64()), pa.array(plain, pa.bool_()), pa.array(rich, pa.bool_())],
@@ -157,13 +171,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows(sizes: list[int], bitmap: bytes):
-    """Rows (doc_id, _key, _at, _hash, _values, _plain) of windows that may be in the bitmap: templates with enough literals, and exact forms."""
+    """Rows (doc_id, _key, _at, _hash, _values, _plain) of windows that may be in the bitmap: templates with enough literals in both readings, and exact forms."""
     bits = np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, value, slot, offsets = template(batch.column("text"))
-            readings = [(np.where(slot > 0, PLACEHOLDERS[slot], value), np.where(slot > 0, value, np.uint64(0)), _sums(slot == 0), None, True), (value ^ EXACT, value, None, None, False)]
+            _, value, slot, named, offsets = template(batch.column("text"))
+            readings = [(np.where(s > 0, PLACEHOLDERS[s], value), value, _sums(s == 0), other, other is None) for s, other in ((slot, None), (named, _sums(slot != named)))]
+            readings.append((value ^ EXACT, value, None, None, False))
             rows, places, found, held, plain = [], [], [], [], []
             for size in sizes:
                 start = np.arange(max(len(value) - size + 1, 0))

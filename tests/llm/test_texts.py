@@ -184,6 +184,23 @@ def test_a_long_passage_of_a_longer_item_is_a_leak(spark):
     assert {k: v[0] for k, v in got.items()} == {(0, 0): 93, (1, 0): 43}
 
 
+def test_openers_are_read_as_words_and_as_names(spark):
+    rng = random.Random(11)
+    short, unit = "Explain why lakes freeze from above", "In which lakes do large eels live"
+    said = "Alice buys 3 red apples. Alice eats 2 of them at once. Carol sells what remains to Bob for 5 coins."
+    items = [short, unit, said, "Tiny boats drift. Rivers carry them to sea"]
+    head = prose(rng, "en", 20).rstrip(".")
+    texts = [f"{head} {short}", f"{head} 7 {unit}", said.replace("Alice", "Erin").replace("Carol", "Gus").replace("Bob", "Ida").replace("3", "4"), said.replace("Alice eats", "Gus eats").replace("Bob", "Alice").replace("2", "3"), "so tiny boats drift. Rivers carry them to sea"]
+    got = leaked(spark, texts, items)
+    assert {(0, 0), (1, 1), (2, 2), (4, 3)} <= set(got) <= {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3)}
+    assert got[(2, 2)][1] >= 0.4 and got[(2, 2)][2] >= 3
+
+
+def test_a_text_is_read_the_same_whatever_stands_before_it():
+    alone, after = (decontaminate.template(pa.array(t)) for t in (["km are long"], ["up to 5", "km are long"]))
+    assert alone[2].tolist() == after[2][3:].tolist() == [0, 0, 0]
+
+
 # --- quality ---
 
 def brute_model(texts: list[str]):
