@@ -2,8 +2,9 @@
 
 The form: lower case, copyright lines dropped, everything but letters and digits as single spaces, equivalent spellings as
 one. Entire texts are joined by their digest; each line's form is also looked up among the known one-line notices, because
-most documents carry a notice rather than a licence. All of it is column expressions. The known digests are computed by the
-same expressions and are a fixed list, the only thing broadcast.
+most documents carry a notice rather than a licence. A licence is known with and without its usual titles and an "All rights
+reserved." line of its own; the long licences are the files of ``license_texts``, named by id. All of it is column expressions. The known digests are computed by the
+same expressions from one table (``KNOWN``, also that of the SQL) and are a fixed list, the only thing broadcast.
 
 Defined results: null, empty or purely decorative text has the digest of the empty text and no licence; a text equal to
 several known licences gets the alphabetically first id; repeated rows are scanned each; an empty table gives no rows;
@@ -12,6 +13,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,22 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved.",
 }
+# Usual titles of the licences above.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT License (Expat)", "Expat License"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0 License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License", "The BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Revised BSD License", "Modified BSD License", "BSD License", "The BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
+}
+_FILES = resources.files("evalmart.llm").joinpath("license_texts")
+STANDARD = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in _FILES.iterdir() if f.name.endswith(".txt")}
+_TITLED = [(k, f"{title}\n{rights}\n{v}") for k, v in LICENSES.items() for title in ["", *TITLES[k]] for rights in ("", "All rights reserved.") if title or rights]
+# id, text of all that is known: plain, titled, and whole standard texts.
+KNOWN = sorted([*{**NOTICES, **LICENSES}.items(), *_TITLED, *STANDARD.items()])
 # Spellings that count as equal, in canonical form.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "analogue": "analog",
@@ -72,9 +91,9 @@ def canonical(form: Column) -> Column:
     return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """digest, license_id: one row per digest."""
-    rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
+    rows = spark.createDataFrame(texts, "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -88,7 +107,7 @@ def _known_lines(spark: SparkSession, notices: dict[str, str]) -> Column:
 def license_scan(docs: DataFrame, licenses: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, digest, license_id (null if the text is no known licence), notices (ids of its notice lines, sorted, by comma)."""
     spark, notices = docs.sparkSession, NOTICES if notices is None else notices
-    known = known_digests(spark, {**notices, **(LICENSES if licenses is None else licenses)})
+    known = known_digests(spark, KNOWN if notices is NOTICES and licenses is None else sorted({**notices, **(LICENSES if licenses is None else licenses)}.items()))
     lines = _known_lines(spark, notices)
     forms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bind(canonical_lines(text_of()), lambda form: F.struct(
         F.sha2(canonical(form), 256).alias("digest"),
@@ -117,7 +136,7 @@ def _sql_canonical(form: str) -> str:
 
 ORACLE_SQL = f"""
 WITH notice(id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in NOTICES.items())}),
-known(id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in {**NOTICES, **LICENSES}.items())}),
+known(id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in KNOWN)}),
 digests AS (SELECT sha256({_sql_canonical(_sql_lines("text"))}) AS digest, min(id) AS license_id FROM known GROUP BY 1),
 forms AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS form FROM documents),
 lines AS (SELECT doc_id, trim(unnest(string_split(form, chr(10)))) AS line FROM forms),

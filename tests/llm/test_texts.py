@@ -64,6 +64,23 @@ def test_license_scan(spark, no_docs):
     assert licenses.license_scan(no_docs).count() == 0
 
 
+def test_whole_license_files(spark):
+    body = licenses.LICENSES
+    apache = licenses.STANDARD["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 A. Person")
+    texts = [("MIT", f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{body['MIT']}"), ("ISC", f"ISC License\n\nCopyright (c) 2020, A. Person\n\n{body['ISC']}"),
+             ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n{body['BSD-3-Clause']}"), ("BSD-2-Clause", f"Copyright 2020 A. Person\nAll rights reserved.\n{body['BSD-2-Clause']}"),
+             *((k, v.replace("\n", "\r\n")) for k, v in licenses.STANDARD.items()), ("Apache-2.0", apache), (None, f"MIT License\n{body['ISC']}")]
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(frame(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [k for k, _ in texts]
+    assert {"Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0"} <= set(licenses.STANDARD)
+
+
+def test_known_digests_equal_those_of_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sql = licenses.ORACLE_SQL.split("forms AS")[0].rstrip().rstrip(",") + " SELECT digest, license_id FROM digests"
+    assert sorted(duckdb.sql(sql).fetchall()) == sorted(tuple(r) for r in licenses.known_digests(spark, licenses.KNOWN).collect())
+
+
 # --- near duplicates ---
 
 def brute_components(rows: list[tuple], size: int, percent: int) -> dict[int, tuple[int, int]]:
