@@ -3,13 +3,14 @@
 Pages of a host are put in the order of their paths; each one is paired with the neighbour whose path agrees longest. The
 lines of both are aligned by longest common subsequence and shared lines are deleted: menus, notices and adverts repeat on
 neighbouring pages, articles do not. Two guards keep articles whole: lines that the page itself marks as its article are
-never deleted, and a pair that shares most of its text is a pair of copies and loses nothing. What the markup itself names
+never deleted, and a pair that shares most of its text is a pair of near copies and loses nothing. Exact copies (the same lines)
+count as one page of their host, so they are compared with the next page that has other lines. What the markup itself names
 as something else (navigation, header, footer, form, script, comments, adverts ...) never becomes a line.
 
 Only line hashes are ordered, paired and aligned; pages are not shuffled by host, so a hot host is no hot group.
 
 Defined results: null or empty html gives an empty text; a null url has the host ''; a page alone on its host loses no
-line; equal rows are copies of each other; the neighbour before wins ties; an empty table gives no rows; other columns are
+line; equal rows are copies of each other; a page whose host has only copies of it loses no line; the neighbour before wins ties; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -145,15 +146,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, out = [], []
-        for key, mine, sizes, main, theirs in zip(*(batch.column(c).to_pylist() for c in ("_key", "hashes", "sizes", "main", "theirs")), strict=True):
+        for i, (mine, sizes, theirs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "sizes", "theirs")), strict=True)):
             shared = shared_lines(mine, theirs)
-            if sum(sizes[i] for i in shared) > COPY_SHARE * sum(sizes):
-                continue
-            gone = [i for i in shared if not main[i]]
-            if gone:
-                keys.append(key)
-                out.append(gone)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["_key", "gone"])
+            if shared and sum(sizes[k] for k in shared) <= COPY_SHARE * sum(sizes):
+                keys.append(i)
+                out.append(shared)
+        take = pa.array(keys, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(take), batch.column("_sign").take(take), pa.array(out, pa.list_(pa.int32()))], ["host", "_sign", "gone"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +160,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for h, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
             gone = set(gone or ())
-            texts.append("\n".join(t for i, (t, _) in enumerate(lines(h)) if i not in gone))
+            texts.append("\n".join(t for i, (t, m) in enumerate(lines(h)) if m or i not in gone))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -195,14 +194,34 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return rows.withColumn("theirs", theirs)
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+def _rows(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html")).withColumn("_key", F.xxhash64("page_id", "url", "html"))
+
+
+def shared_places(pages: DataFrame) -> DataFrame:
+    """_key, main, gone: the places of lines that a page shares with its neighbour; those marked as main stay nevertheless.
+
+    Copies within a host (the same lines) count as one page at the first of their addresses, so the neighbour always has
+    other lines, however many copies lie between.
+    """
     address = F.coalesce(F.col("url"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html")).withColumn("_key", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    hashed = rows.select("_key", host.alias("host"), path.alias("path"), address.alias("url"), "html").mapInArrow(
-        _hashed, "_key long, host string, path string, url string, hashes array<long>, sizes array<int>, main array<boolean>")
-    pairs = neighbours(hashed).filter("theirs IS NOT NULL").select("_key", "hashes", "sizes", "main", "theirs")
-    gone = kept(pairs.mapInArrow(_deleted, "_key long, gone array<int>").dropDuplicates(["_key"]))
-    return rows.join(checked_broadcast(gone, 64), "_key", "left").select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    hashed = kept(_rows(pages).select("_key", host.alias("host"), path.alias("path"), address.alias("url"), "html").mapInArrow(
+        _hashed, "_key long, host string, path string, url string, hashes array<long>, sizes array<int>, main array<boolean>").withColumn("_sign", F.xxhash64("hashes")))
+    first = hashed.groupBy("host", "_sign").agg(F.min_by(F.struct("path", "url", "_key", "hashes", "sizes"), F.struct("path", "url", "_key")).alias("_r")).select("host", "_sign", "_r.*")
+    pairs = neighbours(first).filter("theirs IS NOT NULL").select("host", "_sign", "hashes", "sizes", "theirs")
+    gone = kept(pairs.mapInArrow(_deleted, "host string, _sign long, gone array<int>"))
+    return hashed.select("_key", "host", "_sign", "main").join(checked_broadcast(gone, 128), ["host", "_sign"]).select("_key", "main", "gone").dropDuplicates(["_key"])
+
+
+def deleted_lines(pages: DataFrame) -> DataFrame:
+    """One row: n_pages that lose lines to differencing, n_lines they lose."""
+    lost = shared_places(pages).select(F.size(F.filter("gone", lambda i: ~F.col("main")[i])).alias("n"))
+    return lost.filter("n > 0").agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_lines"))
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    gone = kept(shared_places(pages).filter(F.exists("gone", lambda i: ~F.col("main")[i])).select("_key", "gone"))
+    return _rows(pages).join(checked_broadcast(gone, 64), "_key", "left").select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -342,6 +342,16 @@ def test_pages_lose_what_neighbours_share(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_differenced_against_the_next_other_page(spark):
+    menu = "<div>Home</div><div>All stories</div>"
+    story = f"{menu}<p>The same long story on many addresses of one host.</p>"
+    pages = [(i, f"http://h.example/story/{i}", story) for i in range(6)] + [(9, "http://h.example/story/9", f"{menu}<p>Another story altogether, also long enough.</p>")]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert got == {**dict.fromkeys(range(6), "The same long story on many addresses of one host."), 9: "Another story altogether, also long enough."}
+    assert tuple(html_extract.deleted_lines(pages).first()) == (7, 14)
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<header>H</header><article><h1>T</h1><p>a<br>b</p><aside>s</aside><div class='comments'>c</div></article><footer>f</footer>", "T\na b"),
     ("<script>var t='</p>';</script><style>p{}</style><!-- x --><p>one &eacute;&nbsp;two</p><form><p>in</p></form>", "one é two"),
