@@ -10,8 +10,9 @@
    only. Links found so far are contracted, which leaves few documents outside the largest component.
 4. By the triangle inequality a document can link into a cell only if its distance to the cell's pivot is at most the
    cell's radius plus the join radius; documents within that window are replicated there. In a cell only pairs of
-   different components are left to compare, and the cells join recursively as regions of their own: those compared
-   directly are small or hold few documents outside their largest component.
+   different components are left to compare: every document outside the cell's largest component with all of the cell, in
+   blocks. There is one level of cells only, they are not divided again: in a large region of many different texts cells
+   grow with the region and the comparisons with their square.
 5. Components over all links name each document's group.
 
 Candidate pairs pass two exact bounds before any set is shipped: sizes, as soon as the documents of a region meet, and the L1
