@@ -7,7 +7,6 @@ once each. White space of any kind beside a space keeps the span whole.
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 from functools import lru_cache
@@ -20,10 +19,10 @@ VOCABULARY = "byte_bpe_50k"
 # White space of any Unicode version, as a superset: a wrong member only makes a span longer.
 BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 BESIDE_SPACE = f"[{BLANKS}] | [{BLANKS}]"
+JOINABLE = re.compile(f" [^{BLANKS}]+\\Z")
 CUT = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
-PLAIN = re.compile("[\x00-\u024f]*\\Z")
-SPECIAL = "<|endoftext|>"
-MEMO_SPANS = 250_000
+MEMO_SPANS = 500_000
+BATCH_SPANS = 2048
 
 
 def vocabulary_path(name: str) -> str:
@@ -40,14 +39,14 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=1)
-def ranked(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of text that each id of a byte-level vocabulary stands for: one character of its spelling is one byte."""
+    known = tokenizer(path).get_vocab()
+    sizes = np.zeros(max(known.values()) + 1, np.int64)
+    for spelling, k in known.items():
+        sizes[k] = len(spelling)
+    return sizes
 
 
 def spans(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -60,7 +59,8 @@ def spans(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = flat.dictionary_encode()
     distinct = [" " + w for w in coded.dictionary.to_pylist()]
     codes = coded.indices.to_numpy().astype(np.int64)
-    index: dict[str, int] = {}
+    # Heads have no space before them; a piece cut by hand may equal one of the dictionary.
+    index = {w: i for i, w in enumerate(distinct)} if len(odd) else {}
 
     def extra(span: str) -> int:
         if span not in index:
@@ -83,8 +83,8 @@ def spans(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class Ids:
     """Token ids of spans. Known spans are looked up; the store starts anew when it is full, which only costs time."""
 
-    def __init__(self, json_path: str, ranks_path: str):
-        self.json_path, self.ranks_path = json_path, ranks_path
+    def __init__(self, path: str):
+        self.path, self.bytes_of = path, token_bytes(path)
         self.clear()
 
     def clear(self) -> None:
@@ -92,33 +92,45 @@ class Ids:
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def encode(self, span: str) -> list[int]:
-        if SPECIAL not in span and PLAIN.match(span):
-            return ranked(self.ranks_path).encode_ordinary(span)
-        return tokenizer(self.json_path).encode(span, add_special_tokens=False).ids
-
     def lookup(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of ids of each span in ``flat``."""
         if len(self.at) > MEMO_SPANS:
             self.clear()
         at = self.at
-        where = [at.get(s, -1) for s in distinct]
-        for i, k in enumerate(where):
-            if k >= 0:
-                continue
-            ids = self.encode(distinct[i])
-            k = where[i] = at[distinct[i]] = len(at)
-            while k >= len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        where = np.array(where, np.int64)
+        fresh = [s for s in dict.fromkeys(distinct) if s not in at]
+        joinable = [s for s in fresh if JOINABLE.match(s)]
+        for low in range(0, len(joinable), BATCH_SPANS):
+            self._add_joined(joinable[low : low + BATCH_SPANS])
+        for span in fresh:
+            if span not in at:
+                ids = tokenizer(self.path).encode(span, add_special_tokens=False).ids
+                self._add([span], np.array(ids, np.uint32), np.array([len(ids)]))
+        where = np.fromiter((at[s] for s in distinct), np.int64, len(distinct))
         return self.starts[where], self.sizes[where]
 
+    def _add_joined(self, own: list[str]) -> None:
+        """Spans that may stand behind one another are encoded in one text; the bytes of the ids tell where each ends."""
+        found = tokenizer(self.path).encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids
+        ids = np.array(found, np.uint32)
+        reached, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(s.encode()) for s in own])
+        stops = np.searchsorted(reached, ends) + 1
+        if not np.array_equal(reached[stops - 1], ends):
+            raise ValueError("a token crosses two spans")
+        self._add(own, ids, np.diff(stops, prepend=0))
+
+    def _add(self, own: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.at)
+        self.at.update(zip(own, range(first, first + len(own)), strict=True))
+        while len(self.at) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[first : len(self.at)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : len(self.at)] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
 
 @lru_cache(maxsize=1)
-def shared_ids(json_path: str, ranks_path: str) -> Ids:
-    return Ids(json_path, ranks_path)
+def shared_ids(path: str) -> Ids:
+    return Ids(path)

@@ -21,11 +21,12 @@ def tokenizer():
     return spans.tokenizer(spans.vocabulary_path("byte_bpe_50k.json"))
 
 
-TEXTS = ["", " ", "a", " a", "a ", "a b", "a  b", "a\n b", "a \nb", "a  b", "<|endoftext|>", "x <|endoftext|> y", "x<|endoftext|>y <|endoftext|>", "it's we'll 12 345 67,8 --- !!", "　 中文 字", "é 😀 tab\tb", "᠎ x", "\x85 x", "a" * 5000, "q " * 3000]
+TEXTS = ["", " ", "a", " a", "a ", "a b", "a  b", "a\n b", "a \nb", "a  b", "<|endoftext|>", "x <|endoftext|> y", "x<|endoftext|>y <|endoftext|>", "it's we'll 12 345 67,8 --- !!", "　 中文 字", "é 😀 tab\tb", "᠎ x", "\x85 x", "a" * 5000, "q " * 3000,
+         "hello  big wide world", "def add(x, y):\n    return x + y\n", "one.  two.  one.", "\tif  x:\n\t\ty  = 1\n", "the wide house", " \n a  \n  b"]
 
 
 def test_spans_join_to_the_text_and_encode_alike(tokenizer):
-    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"), spans.vocabulary_path("byte_bpe_50k.tiktoken"))
+    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"))
     distinct, codes, offsets = spans.spans(pa.array(TEXTS))
     starts, sizes = ids.lookup(distinct)
     for i, text in enumerate(TEXTS):
@@ -38,7 +39,7 @@ def test_spans_join_to_the_text_and_encode_alike(tokenizer):
 @given(st.text(max_size=60))
 def test_any_text_encodes_alike(text):
     tokenizer = spans.tokenizer(spans.vocabulary_path("byte_bpe_50k.json"))
-    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"), spans.vocabulary_path("byte_bpe_50k.tiktoken"))
+    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"))
     distinct, codes, _ = spans.spans(pa.array([text]))
     starts, sizes = ids.lookup(distinct)
     assert [int(x) for c in codes for x in ids.flat[starts[c] : starts[c] + sizes[c]]] == tokenizer.encode(text, add_special_tokens=False).ids
@@ -83,8 +84,9 @@ def check_packing(pieces: list, rows: list[tuple], tokenizer, size: int) -> None
 
 def test_packing(spark, docs, rows, tokenizer, no_docs):
     for size in (64, 2048):
-        pieces = packing.pack_documents(docs, size).collect()
-        check_packing(pieces, rows, tokenizer, size)
+        odd = [(1000 + i, t, "en", "s") for i, t in enumerate(TEXTS)]
+        pieces = packing.pack_documents(frame(spark, rows + odd), size).collect()
+        check_packing(pieces, rows + odd, tokenizer, size)
     assert packing.pack_documents(no_docs).count() == 0
 
 
