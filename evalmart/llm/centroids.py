@@ -1,7 +1,7 @@
 """Centroid clustering in column expressions: integer k-means with the centroids as literals.
 
-Vectors are turned into integers once and written as a table. In each round ``zip_with`` and ``aggregate`` compute the squared
-distance to every literal centroid, ``array_min`` over (distance, number) chooses the cluster, and one sum per component,
+Vectors are turned into integers once and written as a table with their squared length. In each round ``zip_with`` and
+``aggregate`` compute the squared distance to every literal centroid, as |x|^2 - 2xc + |c|^2 in whole numbers, ``array_min`` over (distance, number) chooses the cluster, and one sum per component,
 combined in each task before the shuffle, gives the new centroids. Only counts and sums of the clusters, ``clusters`` rows,
 reach the driver.
 
@@ -29,19 +29,20 @@ HELD = float(1 << 24)
 
 
 def integer_vectors(vectors: DataFrame, size: int = SIZE, scale: int = SCALE) -> DataFrame:
-    """vec_id and the integer components ``q`` of the vectors that are whole."""
+    """vec_id, the integer components ``q`` and their sum of squares ``qq`` of the vectors that are whole."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = vectors.filter(F.size("embedding") == size).filter(finite)
     held = lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-HELD)), F.lit(HELD)))
-    return whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", held).alias("q"))
+    found = whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", held).alias("q"))
+    return found.withColumn("qq", F.aggregate("q", F.lit(0).cast("long"), lambda total, x: total + x * x))
 
 
-def nearest(centroids: Sequence[Sequence[int]], q: str = "q") -> Column:
+def nearest(centroids: Sequence[Sequence[int]]) -> Column:
     """Struct (distance, cluster) of the nearest centroid; the smaller number wins ties."""
     def distance(centroid: Sequence[int]) -> Column:
-        literal = F.array(*(F.lit(int(x)).cast("long") for x in centroid))
-        squares = F.zip_with(q, literal, lambda a, b: (a - b) * (a - b))
-        return F.aggregate(squares, F.lit(0).cast("long"), lambda total, x: total + x)
+        literal = F.expr(f"array({','.join(f'{x}L' for x in centroid)})")
+        product = F.aggregate(F.zip_with("q", literal, lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x)
+        return F.col("qq") - product * 2 + sum(x * x for x in centroid)
 
     return F.array_min(F.array(*(F.struct(distance(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centroids))))
 

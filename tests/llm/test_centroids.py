@@ -55,7 +55,7 @@ def test_clusters_equal_brute_force(spark, clusters, size):
 
 
 def test_ties_go_to_the_smaller_number(spark):
-    df = spark.createDataFrame([([0, 0],)], "q array<bigint>")
+    df = spark.createDataFrame([([0, 0], 0)], "q array<bigint>, qq bigint")
     assert df.select(centroids.nearest([[1, 0], [0, 1], [5, 5]])["cluster"]).first()[0] == 0
     assert df.select(centroids.nearest([[3, 0], [0, 1], [1, 0]])["cluster"]).first()[0] == 1
 
