@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmart.llm import centroids, decontaminate, fingerprints, html_extract, language_id, licenses, ngram_join, packing, quality, sharding, token_counts
+from evalmart.llm import addressable, centroids, decontaminate, fingerprints, html_extract, language_id, licenses, ngram_join, packing, quality, sharding, token_counts
 from evalmart.llm.common import table
+from evalmart.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +76,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
 
+@query("op11_token_ids")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/evalmart-{uuid.uuid4().hex}"
+    addressable.write_ids(table(spark, sf_dir, "documents"), path)
+    return addressable.read_documents(spark, path)
+
+
 @query("op13_centroid_clustering", centroids.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,10 +102,11 @@ class Ids:
         joinable = [s for s in fresh if JOINABLE.match(s)]
         for low in range(0, len(joinable), BATCH_SPANS):
             self._add_joined(joinable[low : low + BATCH_SPANS])
-        for span in fresh:
-            if span not in at:
-                ids = tokenizer(self.path).encode(span, add_special_tokens=False).ids
-                self._add([span], np.array(ids, np.uint32), np.array([len(ids)]))
+        others = [s for s in fresh if s not in at]
+        for low in range(0, len(others), BATCH_SPANS):
+            found = [e.ids for e in tokenizer(self.path).encode_batch_fast(others[low : low + BATCH_SPANS], add_special_tokens=False)]
+            sizes = np.array([len(ids) for ids in found], np.int64)
+            self._add(others[low : low + BATCH_SPANS], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
         where = np.fromiter((at[s] for s in distinct), np.int64, len(distinct))
         return self.starts[where], self.sizes[where]
 
