@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmart.llm import addressable, centroids, decontaminate, fingerprints, html_extract, language_id, licenses, ngram_join, packing, quality, sharding, token_counts
+from evalmart.llm import addressable, centroids, decontaminate, fingerprints, html_extract, language_id, licenses, ngram_join, packing, quality, sharding, spelling, token_counts
 from evalmart.llm.common import table
 from evalmart.session import checkpoint_dir
 
@@ -83,6 +83,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addressable.read_documents(spark, path)
 
 
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query("op13_centroid_clustering", centroids.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
