@@ -17,9 +17,11 @@ store and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ CLOSING_ID = 2
 SEGMENT_IDS = 1 << 18
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
 _SEGMENT = "part int, seq long, start long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, codes binary"
 _DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -146,9 +149,50 @@ class Codes:
         return out.astype(np.uint32)
 
 
+class WordIds(spans.Ids):
+    """Ids of words of a vocabulary that lowers case and marks the ends of words.
+
+    A word of letters is one piece, and so are marks behind it: words that differ in case or such marks share the letters'
+    ids, and letters are encoded in one text, where the closing tokens tell the words apart.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        known = spans.tokenizer(path).get_vocab()
+        self.closes = np.zeros(max(known.values()) + 1, bool)
+        self.closes[[k for spelling, k in known.items() if spelling.endswith("</w>")]] = True
+        self.clear()
+
+    def encode(self, fresh: list[str]) -> None:
+        plain = [(w, m[1].lower(), m[2]) for w in fresh if (m := PLAIN.match(w))]
+        letters = [s for s in dict.fromkeys(core for _, core, _ in plain) if s not in self.at]
+        for own in spans.batches(letters):
+            ids = np.array(spans.tokenizer(self.path).encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(own):
+                raise ValueError("words and closing tokens differ")
+            self.add(own, ids, np.diff(stops, prepend=0))
+        marks = dict.fromkeys(tail for _, _, tail in plain if tail)
+        self.encode_each([s for s in [*marks, *fresh] if s not in self.at and not PLAIN.match(s)])
+        made = [(w, self.at[core], self.at[tail] if tail else -1) for w, core, tail in plain if w not in self.at]
+        if made:
+            core, tail = np.array([m[1] for m in made]), np.array([m[2] for m in made])
+            n_core, n_tail = self.sizes[core], np.where(tail >= 0, self.sizes[tail], 0)
+            ends = np.cumsum(n_core + n_tail)
+            at, row = np.arange(ends[-1]), np.repeat(np.arange(len(made)), n_core + n_tail)
+            place = at - (ends - n_core - n_tail)[row]
+            source = np.where(place < n_core[row], self.starts[core][row] + place, self.starts[tail][row] + place - n_core[row])
+            self.add([m[0] for m in made], self.flat[source], n_core + n_tail)
+
+
+@lru_cache(maxsize=1)
+def shared_words(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def _segments(path: str, closing_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, store = TaskContext.get().partitionId(), spans.shared_ids(path)
+        part, store = TaskContext.get().partitionId(), shared_words(path)
         seq = start = 0
         names, runs, size = [], [], 0
 

@@ -95,9 +95,9 @@ def best_fit_plan(histogram: dict[int, int], size: int = SEQUENCE) -> np.ndarray
     return np.array(plan, np.int64).reshape(-1, 5)
 
 
-def _pieces(path: str, size: int):
+def _pieces(path: str, ranks_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, ids = TaskContext.get().partitionId(), spans.shared_ids(path)
+        partition, ids = TaskContext.get().partitionId(), spans.shared_ids(path, ranks_path)
         seen = np.zeros(size + 1, np.int64)
         for batch in slices(batches):
             distinct, codes, offsets = spans.spans(batch.column("text"))
@@ -149,10 +149,11 @@ def _place(plan: np.ndarray, shift: int):
     return run
 
 
-def token_pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``size`` ids of every document with their place among the equally long pieces of their task."""
     path = vocabulary or spans.vocabulary_path(f"{spans.VOCABULARY}.json")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_pieces(path, size), _PIECES)
+    ranks_path = ranks or spans.vocabulary_path(f"{spans.VOCABULARY}.tiktoken")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_pieces(path, ranks_path, size), _PIECES)
 
 
 def pack_documents(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:

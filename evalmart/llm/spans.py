@@ -7,8 +7,10 @@ once each. White space of any kind beside a space keeps the span whole.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -20,7 +22,8 @@ VOCABULARY = "byte_bpe_50k"
 # White space of any Unicode version, as a superset: a wrong member only makes a span longer.
 BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 BESIDE_SPACE = f"[{BLANKS}] | [{BLANKS}]"
-JOINABLE = re.compile(f" [^{BLANKS}]+\\Z")
+JOINABLE = re.compile(" [!-~\u00a1-\u024f]+\\Z")  # characters that every Unicode version knows alike, none of them white space
+SPECIAL = "<|endoftext|>"
 CUT = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
 MEMO_SPANS = 500_000
 BATCH_SPANS = 2048
@@ -40,6 +43,16 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def ranked(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> np.ndarray:
     """Bytes of text that each id of a byte-level vocabulary stands for: one character of its spelling is one byte."""
@@ -81,11 +94,15 @@ def spans(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return distinct, codes, offsets
 
 
+def batches(spans_: list[str]) -> Iterator[list[str]]:
+    return (spans_[low : low + BATCH_SPANS] for low in range(0, len(spans_), BATCH_SPANS))
+
+
 class Ids:
     """Token ids of spans. Known spans are looked up; the store starts anew when it is full, which only costs time."""
 
-    def __init__(self, path: str):
-        self.path, self.bytes_of = path, token_bytes(path)
+    def __init__(self, path: str, ranks_path: str):
+        self.path, self.ranks_path, self.bytes_of = path, ranks_path, token_bytes(path)
         self.clear()
 
     def clear(self) -> None:
@@ -99,28 +116,30 @@ class Ids:
             self.clear()
         at = self.at
         fresh = [s for s in dict.fromkeys(distinct) if s not in at]
-        joinable = [s for s in fresh if JOINABLE.match(s)]
-        for low in range(0, len(joinable), BATCH_SPANS):
-            self._add_joined(joinable[low : low + BATCH_SPANS])
-        others = [s for s in fresh if s not in at]
-        for low in range(0, len(others), BATCH_SPANS):
-            found = [e.ids for e in tokenizer(self.path).encode_batch_fast(others[low : low + BATCH_SPANS], add_special_tokens=False)]
-            sizes = np.array([len(ids) for ids in found], np.int64)
-            self._add(others[low : low + BATCH_SPANS], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        self.encode(fresh)
         where = np.fromiter((at[s] for s in distinct), np.int64, len(distinct))
         return self.starts[where], self.sizes[where]
 
-    def _add_joined(self, own: list[str]) -> None:
-        """Spans that may stand behind one another are encoded in one text; the bytes of the ids tell where each ends."""
-        found = tokenizer(self.path).encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids
-        ids = np.array(found, np.uint32)
-        reached, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(s.encode()) for s in own])
-        stops = np.searchsorted(reached, ends) + 1
-        if not np.array_equal(reached[stops - 1], ends):
-            raise ValueError("a token crosses two spans")
-        self._add(own, ids, np.diff(stops, prepend=0))
-
-    def _add(self, own: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def encode(self, fresh: list[str]) -> None:
+        """Spans that may stand behind one another go through the ranks of the same vocabulary in one text, which is five
+        times as fast; the bytes of the ids tell where each ends. All others go through the tokenizer."""
+        joinable = [s for s in fresh if JOINABLE.match(s) and SPECIAL not in s]
+        for own in batches(joinable):
+            ids = np.array(ranked(self.ranks_path).encode_ordinary("".join(own)), np.uint32)
+            reached, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(s.encode()) for s in own])
+            stops = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[stops - 1], ends):
+                raise ValueError("a token crosses two spans")
+            self.add(own, ids, np.diff(stops, prepend=0))
+        self.encode_each([s for s in fresh if s not in self.at])
+
+    def encode_each(self, fresh: list[str]) -> None:
+        for own in batches(fresh):
+            found = [e.ids for e in tokenizer(self.path).encode_batch_fast(own, add_special_tokens=False)]
+            sizes = np.array([len(ids) for ids in found], np.int64)
+            self.add(own, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def add(self, own: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.at)
         self.at.update(zip(own, range(first, first + len(own)), strict=True))
         while len(self.at) > len(self.starts):
@@ -134,5 +153,5 @@ class Ids:
 
 
 @lru_cache(maxsize=1)
-def shared_ids(path: str) -> Ids:
-    return Ids(path)
+def shared_ids(path: str, ranks_path: str) -> Ids:
+    return Ids(path, ranks_path)

@@ -60,6 +60,21 @@ def test_any_text_falls_apart_into_words(text):
     assert parts == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+WORDS = st.text(st.sampled_from("aAbzÄßñÿ×÷.,!?'s1<|"), max_size=8)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(WORDS, st.sampled_from(["The", "the.", "THE?!", "<|endoftext|>", "<|ENDOFTEXT|>", "don't"])), max_size=30))
+def test_words_have_the_ids_of_the_tokenizer(words):
+    words = [w for w in words if w]
+    path = spans.vocabulary_path(A.VOCABULARY)
+    store, tokenizer = A.WordIds(path), spans.tokenizer(path)
+    for _ in range(2):
+        starts, sizes = store.lookup(words)
+        for w, a, n in zip(words, starts, sizes, strict=True):
+            assert store.flat[a : a + n].tolist() == tokenizer.encode(w, add_special_tokens=False).ids
+
+
 def brute(rows):
     tokenizer = spans.tokenizer(spans.vocabulary_path(A.VOCABULARY))
     return [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, A.CLOSING_ID], "<u4")) for d, t, *_ in rows]

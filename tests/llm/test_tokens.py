@@ -26,7 +26,7 @@ TEXTS = ["", " ", "a", " a", "a ", "a b", "a  b", "a\n b", "a \nb", "a  b", "<|
 
 
 def test_spans_join_to_the_text_and_encode_alike(tokenizer):
-    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"))
+    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"), spans.vocabulary_path("byte_bpe_50k.tiktoken"))
     distinct, codes, offsets = spans.spans(pa.array(TEXTS))
     starts, sizes = ids.lookup(distinct)
     for i, text in enumerate(TEXTS):
@@ -39,12 +39,24 @@ def test_spans_join_to_the_text_and_encode_alike(tokenizer):
 @given(st.text(max_size=60))
 def test_any_text_encodes_alike(text):
     tokenizer = spans.tokenizer(spans.vocabulary_path("byte_bpe_50k.json"))
-    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"))
+    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"), spans.vocabulary_path("byte_bpe_50k.tiktoken"))
     distinct, codes, _ = spans.spans(pa.array([text]))
     starts, sizes = ids.lookup(distinct)
     assert [int(x) for c in codes for x in ids.flat[starts[c] : starts[c] + sizes[c]]] == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_whole_table_encodes_alike(spark, tokenizer):
+    ids = spans.shared_ids(spans.vocabulary_path("byte_bpe_50k.json"), spans.vocabulary_path("byte_bpe_50k.tiktoken"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += [t.replace(". ", ".  ").replace(", ", ",\n    ") for t in texts if t]  # the same with indentation and double spaces
+    distinct, codes, offsets = spans.spans(pa.array(texts))
+    assert len(set(distinct)) == len(distinct)
+    starts, sizes = ids.lookup(distinct)
+    for i, text in enumerate(texts):
+        own = codes[offsets[i] : offsets[i + 1]]
+        assert [int(x) for c in own for x in ids.flat[starts[c] : starts[c] + sizes[c]]] == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_token_counts(spark, docs, rows, tokenizer, no_docs):
     odd = [(1000 + i, t, "en", "s") for i, t in enumerate(TEXTS)]
     got = Counter(tuple(r) for r in token_counts.token_counts(frame(spark, rows + odd), limit=100).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())
