@@ -1,6 +1,6 @@
 """Streaming forms of the log operators.
 
-Every job writes per micro-batch into ``batch_id=<n>`` folders of its tables and overwrites that folder only, so a
+What a job must remember of earlier batches is keyed state (``streaming.state``). Every job writes per micro-batch into ``batch_id=<n>`` folders of its tables and overwrites that folder only, so a
 batch that is replayed after a restart replaces itself. Readers merge on read; nothing rewrites a whole table.
 """
 
@@ -11,10 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from evalmart.operators.joins import reconcile
 from evalmart.operators.latest import latest_by_key
-from evalmart.operators.prefix import DEFAULT_WIDTH, running_total
 from evalmart.sources.logs import flag_lines
+from evalmart.streaming.state import PROVIDER, ROCKSDB, NewestState, SpendState, TrialState
 
 
 def write_batch(batch: DataFrame, batch_id: int, target: str) -> None:
@@ -38,6 +37,17 @@ def run(stream: DataFrame, name: str, checkpoint: str, each: Callable[[DataFrame
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_keyed(stream: DataFrame, *how, **options) -> StreamingQuery:
+    """A job with arbitrary state, which only the RocksDB store keeps; a query reads the setting when it starts."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return run(stream, *how, **options)
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+
+
 def stream_log(lines: DataFrame, schema: T.StructType, good: str, quarantine: str, checkpoint: str,
                rules: Column | None = None, **how) -> StreamingQuery:
     """Lines (``value`` and any id columns) to a table of records; broken lines and records go to quarantine with codes."""
@@ -81,51 +91,52 @@ def idempotent_merge(batch: DataFrame, batch_id: int, target: str, key: str = "t
 
 
 def stream_merge(log: DataFrame, target: str, checkpoint: str, key: str = "trial_key", seq: str = "seq", **how) -> StreamingQuery:
-    return run(log, "merge", checkpoint, lambda batch, batch_id: idempotent_merge(batch, batch_id, target, key, seq), **how)
+    """Commit each record that is newer than all committed ones of its key, once; the highest ordinal per key is state."""
+    keyed = log.filter(F.coalesce(F.col(key), F.lit("")) != "")
+    fresh = keyed.groupBy(key).transformWithStateInPandas(NewestState(log.columns, seq), log.schema, "Append", "None")
+    return run_keyed(fresh, "merge", checkpoint, lambda batch, batch_id: write_batch(batch, batch_id, target), **how)
 
 
-DELTA = "run_id string, delta decimal(28,6)"
 ALERT = "run_id string, seq bigint, bucket bigint, spent decimal(38,6), tripped boolean"
+VERDICT = "key string, seq bigint, codes array<string>"
 
 
-def stream_budget(ledger: DataFrame, step, limit, totals: str, alerts: str, checkpoint: str, width: int = DEFAULT_WIDTH, **how):
+def stream_budget(ledger: DataFrame, step, limit, alerts: str, checkpoint: str, **how) -> StreamingQuery:
     """Spend per run with an alert row per crossed step and a flag on the row that reaches the limit.
 
-    The spend before a batch is the sum of the earlier batches' totals. Inside the batch the chunked running
-    total spreads a run over many tasks, which one state row per run could not.
+    The spend so far is one state value per run. A batch brings two integers per row to its run's task; bound it with the
+    source's rate options where one run fills whole batches.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_batches(spark, totals, DELTA).filter(F.col("batch_id") < batch_id).groupBy("run_id").agg(F.sum("delta").alias("_base"))
-        rows = running_total(batch, ["run_id"], "seq", F.col("cost_usd").cast("decimal(28,6)"), "_in", width, keep_previous="_in_before")
-        base = F.coalesce("_base", F.lit(0).cast("decimal(28,6)"))
-        placed = rows.join(before, "run_id", "left").withColumn("spent", (base + F.col("_in")).cast("decimal(38,6)")).withColumn(
-            "before", (base + F.col("_in_before")).cast("decimal(38,6)"))
-        one = f"CAST('{step}' AS DECIMAL(28,6))"
-        bound = F.expr(f"CAST('{limit}' AS DECIMAL(28,6))")
-        tripped = (bound > 0) & (F.col("before") < bound) & (F.col("spent") >= bound)
-        found = placed.withColumn("_a", F.expr(f"before div {one}")).withColumn("_b", F.expr(f"spent div {one}")).withColumn("tripped", tripped)
-        crossed = found.filter((F.col("_b") > F.col("_a")) | F.col("tripped"))
-        buckets = F.when(F.col("_b") > F.col("_a"), F.sequence(F.col("_a") + 1, F.col("_b"))).otherwise(F.array(F.lit(None).cast("bigint")))
-        write_batch(crossed.withColumn("bucket", F.explode(buckets)).select("run_id", "seq", "bucket", "spent", "tripped"), batch_id, alerts)
-        write_batch(batch.groupBy("run_id").agg(F.sum("cost_usd").cast("decimal(28,6)").alias("delta")), batch_id, totals)
-
-    return run(ledger, "budget", checkpoint, each, **how)
-
-
-def stream_reconcile(results: DataFrame, cases: Callable[[SparkSession], DataFrame], budget: Callable[[SparkSession], DataFrame],
-                     fields: Sequence[str], target: str, checkpoint: str, key: str = "trial_key", **how) -> StreamingQuery:
+    rows = ledger.select("run_id", "seq", (F.coalesce("cost_usd", F.lit(0)).cast("decimal(28,6)") * 1_000_000).cast("bigint").alias("micros"))
+    found = rows.groupBy("run_id").transformWithStateInPandas(SpendState(step, limit), ALERT, "Append", "None")
+    return run_keyed(found, "budget", checkpoint, lambda batch, batch_id: write_batch(batch, batch_id, alerts), **how)
+
+
+def stream_reconcile(results: DataFrame, cases: DataFrame, budget: DataFrame, fields: Sequence[str], target: str, checkpoint: str,
+                     key: str = "trial_key", seq: str = "seq", committed: str = "error_type <> 'api_error'",
+                     patience_ms: int | None = None, **how) -> StreamingQuery:
     """Violations of the commit order: a result whose case or budget row has not arrived, or disagrees.
 
-    The case and budget tables are read per batch and cut to the batch's keys before they are lined up.
+    Three streams meet as state per trial; whenever one of its records moves, the trial's codes are written anew (none when
+    all is well). ``current_violations`` reads the newest. ``patience_ms`` holds a missing record back that long.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = latest_by_key(batch, key).filter("error_type <> 'api_error'")
-        cut = lambda df: df.join(newest.select(key), key, "left_semi")
-        write_batch(reconcile(newest, cut(cases(spark)), cut(budget(spark)), fields, key), batch_id, target)
+    columns = ["task_id", *fields]
 
-    return run(results, "reconcile", checkpoint, each, **how)
+    def side(df: DataFrame, name: str, there: Column) -> DataFrame:
+        own = [F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string") for c in columns]
+        return df.select(F.col(key).alias("key"), F.lit(name).alias("side"), F.col(seq).cast("bigint").alias("seq"), there.alias("there"), F.array(*own).alias("row"))
+
+    yes = F.lit(True)
+    both = side(results, "result", F.coalesce(F.expr(committed), F.lit(False))).unionByName(side(cases, "case", yes)).unionByName(side(budget, "budget", yes))
+    mode = "None" if patience_ms is None else "ProcessingTime"
+    judged = both.filter("key <> ''").groupBy("key").transformWithStateInPandas(TrialState(fields, patience_ms), VERDICT, "Update", mode)
+    return run_keyed(judged, "reconcile", checkpoint, lambda batch, batch_id: write_batch(batch, batch_id, target), mode="update", **how)
+
+
+def current_violations(spark: SparkSession, target: str) -> DataFrame:
+    """code, key of the newest judgement of each trial."""
+    newest = latest_by_key(read_batches(spark, target, VERDICT), "key", "batch_id", columns=["codes"])
+    return newest.select(F.explode("codes").alias("code"), "key")
 
 
 def activity_windows(df: DataFrame, ts: str = "ts", width: str = "1 hour", slide: str | None = None, gap: str | None = None,
@@ -139,6 +150,11 @@ def activity_windows(df: DataFrame, ts: str = "ts", width: str = "1 hour", slide
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "passed")
 
 
+def stream_windows(windows: DataFrame, target: str, checkpoint: str, **how) -> StreamingQuery:
+    """Append every window once, when the watermark has passed its end; rows that come later still are dropped."""
+    return run(windows, "windows", checkpoint, lambda batch, batch_id: write_batch(batch, batch_id, target), **how)
+
+
 def _batch_sessions(df: DataFrame, ts: str, gap: str, by: Sequence[str]) -> DataFrame:
     """Sessions of a table. Rows of one gap-long slot always share a session, so they are combined in each task
     first; a key with very many rows then has one row per slot."""
