@@ -205,7 +205,19 @@ def jn9_merge_state(spark, d):
 @query("jn9_merge", sql=f"WITH {MERGE_SQL} SELECT task_id, md5(text) AS text_md5 FROM (SELECT * FROM base UNION ALL SELECT * FROM supp WHERE task_id IN (SELECT task_id FROM st WHERE state = 'new'))")
 def jn9_merge(spark, d):
     base, supplement = merge_sides(spark, d)
-    return J.merge_supplement(base, supplement, "task_id", F.col("text")).select("task_id", F.md5("text").alias("text_md5"))
+    return J.merge_supplement(base, supplement, "task_id", F.col("text"), on_conflict="keep_base").select("task_id", F.md5("text").alias("text_md5"))
+
+
+@query("jn9_conflicts", sql=f"""WITH {MERGE_SQL},
+twice AS (SELECT * FROM supp UNION ALL SELECT task_id, concat(text, '?') FROM supp WHERE task_id LIKE 'S%0' AND task_id NOT LIKE 'S%00' UNION ALL SELECT * FROM supp WHERE task_id LIKE 'S%00'),
+k AS (SELECT task_id, count(*) AS n_supplement, count(DISTINCT text) AS contents FROM twice GROUP BY 1)
+SELECT k.task_id, CASE WHEN b.task_id IS NULL THEN 0 ELSE 1 END AS n_base, n_supplement, 'conflict' AS state FROM k LEFT JOIN base b USING (task_id) WHERE contents > 1 OR b.text <> (SELECT any_value(text) FROM supp WHERE supp.task_id = k.task_id)""")
+def jn9_conflicts(spark, d):
+    """Most keys that only the supplement has come again there: with another text, or with the same."""
+    base, supplement = merge_sides(spark, d)
+    same = F.col("task_id").like("S%00")
+    again = supplement.filter(F.col("task_id").like("S%0")).withColumn("text", F.when(same, F.col("text")).otherwise(F.concat("text", F.lit("?"))))
+    return J.merge_conflicts(base, supplement.unionByName(again), "task_id", F.col("text")).select("task_id", "n_base", "n_supplement", "state")
 
 
 @query("in4_merge_evidence", sql=f"""WITH {MERGE_SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from evalmart import adapters as A
@@ -225,16 +227,17 @@ WITH src AS (SELECT concat('D', CAST(doc_id AS VARCHAR)) AS id, {STRIP.format('t
 cells AS (SELECT id, pub, unnest(CASE WHEN contains({lines_sql('t')}[1], ',') AND len({lines_sql('t')}) > 1
   THEN flatten(list_transform(list_filter({lines_sql('t')}[2:], lambda l: l <> ''), lambda l: list_transform(regexp_extract_all(l, '(?:^|,)("(?:[^"]|"")*"|[^,]*)', 1),
     lambda c: CASE WHEN starts_with(c, '"') THEN replace(regexp_replace(c, '^"|"$', '', 'g'), '""', '"') ELSE c END))) ELSE {lines_sql('t')} END) AS c FROM src WHERE t <> ''
-  UNION ALL SELECT concat('E', CAST(event_id AS VARCHAR)), event_type, unnest([event_type, 'k' || json_extract_string(props, '$.k')]) FROM events),
+  UNION ALL SELECT concat('E', CAST(event_id AS VARCHAR)), event_type, unnest([event_type, 'k' || json_extract_string(props, '$.k'), 'True', 'deep' || json_extract_string(props, '$.k')]) FROM events),
 lit AS (SELECT DISTINCT id, pub, {STRIP.format('c')} AS literal FROM cells)
 SELECT id, literal FROM lit WHERE length(literal) BETWEEN 1 AND 500 AND length(regexp_replace(literal, '[^A-Za-z0-9]', '', 'g')) >= 2
   AND NOT regexp_matches(literal, '^-?[0-9]+(?:\.[0-9]+)?$') AND NOT contains(lower(pub), lower(literal))""")
 def tx8_gold_literals(spark, d):
     docs = A.table(spark, d, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "text", F.col("source").alias("pub"))
     k = F.get_json_object("props", "$.k")
-    json = F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.array(F.concat(F.lit("k"), k)).alias("list")).alias("inner"), k.cast("int").alias("number")))
+    deep = reduce(lambda inner, _: F.struct(F.array(inner).alias("in")), range(6), F.concat(F.lit("deep"), k))  # 12 levels down
+    json = F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.array(F.concat(F.lit("k"), k)).alias("list")).alias("inner"), k.cast("int").alias("number"), F.lit(True).alias("flag"), deep.alias("deep")))
     events = A.table(spark, d, "events").select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"), json.alias("text"), F.col("event_type").alias("pub"))
-    return LK.gold_literals(docs.unionByName(events), "id", "text", "pub", depth=4)
+    return LK.gold_literals(docs.unionByName(events), "id", "text", "pub")
 
 
 @query("tx9_redact_literals", sql=f"""WITH {HALVES_SQL},
@@ -621,11 +624,12 @@ def fn21_soft_fix(spark, d):
 
 @query("fn23_scalar_leaves", sql="""
 WITH k AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events)
-SELECT event_id, '$.a.k' AS path, k AS value, false AS deeper FROM k UNION ALL SELECT event_id, '$.b[0]', event_type, false FROM k UNION ALL SELECT event_id, '$.b[1].c.d', '{"e":' || k || '}', true FROM k""")
+SELECT event_id, '$.a.k' AS path, k AS value FROM k UNION ALL SELECT event_id, '$.b[0]', event_type FROM k UNION ALL SELECT event_id, '$.b[1].c.d.e', k FROM k
+UNION ALL SELECT event_id, '$.z.z[0].z.z[0].z.z[0].z.z[0]', k FROM k UNION ALL SELECT event_id, '$.t', 'true' FROM k""")
 def fn23_scalar_leaves(spark, d):
     k = F.get_json_object("props", "$.k")
-    doc = F.concat(F.lit('{"a": '), "props", F.lit(', "n": null, "b": ["'), "event_type", F.lit('", {"c": {"d": {"e": '), k, F.lit("}}}]}"))
-    return JD.scalar_leaves(A.table(spark, d, "events").select("event_id", doc.alias("doc")), "event_id", "doc", depth=4)
+    doc = F.concat(F.lit('{"a": '), "props", F.lit(', "n": null, "b": ["'), "event_type", F.lit('", {"c": {"d": {"e": '), k, F.lit('}}}], "t": true, "z": {"z": [' + '{"z": {"z": [' * 3), k, F.lit("]}}" * 3 + "]}}"))
+    return JD.scalar_leaves(A.table(spark, d, "events").select("event_id", doc.alias("doc")), "event_id", "doc")
 
 
 @query("fn24_shapes", sql="SELECT event_type, 'OBJECT<k: BIGINT>' AS shape FROM events GROUP BY 1")
@@ -707,9 +711,9 @@ def tx27_script_excerpt(spark, d):
 
 @query("tx8_python_gold", sql="""
 SELECT id, literal FROM (SELECT p_partkey AS id, p_brand AS pub, unnest([p_type, 'k' || p_size]) AS literal FROM part) WHERE NOT contains(lower(pub), lower(literal))
-UNION ALL SELECT p_partkey, 'shown' FROM part WHERE p_size > 25""")
+UNION ALL SELECT p_partkey, 'True' FROM part""")
 def tx8_python_gold(spark, d):
     code = F.concat(F.lit("def f():\n    EXPECTED = {'a': '"), "p_type", F.lit("', 'b': [12, '"), "p_brand", F.lit("']}\nmy_answer = 'k"), F.col("p_size").cast("string"),
-                    F.lit("'\nother = 'nothing'\n"), F.when(F.col("p_size") > 25, "gold = ('shown', None)\n").otherwise("gold = f()\n"))
+                    F.lit("'\nother = 'nothing'\n"), F.when(F.col("p_size") > 25, "gold = ('a tuple is not opened', None)\n").otherwise("gold = f()\n"), F.lit("answers = [True]\n"))
     rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), code.alias("code"), F.col("p_brand").alias("pub"))
     return LK.python_gold_literals(rows, "id", "code", "pub")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evalmart.checks import code_array, first_code
 from evalmart.functions.text import strip
 from evalmart.schemas import PAYLOAD
+from evalmart.session import stored
 
 # Limits, names and defaults of a payload.
 STRATEGY_MAX, SIGNALS_MAX, PRECONDITIONS_MAX = 8, 10, 4
@@ -116,27 +117,48 @@ def payload_strings(payload: Column) -> Column:
                     lambda s: s["text"].isNotNull())
 
 
-def scalar_leaves(df: DataFrame, key: str, json_text: str, depth: int = 8) -> DataFrame:
-    """Scalar leaves of documents with their path: one chain of generators, each opening one level.
+LEVELS = 4  # opened in one pass over the containers that are left
 
-    Containers below ``depth`` come out with ``deeper`` set, so nothing is lost unseen.
+
+def typed_leaves(df: DataFrame, key: str, json_text: str) -> DataFrame:
+    """key, path, value, kind of the scalar leaves of documents, however deep.
+
+    Recursion over tables: one pass opens some levels by a chain of generators; leaves are done then, and only the
+    containers that are left go into the next pass. There are as many passes as the deepest document needs.
     """
+    left = df.select(key, F.lit("$").alias("path"), F.col(json_text).alias("value"))
+    leaves = None
+    while True:
+        opened = stored(_opened(left, key))
+        done = opened.filter(~F.col("deeper")).drop("deeper")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        left = opened.filter("deeper").select(key, "path", "value")
+        if left.isEmpty():
+            return leaves
+
+
+def _opened(left: DataFrame, key: str) -> DataFrame:
     def is_container(v: Column, kind: str) -> Column:
         return F.schema_of_variant(v).startswith(kind)
 
-    level = df.select(key, F.struct(F.lit("$").alias("path"), F.try_parse_json(json_text).alias("v")).alias("_n"))
+    level = left.select(key, F.struct("path", F.try_parse_json("value").alias("v")).alias("_n"))
     path, v = F.col("_n.path"), F.col("_n.v")
-    for _ in range(depth):
+    for _ in range(LEVELS):
         members = F.transform(F.map_entries(v.cast("map<string,variant>")), lambda e: F.struct(
             F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
         items = F.transform(v.cast("array<variant>"), lambda x, i: F.struct(
             F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
         inner = F.when(is_container(v, "OBJECT"), members).when(is_container(v, "ARRAY"), items).otherwise(F.array("_n"))
         level = level.select(key, F.explode(inner).alias("_n"))
-    shape = F.schema_of_variant(v)
-    deeper = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-    return level.filter(v.isNotNull() & (shape != "VOID")).select(
-        key, path.alias("path"), F.when(deeper, F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string")).alias("value"), deeper.alias("deeper"))
+    kind = F.schema_of_variant(v)
+    deeper = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return level.filter(v.isNotNull() & (kind != "VOID")).select(
+        key, path.alias("path"), F.when(deeper, F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string")).alias("value"), kind.alias("kind"), deeper.alias("deeper"))
+
+
+def scalar_leaves(df: DataFrame, key: str, json_text: str) -> DataFrame:
+    """Scalar leaves of documents with their path."""
+    return typed_leaves(df, key, json_text).drop("kind")
 
 
 def json_shape(json_text: Column) -> Column:

@@ -141,24 +141,29 @@ def merge_state(base: DataFrame, supplement: DataFrame, key: str, content: Colum
     return per_key.select(key, "n_base", "n_supplement", state.alias("state"))
 
 
-def merge_supplement(base: DataFrame, supplement: DataFrame, key: str, content: Column) -> DataFrame:
-    """Base plus the supplement's new keys, once each; keys in conflict keep the base record.
+CONFLICTS = ("conflict", "duplicate_base")
 
-    Run ``merge_state`` first where a conflict has to stop the merge. Repeats inside the supplement obey the
-    same rule as repeats across the two.
+
+def merge_supplement(base: DataFrame, supplement: DataFrame, key: str, content: Column, on_conflict: str = "fail") -> DataFrame:
+    """Base plus the supplement's new keys, once each. Repeats inside the supplement obey the same rule as repeats across the two.
+
+    A key with two contents, or twice in the base, ends the job. ``on_conflict="keep_base"`` goes on with the base's records
+    and leaves out what ``merge_conflicts`` lists.
     """
-    states = merge_state(base, supplement, key, content).filter("state = 'new'").select(key)
+    if on_conflict not in ("fail", "keep_base"):
+        raise ValueError(f"unknown rule for conflicts: {on_conflict}")
+    state = F.col("state")
+    if on_conflict == "fail":
+        state = F.when(state.isin(*CONFLICTS), F.raise_error(F.concat(F.lit("merge conflict: "), F.col(key).cast("string")))).otherwise(state)
+    states = merge_state(base, supplement, key, content).filter(state == "new").select(key)
     columns = [c for c in base.columns if c != key]
     new = supplement.join(states, key, "left_semi").groupBy(key).agg(F.any_value(F.struct(*columns)).alias("_r"))
     return base.unionByName(new.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in base.columns]))
 
 
 def merge_conflicts(base: DataFrame, supplement: DataFrame, key: str, content: Column) -> DataFrame:
-    """Keys that a merge may not settle by itself, those that only the supplement has (``n_base`` 0) among them.
-
-    ``merge_supplement`` leaves such supplement-only keys out: pass this to ``require_empty`` before merging.
-    """
-    return merge_state(base, supplement, key, content).filter("state IN ('conflict', 'duplicate_base')")
+    """Keys that a merge may not settle by itself, those that only the supplement has (``n_base`` 0) among them."""
+    return merge_state(base, supplement, key, content).filter(F.col("state").isin(*CONFLICTS))
 
 
 def canonical_record(df: DataFrame) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evalmart.functions.gates import GOLD_NAMES, assigned_values
+from evalmart.functions.jsondoc import typed_leaves
 from evalmart.functions.literals import answer_options, hard_literals, is_number, private_vocab, public_tokens, task_tokens
 from evalmart.functions.text import NUMERIC_BOUNDARIES, WORD_BOUNDARY, alnum_count, any_glob, bind, bounded_pattern, holds_token, lines_of, strip
 from evalmart.sources.documents import csv_cells
@@ -98,13 +100,15 @@ def find_corpus_leaks(texts: DataFrame, phrases: DataFrame, text_key: str, phras
     return checked.filter(hit).select(text_key, phrase_key)
 
 
-def gold_literals(df: DataFrame, key: str, text: str, public: str, include_numbers: bool = False, depth: int = 8) -> DataFrame:
-    """(key, literal): output values of JSON, CSV or plain target texts that the public text does not show."""
-    from evalmart.functions.jsondoc import scalar_leaves
+def gold_literals(df: DataFrame, key: str, text: str, public: str, include_numbers: bool = False, always: bool = False) -> DataFrame:
+    """(key, literal): output values of JSON, CSV or plain target texts that the public text does not show.
 
+    ``always``: values count although the public text shows them, as those of an answer file do.
+    """
     raw = df.withColumn("_t", strip(F.coalesce(text, F.lit("")))).filter("_t <> ''")
     is_json = F.try_parse_json("_t").isNotNull()
-    leaves = scalar_leaves(raw.filter(is_json), key, "_t", depth).select(key, F.col("value").alias("literal"))
+    spelled = F.when(F.col("kind") == "BOOLEAN", F.initcap("value")).otherwise(F.col("value"))
+    leaves = typed_leaves(raw.filter(is_json), key, "_t").select(key, spelled.alias("literal"))
 
     def values(lines: Column) -> Column:
         is_csv = F.contains(F.get(lines, F.lit(0)), F.lit(",")) & (F.size(lines) > 1)
@@ -117,17 +121,19 @@ def gold_literals(df: DataFrame, key: str, text: str, public: str, include_numbe
     if not include_numbers:
         keep = keep & ~is_number(F.col("literal"))
     found = found.filter(keep).distinct()
+    if always:
+        return found
     shown = df.select(key, F.lower(F.coalesce(public, F.lit(""))).alias("_public"))
     return found.join(shown, key).filter(~F.contains(F.col("_public"), F.lower("literal"))).select(key, "literal")
 
 
 def python_gold_literals(df: DataFrame, key: str, code: str, public: str) -> DataFrame:
     """(key, literal): values that code assigns to answer names, split like target texts."""
-    from evalmart.functions.gates import python_gold_values
-
-    values = df.withColumn("_v", F.explode(python_gold_values(code))).select(
-        F.struct(F.col(key).alias("k"), F.col("_v").alias("v")).alias("_id"), F.col("_v").alias("_text"), F.col(public).alias("_pub"))
-    return gold_literals(values.distinct(), "_id", "_text", "_pub").select(F.col("_id.k").alias(key), "literal").distinct()
+    marked = F.filter(assigned_values(F.col(code)), lambda a: F.exists(a["names"], lambda n: F.rlike(n, F.lit("|".join(GOLD_NAMES)))))
+    values = df.withColumn("_a", F.explode(marked)).select(F.struct(F.col(key).alias("k"), F.col(public).alias("p")).alias("_id"), F.col("_a.json").alias("_j"))
+    leaves = typed_leaves(values, "_id", "_j").select("_id.*", F.when(F.col("kind") == "BOOLEAN", F.initcap("value")).otherwise(F.col("value")).alias("_text"))
+    texts = leaves.distinct().select(F.struct("k", F.col("_text").alias("v")).alias("_id"), "_text", F.col("p").alias("_pub"))
+    return gold_literals(texts, "_id", "_text", "_pub").select(F.col("_id.k").alias(key), "literal").distinct()
 
 
 def scan_content(assets: DataFrame, globs: Sequence[str], regexes: Sequence[str], exempt: DataFrame | None = None,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,10 @@ def pin(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table below the checkpoint folder: computed once, the same for every later pass, short lineage."""
+    path = f"{checkpoint_dir(df.sparkSession)}/evalmart-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -68,7 +68,9 @@ def test_merge_rules(spark, rows):
     base = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "4"), ("d", "4")], schema)
     supp = spark.createDataFrame([("a", "1"), ("b", "X"), ("c", "3"), ("c", "3"), ("e", "5"), ("e", "6")], schema)
     assert rows(J.merge_state(base, supp, "k", F.col("v")), "k", "state") == [("a", "same"), ("b", "conflict"), ("c", "new"), ("d", "duplicate_base"), ("e", "conflict")]
-    assert rows(J.merge_supplement(base, supp, "k", F.col("v"))) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("d", "4")]
+    with pytest.raises(Exception, match="merge conflict: "):
+        J.merge_supplement(base, supp, "k", F.col("v")).collect()
+    assert rows(J.merge_supplement(base, supp, "k", F.col("v"), on_conflict="keep_base")) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("d", "4")]
     left, right = spark.createDataFrame([("x", "1")], schema), spark.createDataFrame([("y", "2")], schema)
     one = J.merge_supplement(J.merge_supplement(base.distinct(), left, "k", F.col("v")), right, "k", F.col("v"))
     two = J.merge_supplement(J.merge_supplement(base.distinct(), right, "k", F.col("v")), left, "k", F.col("v"))

@@ -161,8 +161,9 @@ def test_json_documents(spark, rows):
     assert one(spark, JD.extract_json(F.col("t")), t='x {"a": {"b": 1}} y') == '{"a": {"b": 1}}'
     assert one(spark, JD.extract_json(F.col("t")), t="} no {") is None
     deep = spark.createDataFrame([("d", '{"a": [1, {"b": "x"}], "c": null, "e": {"f": {"g": {"h": 1}}}}')], "id string, j string")
-    got = rows(JD.scalar_leaves(deep, "id", "j", depth=3))
-    assert got == [("d", "$.a[0]", "1", False), ("d", "$.a[1].b", "x", False), ("d", "$.e.f.g", '{"h":1}', True)]
+    assert rows(JD.scalar_leaves(deep, "id", "j")) == [("d", "$.a[0]", "1"), ("d", "$.a[1].b", "x"), ("d", "$.e.f.g.h", "1")]
+    deepest = spark.createDataFrame([("d", "[" * 60 + '"low"' + "]" * 60), ("e", "[]"), ("f", "5"), ("g", "no json"), ("h", None)], "id string, j string")
+    assert rows(JD.scalar_leaves(deepest, "id", "j")) == [("d", "$" + "[0]" * 60, "low"), ("f", "$", "5")]
 
 
 def test_payload_rules(spark):
