@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalmart import adapters as A
 from evalmart.catalog import query
 from evalmart.functions import numeric as N
-from evalmart.operators import latest as L, metrics as M, paired as P, subsets as S
+from evalmart.operators import latest as L, metrics as M, paired as P, selection as SL, subsets as S
 
 
 def latest(spark, d, *columns):
@@ -387,9 +387,15 @@ def st3_bootstrap_scale(spark, d):
 SELECT model, round(quantile_cont(input_tokens, 0.025), 6) AS p025, round(quantile_cont(input_tokens, 0.5), 6) AS p50,
   round(quantile_cont(input_tokens, 0.975), 6) AS p975 FROM trials GROUP BY model""")
 def st4_percentile(spark, d):
-    return A.trials(spark, d).groupBy("model").agg(*[
-        F.round(F.percentile("input_tokens", F.lit(p)), 6).alias(name)
-        for name, p in (("p025", 0.025), ("p50", 0.5), ("p975", 0.975))])
+    found = SL.exact_percentiles(A.trials(spark, d), ["model"], "input_tokens", {"p025": 0.025, "p50": 0.5, "p975": 0.975})
+    return found.select("model", *[F.round(c, 6).alias(c) for c in ("p025", "p50", "p975")])
+
+
+@query("st4_percentile_decimal", sql="""
+SELECT l_returnflag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9), 6) AS p90 FROM lineitem GROUP BY l_returnflag""")
+def st4_percentile_decimal(spark, d):
+    found = SL.exact_percentiles(A.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p90": 0.9})
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "p90")])
 
 
 @query("st5_seed", "trials", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalmart import adapters as A
 from evalmart.catalog import query
 from evalmart.catalog.analytics import latest, producer, task_dim
-from evalmart.operators import curation as CU, joins as J, latest as L, prefix as X, sampling as SA
+from evalmart.operators import curation as CU, joins as J, latest as L, prefix as X, sampling as SA, selection as SL
 from evalmart.plans import curate as PC
 from evalmart.sources import files as FI
 from evalmart.functions import gates as GA
@@ -123,6 +123,23 @@ def wn7_cap(spark, d):
     return SA.cap_per_group(A.tasks(spark, d).select("task_id", "family"), "family", "task_id", 7, 42)
 
 
+@query("wn7_cap_large", "trials", """
+SELECT model, seq FROM trials QUALIFY row_number() OVER (PARTITION BY model ORDER BY sha256(concat_ws('|', '5', CAST(seq AS VARCHAR)))) <= 2500""")
+def wn7_cap_large(spark, d):
+    return SA.cap_per_group(A.trials(spark, d).select("model", "seq"), "model", "seq", 2500, 5)
+
+
+@query("so2_sample_large", "trials", "SELECT seq FROM trials ORDER BY sha256(concat_ws('|', '9', CAST(seq AS VARCHAR))) LIMIT 6000")
+def so2_sample_large(spark, d):
+    return SA.sample_n(A.trials(spark, d).select("seq"), "seq", 6000, 9)
+
+
+@query("wn8_nth_success", "trials", """
+SELECT model, seq FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq) AS r FROM trials WHERE passed = 1) WHERE r = 1200""")
+def wn8_nth_success(spark, d):
+    return SL.nth_by_ordinal(A.trials(spark, d).filter("passed = 1").select("model", "seq"), ["model"], "seq", 1200, width=500)
+
+
 @query("wn7_seeded_rank", "tasks", """
 SELECT task_id, family, row_number() OVER (PARTITION BY family ORDER BY sha256(concat_ws('|', '42', task_id))) AS rank FROM tasks""")
 def wn7_seeded_rank(spark, d):

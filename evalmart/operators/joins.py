@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.hashing import canonical_json
-from evalmart.operators.prefix import RANK_LIMIT, first_n, running_count
+from evalmart.operators.selection import nth_by_ordinal
 
 
 def trial_grid(tasks: DataFrame, models: Sequence[str], conditions: Sequence[str]) -> DataFrame:
@@ -373,11 +373,8 @@ def unscanned_paths(walked: DataFrame, scanned: DataFrame) -> DataFrame:
 def stop_index(df: DataFrame, group: str, order: str, success: Column, n: int) -> DataFrame:
     """Order key at which each group reaches its n-th success (null if never)."""
     found = df.filter(success)
-    if n <= RANK_LIMIT:
-        hits = first_n(found, [group], [order], n, "_r")
-    else:
-        hits = running_count(found, [group], order, "_r").filter(F.col("_r") <= n)
-    return hits.groupBy(group).agg(F.max(F.when(F.col("_r") == n, F.col(order))).alias("filled_at"))
+    hits = nth_by_ordinal(found, [group], order, n).select(group, F.col(order).alias("filled_at"))
+    return found.select(group).distinct().join(hits, group, "left")
 
 
 def stop_at_target(df: DataFrame, group: str, order: str, success: Column, n: int) -> DataFrame:

@@ -15,7 +15,6 @@ from evalmart.session import pin
 
 DEFAULT_WIDTH = 1_000_000
 RADIX = 1_000_000  # most chunks of a group in one window
-KEYS = 1 << 64  # an integer order key has so many values at most
 
 
 def running_total(
@@ -24,9 +23,16 @@ def running_total(
 ) -> DataFrame:
     """Running sum of ``value`` by ``order`` (an integer column, unique in the group).
 
-    ``width`` is in units of the order key, so a chunk holds at most ``width`` rows.
+    ``width`` is in units of the order key, so a chunk holds at most ``width`` rows. The range of the key tells how many chunks
+    a group can have, and so how many levels of them are needed.
     """
-    return _running(df, group, [order], value, out, keep_previous, F.expr(f"`{order}` div {int(width)}L"), KEYS // int(width) + 1)
+    return _running(df, group, [order], value, out, keep_previous, *ordinal_chunks(df, order, width))
+
+
+def ordinal_chunks(df: DataFrame, order: str, width: int) -> tuple[Column, int]:
+    """Chunk of an integer order key, and how many chunks its range can have."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    return F.expr(f"`{order}` div {int(width)}L"), 1 if low is None else (int(high) - int(low)) // int(width) + 2
 
 
 def running_count(df: DataFrame, group: Sequence[str], order: str, out: str = "rank", width: int = DEFAULT_WIDTH):
@@ -41,7 +47,7 @@ def running_count_by_digest(df: DataFrame, group: Sequence[str], digest: str, ou
     return _running(df, group, [digest, *tie], F.lit(1).cast("bigint"), out, None, chunk, 16 ** hex_digits)
 
 
-def _offsets(totals: DataFrame, group: Sequence[str], chunks: int) -> DataFrame:
+def chunk_offsets(totals: DataFrame, group: Sequence[str], chunks: int) -> DataFrame:
     """``_offset`` of each ``_chunk``: the sum of the group's earlier ones, of which there are ``chunks`` at most."""
     parts, number = [F.col("_chunk")[g] for g in group], F.col("_chunk._n")
     before = lambda *by: F.coalesce(F.sum("_sum").over(
@@ -50,7 +56,7 @@ def _offsets(totals: DataFrame, group: Sequence[str], chunks: int) -> DataFrame:
         return totals.select("_chunk", before(*parts).alias("_offset"))
     wide = totals.withColumn("_wide", F.struct(*[p.alias(g) for g, p in zip(group, parts, strict=True)], F.expr(f"_chunk._n div {RADIX}L").alias("_n")))
     above = wide.groupBy(F.col("_wide").alias("_chunk")).agg(F.sum("_sum").alias("_sum"))
-    base = _offsets(above, group, chunks // RADIX + 1).select(F.col("_chunk").alias("_wide"), F.col("_offset").alias("_base"))
+    base = chunk_offsets(above, group, chunks // RADIX + 1).select(F.col("_chunk").alias("_wide"), F.col("_offset").alias("_base"))
     return wide.join(base, "_wide").select("_chunk", (F.col("_base") + before("_wide")).alias("_offset"))
 
 
@@ -59,7 +65,7 @@ def _running(df, group, order, value, out, keep_previous, chunk, chunks):
     tagged = df.withColumn("_chunk", F.struct(*[F.col(g) for g in group], chunk.alias("_n"))).withColumn("_v", value)
     totals = tagged.groupBy("_chunk").agg(F.sum("_v").alias("_sum"))
     inside = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    result = tagged.join(_offsets(totals, group, chunks), "_chunk").withColumn(out, F.col("_offset") + F.sum("_v").over(inside))
+    result = tagged.join(chunk_offsets(totals, group, chunks), "_chunk").withColumn(out, F.col("_offset") + F.sum("_v").over(inside))
     if keep_previous:
         result = result.withColumn(keep_previous, F.col(out) - F.col("_v"))
     return result.drop("_chunk", "_v", "_offset")
@@ -92,11 +98,8 @@ def ordered_rank(
     return placed.drop("_at", "_part", "_offset")
 
 
-RANK_LIMIT = 1000  # up to here the optimizer applies a rank limit in each task before the shuffle
-
-
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per group; the rank limit is applied in each task before the shuffle."""
+    """First ``n`` rows per group, for the few rows of a preview; the rank limit is applied in each task before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 

@@ -8,26 +8,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.numeric import seeded_digest
 from evalmart.operators.prefix import (
-    DEFAULT_WIDTH, RANK_LIMIT, first_n, ordered_rank, running_count, running_count_by_digest, running_total,
+    DEFAULT_WIDTH, ordered_rank, running_count, running_total,
 )
+from evalmart.operators.selection import first_by_digest
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """The first n rows in seeded order; each task keeps n rows at most, no full sort."""
-    return df.withColumn("_d", seeded_digest(seed, F.col(id_col))).orderBy("_d").limit(n).drop("_d")
+    """The first n rows in seeded order."""
+    return first_by_digest(df.withColumn("_d", seeded_digest(seed, F.col(id_col))), [], "_d", n, tie=[id_col]).drop("_d")
 
 
 def cap_per_group(df: DataFrame, group: str, id_col: str, k: int, seed: int) -> DataFrame:
-    """Up to k rows per group in seeded order; 0 takes all.
-
-    A small cap is applied in each task before the shuffle; a large one by ranks over digest chunks.
-    """
+    """Up to k rows per group in seeded order; 0 takes all."""
     if k <= 0:
         return df
-    rows = df.withColumn("_d", seeded_digest(seed, F.col(id_col)))
-    if k <= RANK_LIMIT:
-        return first_n(rows, [group], ["_d", id_col], k, "_r").drop("_d", "_r")
-    return running_count_by_digest(rows, [group], "_d", "_r", tie=[id_col]).filter(F.col("_r") <= k).drop("_d", "_r")
+    return first_by_digest(df.withColumn("_d", seeded_digest(seed, F.col(id_col))), [group], "_d", k, tie=[id_col]).drop("_d")
 
 
 def assign_ids(df: DataFrame, group: str, order: Sequence[str], prefixes: Column, width: int = 4) -> DataFrame:
