@@ -188,6 +188,9 @@ def test_chain_depth(spark):
     assert steps(spark, [("a", ["b"]), ("b", ["a"])]) == 2
     assert steps(spark, [("a", ["b"]), ("b", ["a"]), ("c", []), ("d", ["c"]), ("e", ["d"])]) == 3
     assert steps(spark, [("a", ["a"])]) == 1
+    long = [(f"s{i}", [f"s{i - 1}"] if i else None) for i in range(20_000)]
+    assert steps(spark, long) == steps(spark, long[::-1]) == 20_000
+    assert steps(spark, [(f"s{i}", [f"s{k}" for k in range(max(0, i - 9), i)]) for i in range(3000)]) == 3000
 
 
 def test_literal_blocks_and_signatures(spark):
