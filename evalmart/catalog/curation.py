@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalmart import adapters as A
 from evalmart.catalog import query
 from evalmart.catalog.analytics import latest, producer, task_dim
-from evalmart.operators import curation as CU, joins as J, latest as L, prefix as X, sampling as SA, selection as SL
+from evalmart.operators import curation as CU, joins as J, latest as L, metrics as M, prefix as X, sampling as SA, selection as SL
 from evalmart.plans import curate as PC
 from evalmart.sources import files as FI
 from evalmart.functions import gates as GA
@@ -261,6 +261,56 @@ def in10_consolidate(spark, d):
         {"en": "e", "user": "u"}, {"en": "text_short_answer"}).select("source", "family", "orig_id", "task_id", "execution_mode")
 
 
+RUNS_SQL = """,
+runs AS (SELECT task_id, family, text, quality, seq, unnest(range(1, seq % 3 + 2)) AS run FROM tasks WHERE n_chars >= 50),
+kept AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY run DESC, task_id DESC) = 1),
+bench AS (SELECT concat('B', item_id) AS orig_id FROM benchmark),
+all_rows AS (SELECT 'bench' AS source, 'en' AS family, orig_id, NULL AS run, NULL AS verdict, NULL AS n_pass FROM bench
+  UNION ALL SELECT 'runs', family, task_id, run, CASE WHEN seq % 2 = 0 THEN 'middle' ELSE 'easy' END, CASE WHEN seq % 2 = 0 THEN seq % 5 ELSE 9 END FROM kept)"""
+
+
+def runs_and_bench(spark, d):
+    """Tasks that came out of up to three runs each, copies of one text among them, beside the benchmark."""
+    anchor = F.struct(F.lit("m").alias("model"), (F.col("seq") % 5).cast("bigint").alias("n_pass"), F.lit(5).cast("bigint").alias("n_trials"))
+    none = F.lit(None).cast("bigint")
+    summary = F.struct(F.lit(None).cast("string").alias("anchor_model"), none.alias("n_pass"), none.alias("n_solved"), F.lit(9).cast("bigint").alias("total_pass"),
+                       none.alias("n_trials"), F.lit(10).cast("bigint").alias("total_trials"), F.when(F.col("seq") % 2 == 0, "middle").alias("final_label"), F.lit("easy").alias("verdict"))
+    runs = A.tasks(spark, d).withColumn("run", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("seq") % 3 + 1))).select(
+        F.col("task_id").alias("orig_id"), "family", "text", "n_chars", "run", F.concat(F.lit("2024010"), F.col("run").cast("string"), F.lit("T000000_x")).alias("run_name"),
+        summary.alias("totals"), F.when(F.col("seq") % 2 == 0, F.array(anchor)).alias("anchors"))
+    bench = A.table(spark, d, "benchmark").select(F.lit("en").alias("family"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("orig_id"))
+    key = L.task_dedup_key(F.lit(None).cast("string"), F.col("text"), F.lit(""))
+    sources = {"runs": PC.Source(runs, [("short", F.col("n_chars") < 50)], key, ["run_name", "orig_id"], ("totals", "anchors")), "bench": (bench,)}
+    return PC.consolidation(sources, {"en": "e"}, {"en": "text_short_answer"})
+
+
+@query("in10_manifest", "tasks", f"""{RUNS_SQL}
+SELECT source, family, orig_id, run, verdict, n_pass, concat(family, '/', CASE family WHEN 'en' THEN 'e' ELSE 'x' END, '_', lpad(CAST(row_number() OVER (PARTITION BY family ORDER BY source, orig_id) AS VARCHAR), 4, '0')) AS task_id FROM all_rows""")
+def in10_manifest(spark, d):
+    return runs_and_bench(spark, d).manifest.select("source", "family", "orig_id", "run", "calibration.verdict", "calibration.n_pass", "task_id")
+
+
+@query("in10_summary", "tasks", f"""{RUNS_SQL}
+SELECT 'total_tasks' AS field, 'all' AS member, count(*) AS n FROM all_rows UNION ALL SELECT 'by_family', coalesce(family, 'None'), count(*) FROM all_rows GROUP BY ALL
+UNION ALL SELECT 'by_execution_mode', CASE WHEN family = 'en' THEN 'text_short_answer' ELSE 'None' END, count(*) FROM all_rows GROUP BY ALL UNION ALL SELECT 'by_source', source, count(*) FROM all_rows GROUP BY ALL""")
+def in10_summary(spark, d):
+    return runs_and_bench(spark, d).summary
+
+
+@query("in10_dedup", "tasks", f"""{RUNS_SQL}
+SELECT 'runs' AS source, seen, survivors, seen - survivors AS collisions, seen - survivors AS dropped_by_dedup FROM (SELECT (SELECT count(*) FROM runs) AS seen, (SELECT count(*) FROM kept) AS survivors)""")
+def in10_dedup(spark, d):
+    return runs_and_bench(spark, d).dedup
+
+
+@query("in9_summary", "tasks", """
+, t AS (SELECT * FROM tasks WHERE source <> 'src1')
+SELECT 'total_tasks' AS field, 'all' AS member, count(*) AS n FROM t UNION ALL SELECT 'by_family', coalesce(family, 'None'), count(*) FROM t GROUP BY ALL
+UNION ALL SELECT 'by_execution_mode', coalesce(execution_mode, 'None'), count(*) FROM t GROUP BY ALL UNION ALL SELECT 'by_source', coalesce(source, 'None'), count(*) FROM t GROUP BY ALL""")
+def in9_summary(spark, d):
+    return M.manifest_summary(PC.flatten_layout(A.tasks(spark, d), ["src1"], "T", 4))
+
+
 @query("in13_bundles", "rollouts", r"""
 SELECT concat(task_id, '::', rollout) AS trial_key, task_id, CASE WHEN api_call = 1 THEN 'text_short_answer' ELSE 'other' END AS execution_mode,
   md5(CASE WHEN api_call = 1 THEN regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '-?[0-9]+(?:\.[0-9]+)?', '<num>', 'g') ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS attempt,

@@ -23,22 +23,26 @@ FORM = f"sha256-tree-{LEAF_DIGITS}-{STEP_DIGITS}"
 def lines_digest(df: DataFrame, group: Sequence[str], line: Column, distinct: bool = False) -> DataFrame:
     """Digest of each group's lines, whatever their order: group, digest, n_lines, form.
 
-    A leaf hashes ``hash:count LF`` of its lines in hash order, an inner node ``prefix:hash LF`` of its children.
-    All levels lie in the partitions of the first ``STEP_DIGITS``, so that they share one shuffle. A null line is no line.
+    A leaf hashes ``hash:count LF`` of its lines in hash order, an inner node ``prefix:hash LF`` of its children. Leaves are
+    dealt out one by one, 16 ** LEAF_DIGITS of them to a group; the levels above, one short row per leaf, lie in the partitions
+    of the first ``STEP_DIGITS`` and share one shuffle. A null line is no line.
     """
     key = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("all"))
     hashed = df.select(key.alias("_g"), F.sha2(line, 256).alias("_h")).filter("_h IS NOT NULL")
     copies = F.lit(1).cast("bigint") if distinct else F.count(F.lit(1))
     level = hashed.groupBy("_g", "_h").agg(copies.alias("_c")).select(
         "_g", F.left("_h", F.lit(LEAF_DIGITS)).alias("_b"), F.concat("_h", F.lit(":"), F.col("_c").cast("string"), F.lit("\n")).alias("_line"),
-        F.col("_c").alias("_n")).withColumn("_top", F.left("_b", F.lit(STEP_DIGITS))).repartition("_g", "_top")
+        F.col("_c").alias("_n"))
     for digits in range(LEAF_DIGITS, -1, -STEP_DIGITS):
-        by = ["_g", "_top", "_b"] if digits else ["_g"]
+        by = ["_g"] if digits == 0 else ["_g", "_b"] if digits == LEAF_DIGITS else ["_g", "_top", "_b"]
         node = level.groupBy(*by).agg(
             F.sha2(F.array_join(F.sort_array(F.collect_list("_line")), ""), 256).alias("_h"), F.sum("_n").alias("_n"))
         if digits:
             level = node.select(
-                "_g", "_top", F.left("_b", F.lit(digits - STEP_DIGITS)).alias("_b"), F.concat("_b", F.lit(":"), "_h", F.lit("\n")).alias("_line"), "_n")
+                "_g", F.left("_b", F.lit(STEP_DIGITS)).alias("_top"), F.left("_b", F.lit(digits - STEP_DIGITS)).alias("_b"),
+                F.concat("_b", F.lit(":"), "_h", F.lit("\n")).alias("_line"), "_n")
+        if digits == LEAF_DIGITS:
+            level = level.repartition("_g", "_top")
     return node.select(*[F.col("_g")[g].alias(g) for g in group], F.col("_h").alias("digest"), F.col("_n").alias("n_lines"), F.lit(FORM).alias("form"))
 
 

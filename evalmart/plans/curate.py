@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalmart.functions.redact import sanitize_attempt, sanitize_verdict_tail
 from evalmart.functions.text import strip
-from evalmart.operators.curation import with_drop_reason
+from evalmart.operators.curation import normalize_calibration, with_drop_reason
+from evalmart.operators.latest import dedup_keep_last, dedup_stats
 from evalmart.operators.metrics import manifest_summary
 from evalmart.operators.sampling import assign_flat_ids, assign_ids
+from evalmart.session import stored
 
 FAILED = ("fail", "error")
 
@@ -35,15 +38,41 @@ def flatten_layout(tasks: DataFrame, exclude_sources: Sequence[str], prefix: str
         "rel_dir", F.concat(F.lit(folder + "/"), "flat_id")).drop("flat_id")
 
 
-def consolidate(sources: Mapping[str, tuple[DataFrame, Sequence[tuple[str, Column]]]], prefixes: Mapping[str, str],
-                modes: Mapping[str, str], order: Sequence[str] = ("orig_id",), width: int = 4) -> DataFrame:
-    """One manifest from several sources: each filtered by its own rules, tagged, numbered within its family."""
-    def one(name: str, rows: DataFrame, rules) -> DataFrame:
-        kept = with_drop_reason(rows, rules).filter("drop_reason IS NULL").drop("drop_reason") if rules else rows
-        return kept.withColumn("source", F.lit(name))
+class Source(NamedTuple):
+    """One source of a consolidation: its rows, the rules that drop rows, and where records of runs recur, the key whose last
+    record by ``order`` stays. ``calibration`` names the columns with a record's summary and its anchors."""
 
-    parts = [one(name, rows, rules) for name, (rows, rules) in sources.items()]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows: DataFrame
+    rules: Sequence[tuple[str, Column]] = ()
+    dedup: Column | None = None
+    order: Sequence[str] = ()
+    calibration: tuple[str, str] | None = None
+
+
+class Consolidated(NamedTuple):
+    manifest: DataFrame
+    summary: DataFrame
+    dedup: DataFrame
+
+
+def _kept(source: Source) -> DataFrame:
+    return with_drop_reason(source.rows, source.rules).filter("drop_reason IS NULL").drop("drop_reason") if source.rules else source.rows
+
+
+def _prepared(name: str, source: Source) -> DataFrame:
+    rows = _kept(source)
+    if source.dedup is not None:
+        rows = dedup_keep_last(rows, source.dedup, source.order).drop("n_copies")
+    if source.calibration is not None:
+        summary, anchors = source.calibration
+        rows = rows.withColumn("calibration", normalize_calibration(F.col(summary), F.col(anchors))).drop(summary, anchors)
+    return rows.withColumn("source", F.lit(name))
+
+
+def consolidate(sources: Mapping[str, Source | tuple], prefixes: Mapping[str, str], modes: Mapping[str, str], order: Sequence[str] = ("orig_id",),
+                width: int = 4) -> DataFrame:
+    """One manifest from several sources: each filtered by its own rules, freed of earlier runs, tagged, numbered within its family."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_prepared(name, Source(*s)) for name, s in sources.items()])
     lookup = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("family"))
     if "execution_mode" not in rows.columns:
         rows = rows.withColumn("execution_mode", F.lit(None).cast("string"))
@@ -52,6 +81,15 @@ def consolidate(sources: Mapping[str, tuple[DataFrame, Sequence[tuple[str, Colum
     return numbered.withColumn("task_id", F.concat_ws("/", "family", "local_id")).drop("_p", "local_id")
 
 
+def consolidation(sources: Mapping[str, Source | tuple], prefixes: Mapping[str, str], modes: Mapping[str, str], order: Sequence[str] = ("orig_id",),
+                  width: int = 4) -> Consolidated:
+    """The whole job: the manifest, its summary, and per source with recurring records how many were seen, stayed and went."""
+    manifest = stored(consolidate(sources, prefixes, modes, order, width))
+    stats = [dedup_stats(_kept(s), s.dedup).select(F.lit(name).alias("source"), "*") for name, s in ((n, Source(*x)) for n, x in sources.items()) if s.dedup is not None]
+    none = manifest.sparkSession.createDataFrame([], "source string, seen bigint, survivors bigint, collisions bigint, dropped_by_dedup bigint")
+    return Consolidated(manifest, manifest_summary(manifest), reduce(DataFrame.unionByName, stats, none))
+
+
 def attempt_bundles(cases: DataFrame, results: DataFrame, tasks: DataFrame) -> DataFrame:
     """Case, outcome and task of each key, with attempt and log tails made safe to show."""
     raw = F.coalesce(F.nullif("raw_response", F.lit("")), "extracted_code", F.lit(""))
