@@ -36,6 +36,7 @@ from evalmart.llm.common import slices, text_of
 VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 2
 SEGMENT_IDS = 1 << 18
+SLICE_BYTES = 8 << 20  # words are looked up once a slice
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
@@ -164,7 +165,13 @@ class WordIds(spans.Ids):
         self.clear()
 
     def encode(self, fresh: list[str]) -> None:
-        plain = [(w, m[1].lower(), m[2]) for w in fresh if (m := PLAIN.match(w))]
+        plain, others = [], []
+        for w in fresh:
+            m = PLAIN.match(w)
+            if m is None:
+                others.append(w)
+            else:
+                plain.append((w, m[1].lower(), m[2]))
         letters = [s for s in dict.fromkeys(core for _, core, _ in plain) if s not in self.at]
         for own in spans.batches(letters):
             ids = np.array(spans.tokenizer(self.path).encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
@@ -173,7 +180,7 @@ class WordIds(spans.Ids):
                 raise ValueError("words and closing tokens differ")
             self.add(own, ids, np.diff(stops, prepend=0))
         marks = dict.fromkeys(tail for _, _, tail in plain if tail)
-        self.encode_each([s for s in [*marks, *fresh] if s not in self.at and not PLAIN.match(s)])
+        self.encode_each([s for s in dict.fromkeys([*marks, *others]) if s not in self.at])
         made = [(w, self.at[core], self.at[tail] if tail else -1) for w, core, tail in plain if w not in self.at]
         if made:
             core, tail = np.array([m[1] for m in made]), np.array([m[2] for m in made])
@@ -200,7 +207,7 @@ def _segments(path: str, closing_id: int, segment_ids: int):
             columns = [[part], [seq], [start], [size], [names], [[len(r) for r in runs]], [encode(np.concatenate(runs))]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             # The vocabulary drops white space and no piece crosses it, so a text falls apart into words.
             words = pc.ascii_split_whitespace(batch.column("text"))
             flat, offsets = words.flatten().dictionary_encode(), words.offsets.to_numpy().astype(np.int64)

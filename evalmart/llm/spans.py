@@ -115,9 +115,8 @@ class Ids:
         if len(self.at) > MEMO_SPANS:
             self.clear()
         at = self.at
-        fresh = [s for s in dict.fromkeys(distinct) if s not in at]
-        self.encode(fresh)
-        where = np.fromiter((at[s] for s in distinct), np.int64, len(distinct))
+        self.encode(list(dict.fromkeys(s for s in distinct if s not in at)))
+        where = np.fromiter(map(at.__getitem__, distinct), np.int64, len(distinct))
         return self.starts[where], self.sizes[where]
 
     def encode(self, fresh: list[str]) -> None:
