@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -46,8 +47,17 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Workers live on from stage to stage: what a task no longer needs goes back to the system, or it adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that ``column`` holds about ``limit`` bytes in each; a longer text is alone in its slice."""
+    give_back()
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -58,7 +68,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, min(int(np.searchsorted(ends, base + limit, "right")), start + SLICE_ROWS))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # workers live on: what one task needed must not add up over stages
+    give_back()
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
