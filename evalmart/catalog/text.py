@@ -654,11 +654,13 @@ def fn9_missing_constants(spark, d):
 
 
 @query("fn8_token_counts", sql="""
-SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS count, c_acctbal >= 0 AS ok, CASE WHEN c_acctbal >= 0 THEN 'yes' ELSE 'no' END AS answer FROM customer""")
+SELECT c_custkey, CASE WHEN c_acctbal > -1 THEN CAST(trunc(c_acctbal) AS BIGINT) END AS count, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN c_custkey * 1000 END AS written, c_acctbal >= 0 AS ok, CASE WHEN c_acctbal >= 0 THEN 'yes' ELSE 'no' END AS answer FROM customer""")
 def fn8_token_counts(spark, d):
-    bal = F.col("c_acctbal")
+    """Counts that come as numbers, and as text: empty, with separators, or with a fraction, which is no count."""
+    bal, key = F.col("c_acctbal"), F.col("c_custkey")
+    written = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat(key.cast("string"), F.lit("_000"))).otherwise(F.concat(key.cast("string"), F.lit(".7")))
     return A.table(spark, d, "customer").select(
-        "c_custkey", N.token_count(bal.cast("string")).alias("count"), N.finite_nonneg(bal).alias("ok"), N.yes_no(bal >= 0).alias("answer"))
+        "c_custkey", N.token_count(bal).alias("count"), N.token_count(written).alias("written"), N.finite_nonneg(bal).alias("ok"), N.yes_no(bal >= 0).alias("answer"))
 
 
 @query("wn12_line_windows", sql=f"""

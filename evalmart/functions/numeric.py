@@ -23,10 +23,13 @@ def finite_nonneg(value: Column) -> Column:
 
 
 def token_count(value: Column) -> Column:
-    """Token count from text or number: missing is 0, negative or unreadable is null."""
-    number = F.coalesce(value.cast("string"), F.lit("0"))
-    count = number.try_cast("double")
-    return F.when(finite_nonneg(count), F.floor(count).cast("bigint"))
+    """Token count from text or number: missing or empty is 0; negative or unreadable is null, and so is text with a fraction.
+    A number's fraction is cut off."""
+    text, number = value.cast("string"), value.try_cast("double")
+    written = F.when(F.rlike(text, F.lit(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$")), F.regexp_replace(text, r"[\s_+]", "").try_cast("bigint"))
+    counted = F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number.try_cast("bigint"))
+    count = F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("bigint")).when(F.typeof(value) == "string", written).otherwise(counted)
+    return F.when(count >= 0, count)
 
 
 def yes_no(value: Column) -> Column:

@@ -88,4 +88,8 @@ def test_bootstrap_forms_agree(spark):
 def test_guards(spark):
     df = spark.createDataFrame([("3",), ("-1",), ("x",), ("nan",), ("inf",), (None,), ("2.9",)], "v string")
     got = [(r.v, r.ok, r.n) for r in df.select("v", N.finite_nonneg(F.col("v")).alias("ok"), N.token_count(F.col("v")).alias("n")).collect()]
-    assert got == [("3", True, 3), ("-1", False, None), ("x", False, None), ("nan", False, None), ("inf", False, None), (None, False, 0), ("2.9", True, 2)]
+    assert got == [("3", True, 3), ("-1", False, None), ("x", False, None), ("nan", False, None), ("inf", False, None), (None, False, 0), ("2.9", True, None)]
+    texts = spark.createDataFrame([("",), (" 7 ",), ("1_000",), ("+4",), ("1e3",), ("_1",)], "v string")
+    assert [r.n for r in texts.select(N.token_count(F.col("v")).alias("n")).collect()] == [0, 7, 1000, 4, None, None]
+    numbers = spark.createDataFrame([(2.9,), (-0.5,), (-1.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    assert [r.n for r in numbers.select(N.token_count(F.col("v")).alias("n")).collect()] == [2, 0, None, None, None, 0]
