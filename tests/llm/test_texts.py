@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -322,9 +323,10 @@ def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
         a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in range(2))
-        places = html_extract.shared_lines(a, b)
-        rest = iter(b)
-        assert len(places) == lcs(a, b) and places == sorted(set(places)) and all(any(a[i] == y for y in rest) for i in places)
+        for limit in (0, 20, 1 << 26):  # halved down to single lines, now and then, never
+            places = html_extract.shared_lines(a, b, limit)
+            rest = iter(b)
+            assert len(places) == lcs(a, b) and places == sorted(set(places)) and all(any(a[i] == y for y in rest) for i in places)
 
 
 def test_pages_lose_what_neighbours_share(spark):
@@ -356,7 +358,69 @@ def test_copies_are_differenced_against_the_next_other_page(spark):
     ("<header>H</header><article><h1>T</h1><p>a<br>b</p><aside>s</aside><div class='comments'>c</div></article><footer>f</footer>", "T\na b"),
     ("<script>var t='</p>';</script><style>p{}</style><!-- x --><p>one &eacute;&nbsp;two</p><form><p>in</p></form>", "one é two"),
     ("<nav><ul><li>never closed<article><p>text</p>", "text"),
+    ("<div class='page has-sidebar'><p>text</p></div>", "text"), ("<p class=no-comments>text", "text"), ("<p class='social-science'>text", "text"), ("<p id=widget-development>text", "text"),
+    ("<article><header class='entry-header'><h1>T</h1></header><p class='related-work'>text</p><figure><img><figcaption>c</figcaption></figure></article>", "T\ntext\nc"),
+    ("<div class='site-header'>h</div><div id=mainNav>n</div><div class='ad-slot top'>a</div><p>text</p><ul class='comment-list'><li>c</ul>", "text"),
+    ("<p>one <a href=\"x>two</a> three</p>", "one two three"), ("a <b", "a <b"),
     ("<p>unclosed <b>bold", "unclosed bold"), ("plain", "plain"), ("<p hidden>no</p><p>yes</p>", "yes"), ("a < b and c > d", "a < b and c > d"),
 ])
 def test_lines_of_markup(page, text):
     assert "\n".join(t for t, _ in html_extract.lines(page)) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a ">" ', "<a '>\"", "<b></i>", "<script ", "<!-- ", "</a ", "<", "<nav><article></article>"])
+def test_broken_markup_takes_linear_time(unit):
+    page = unit * (1_000_000 // len(unit)) + ">"
+    start = time.monotonic()
+    html_extract.lines(page)
+    assert time.monotonic() - start < 10
+
+
+def test_names_break_ties_of_differencing(spark):
+    """Near copies and articles keep what they share, but for parts with a suspicious name."""
+    page = "<main><p>Long and shared words of two near copies.</p><div class='read-more related'>Read on</div><p>Own {}</p></main><p class='mini-promo'>Buy</p>"
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(2)] + [(7, "http://other.example/", page.format(7))]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Long and shared words of two near copies.\nOwn 0" and got[1].endswith("\nOwn 1") and got[7].endswith("Own 7\nBuy")
+
+
+def test_extraction_equals_a_plain_version(spark):
+    """The whole query: one host at a time in memory, textbook alignment, no keys and no joins."""
+    rng = random.Random(8)
+    words = "menu home news about contact imprint".split()
+    pages = []
+    for i in range(60):
+        body = "".join(f"<p{rng.choice(['', ' class=x-promo'])}>{rng.choice(words)} {rng.randrange(3)}</p>" for _ in range(rng.randrange(8)))
+        inner = f"<article>{body}</article>" if rng.random() < 0.3 else body
+        pages.append((i, rng.choice([None, f"http://h{rng.randrange(3)}.example/{rng.choice('ab')}/{i}"]), f"<p>Top</p>{inner}<p>End {i % 4}</p>"))
+    pages.append(pages[3])
+    hosts: dict[str, dict] = {}
+    for place, (i, url, html) in enumerate(pages):
+        host, _, path = (url or "")[7:].partition("/")
+        found = html_extract.lines(html)
+        hosts.setdefault(host, {}).setdefault(tuple(t for t, _ in found), []).append((("/" + path) if url else "", url or "", i, place))
+    # pages of one address have no order of their own, so only hosts whose first addresses differ have one right answer
+    frame_ = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, gone string").repartition(4)
+    rows = html_extract.extract_pages(frame_).select("page_id", "text").collect()
+    got = {r.page_id: r.text for r in rows}
+    assert len(rows) == len(pages)
+    checked = 0
+    for signs in hosts.values():
+        order = sorted((min(rows), sign) for sign, rows in signs.items())
+        if len({first[:2] for first, _ in order}) < len(order):
+            continue
+        for k, (first, sign) in enumerate(order):
+            def alike(m):
+                a, b = first[0].split("/"), order[m][0][0].split("/")
+                return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            near = [m for m in (k - 1, k + 1) if 0 <= m < len(order)]
+            theirs = order[max(near, key=lambda m: (alike(m), -m))][1] if near else ()
+            shared = html_extract.shared_lines(list(sign), list(theirs))
+            assert len(shared) == lcs(sign, theirs)
+            most = sum(len(sign[i]) for i in shared) > 0.6 * sum(map(len, sign))
+            for *_, place in signs[sign]:
+                found = html_extract.lines(pages[place][2])
+                gone = {i for i in shared if found[i][1] == 2 or (found[i][1] == 0 and not most)}
+                assert got[pages[place][0]] == "\n".join(t for i, (t, _) in enumerate(found) if i not in gone)
+                checked += 1
+    assert checked > 20
