@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ LEAF = 16
 PIVOTS = 3
 PROBES = 4
 BLOCK = 2048
-SHIP = 32  # sets on either side of a block of measured pairs
+SHIP = 32  # documents of a block of measured pairs, besides those that all of them meet
 BITMAP_BITS = 24
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
@@ -141,17 +142,21 @@ def _sets(size: int, bitmap):
 
 
 def _bounded(percent: int):
-    """Keeps pairs whose bucketed counts allow enough overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int32) for c in ("va", "vb"))
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            most = (na + nb - np.abs(va - vb).sum(axis=1)) // 2
-            ok = batch.column("exact").to_numpy(zero_copy_only=False) | (100 * most >= percent * (na + nb - most))
-            yield batch.select(["a", "b", "region"]).filter(pa.array(ok))
+    """Keeps a block's pairs whose bucketed counts allow enough overlap, or which are exact."""
+
+    def run(block: pa.Table) -> pa.Table:
+        is_pair = pc.is_valid(block.column("a"))
+        pairs, known = block.filter(is_pair), block.filter(pc.invert(is_pair))
+        sid, n = known.column("sid").to_numpy(), known.column("n").to_numpy()
+        vectors = np.frombuffer(b"".join(known.column("vector").to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
+        order = np.argsort(sid)
+        a, b = (order[np.searchsorted(sid, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        ok = pairs.column("exact").to_numpy(zero_copy_only=False).astype(bool)
+        for at in range(0, len(a), BLOCK):
+            x, y = a[at : at + BLOCK], b[at : at + BLOCK]
+            most = (n[x] + n[y] - np.abs(vectors[x] - vectors[y]).sum(axis=1, dtype=np.int64)) // 2
+            ok[at : at + BLOCK] |= 100 * most >= percent * (n[x] + n[y] - most)
+        return pairs.select(["a", "b", "region", "own"]).filter(pa.array(ok))
 
     return run
 
@@ -223,30 +228,36 @@ class _Join:
         sizes = merged.groupBy("region").agg(F.count(F.lit(1)).alias("m"))
         return kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "n", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
 
+    def placed(self, pairs: DataFrame) -> DataFrame:
+        """Adds ``block`` to distinct pairs (a < b, region, own).
+
+        About ``SHIP`` documents of a region stand in a block with all that they meet: the few pivots and probes, the members
+        of a small region, or one document. Whatever pairs need is thus sent once per block, not once per pair.
+        """
+        spans = kept(pairs.select("region", "own").distinct().groupBy("region").agg(F.ceil(F.count(F.lit(1)) / SHIP).alias("_n")))
+        return kept(pairs.join(spans, "region").withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("own", F.lit(11)), "_n"))).drop("_n"))
+
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """Overlaps of distinct pairs (a < b, exact, region) that pass the bound of bucketed counts or are exact."""
-        pairs = kept(pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.min("region").alias("region")))
-        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        about = kept(self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"]))
-        a, b = (about.select(*(F.col(c).alias(x) for c, x in zip(("sid", "n", "vector"), names, strict=True))) for names in (("a", "na", "va"), ("b", "nb", "vb")))
-        bounded = pairs.join(a, "a").join(b, "b")
-        return self.overlaps(bounded.mapInArrow(_bounded(self.percent), "a long, b long, region long"))
+        """Overlaps of distinct pairs (a < b, exact, region, own) that pass the bound of bucketed counts or are exact."""
+        once = pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.min(F.struct("region", "own")).alias("_r"))
+        placed = self.placed(kept(once.select("a", "b", "exact", "_r.region", "_r.own")))
+        wanted = kept(placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct())
+        ends = wanted.select("sid").distinct()
+        about = self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"])
+        none = F.lit(None).cast("long")
+        sent = about.join(wanted, "sid").select("block", *(none.alias(c) for c in ("a", "b", "region", "own")), F.lit(None).cast("boolean").alias("exact"), "sid", "n", "vector")
+        full = sent.unionByName(placed.withColumns({"sid": none, "n": none, "vector": F.lit(None).cast("binary")}))
+        return self.overlaps(full.groupBy("block").applyInArrow(_bounded(self.percent), "a long, b long, region long, own long"))
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """a, b, common, either of distinct pairs (a < b, region).
-
-        Pairs of a region meet in blocks of about ``SHIP`` sets by as many, so a set is sent once per block, not once per pair.
-        """
+        """a, b, common, either of distinct pairs (a < b, region, own), counted in blocks."""
         left = kept(pairs)
         needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         sets = self.rows.mapInArrow(_sets(self.size, self.spark.sparkContext.broadcast(self.bitmap(needed))), "rep long, sid long, shingles binary")
-        ends = F.explode(F.array("a", "b")).alias("sid")
-        spans = kept(left.select("region", ends).distinct().groupBy("region").agg(F.ceil(F.count(F.lit(1)) / SHIP).alias("_n")))
-        i, j = (F.pmod(F.xxhash64(c, F.lit(11)), "_n") for c in ("a", "b"))
-        placed = left.join(spans, "region").select(F.xxhash64("region", F.least(i, j), F.greatest(i, j)).alias("block"), "a", "b")
+        placed = self.placed(left).select("block", "a", "b")
         none = F.lit(None).cast("long")
         # One key for all: copies of a set stay apart, repeated rows are dropped where they are, a set is shuffled once before its blocks.
-        wanted = placed.select("block", ends).distinct().join(self.reps.select("sid", "rep"), "sid")
+        wanted = placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.reps.select("sid", "rep"), "sid")
         sent = sets.dropDuplicates(["rep", "sid"]).join(wanted, ["rep", "sid"]).select("block", none.alias("a"), none.alias("b"), "sid", "shingles")
         full = sent.unionByName(placed.withColumn("sid", none).withColumn("shingles", F.lit(None).cast("binary")))
         return kept(full.groupBy("block").applyInArrow(_overlaps, "a long, b long, common long, either long"))
@@ -272,7 +283,7 @@ class _Join:
         fits = F.col("exact") | (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
         stars = drawn.select("region", "sid", "n", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))").filter(fits)
         stars = kept(stars.select("region", "sid", "p", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
-        near = self.measured(stars.select("a", "b", "exact", "region"))
+        near = self.measured(stars.select("a", "b", "exact", "region", F.col("sid").alias("own")))
         links = self.linked(near)
         large = drawn.filter("large")
         if not large.limit(1).count():
@@ -325,7 +336,7 @@ class _Join:
         outside = rows.filter("label <> main").select(*key, F.pmod(own, "bo").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bm") - 1)).alias("i"), F.lit(True).alias("outer"), *cols)
         inside = rows.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("o"), F.pmod(own, "bm").alias("i"), F.lit(False).alias("outer"), *cols)
         found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent), "a long, b long")
-        return found.distinct().select("a", "b", F.col("a").alias("region"))
+        return found.distinct().select("a", "b", F.col("a").alias("region"), F.col("b").alias("own"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
