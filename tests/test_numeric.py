@@ -1,8 +1,10 @@
 """Published values and exact arithmetic."""
 
+import hashlib
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -85,6 +87,36 @@ def test_bootstrap_forms_agree(spark):
         assert one[k].low_pp == pytest.approx(two[k].low_pp, abs=1.0) and one[k].high_pp == pytest.approx(two[k].high_pp, abs=1.0)
 
 
+def test_draws_are_the_digests(spark):
+    df = spark.createDataFrame([("a", 7, 1, 3, 5), (None, 1234, 300, 200, None), ("c", 1_100_000, 400_000, 300_000, 20260718), ("none", 0, 0, 0, 1)],
+                               "k string, n bigint, treatment_only bigint, comparator_only bigint, seed bigint")
+    iterations = {"a": 120, None: 12, "c": 2}
+
+    def mean(n, up, down, seed, it):
+        index = [int(hashlib.md5("|".join([*([] if seed is None else [str(seed)]), str(it), str(d)]).encode()).hexdigest()[:8], 16) % n for d in range(1, n + 1)]
+        return 100 * sum((i < up) - (up <= i < up + down) for i in index) / n
+
+    for row in df.filter("n > 0").collect():
+        got = P.bootstrap_by_draws(df.filter(F.col("k").eqNullSafe(F.lit(row.k))), ["k"], F.col("seed"), iterations[row.k]).collect()
+        means = [mean(*row[1:], it) for it in range(1, iterations[row.k] + 1)]
+        assert [(r.k, r.low_pp, r.high_pp) for r in got] == [(row.k, *(pytest.approx(np.percentile(means, p), abs=2e-6) for p in (2.5, 97.5)))]
+    assert P.bootstrap_by_draws(df.filter("n = 0"), ["k"], F.col("seed"), 5).collect() == []
+
+
+def test_draws_are_dealt_out(spark):
+    # blocks have few bytes, so that sizes alone would put them into one task
+    df = spark.range(1).select(F.lit(60_000).cast("bigint").alias("n"), F.lit(9).cast("bigint").alias("treatment_only"), F.lit(7).cast("bigint").alias("comparator_only"))
+    spark.sparkContext.setJobGroup("dealt", "dealt")
+    try:
+        P.bootstrap_by_draws(df, [], F.lit(1), 200).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("dealt") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism
+
+
 def test_guards(spark):
     df = spark.createDataFrame([("3",), ("-1",), ("x",), ("nan",), ("inf",), (None,), ("2.9",)], "v string")
     got = [(r.v, r.ok, r.n) for r in df.select("v", N.finite_nonneg(F.col("v")).alias("ok"), N.token_count(F.col("v")).alias("n")).collect()]
