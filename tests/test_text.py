@@ -231,3 +231,9 @@ def test_corpus_leaks_against_brute_force(spark, rows):
             if len(re.findall("[A-Za-z0-9]", low)) >= 2 and re.search(rf"(?<![A-Za-z0-9_]){re.escape(low)}(?![A-Za-z0-9_])", text.lower()):
                 want.append((tid, pid))
     assert rows(LK.find_corpus_leaks(t, p, "tid", "pid")) == sorted(want, key=repr)
+
+
+def test_answers_in_any_container(spark, rows):
+    code = "gold = ('in tuple', None, [('deep', True)])\nexpected = {'in set'}\nANSWER = {'k': ('shown here', 12)}\nother = ('no answer',)\n"
+    df = spark.createDataFrame([(1, code, "it is Shown Here"), (2, "def broken(:", ""), (3, None, "")], "id int, code string, pub string")
+    assert rows(LK.python_gold_literals(df, "id", "code", "pub")) == [(1, "True"), (1, "deep"), (1, "in set"), (1, "in tuple")]
