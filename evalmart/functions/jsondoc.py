@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evalmart.checks import code_array, first_code
 from evalmart.functions.text import strip
 from evalmart.schemas import PAYLOAD
-from evalmart.session import stored
+from evalmart.session import dealt, stored
 
 # Limits, names and defaults of a payload.
 STRATEGY_MAX, SIGNALS_MAX, PRECONDITIONS_MAX = 8, 10, 4
@@ -126,7 +126,7 @@ def typed_leaves(df: DataFrame, key: str, json_text: str) -> DataFrame:
     Recursion over tables: one pass opens some levels by a chain of generators; leaves are done then, and only the
     containers that are left go into the next pass. There are as many passes as the deepest document needs.
     """
-    left = df.select(key, F.lit("$").alias("path"), F.col(json_text).alias("value"))
+    left = dealt(df.select(key, F.lit("$").alias("path"), F.col(json_text).alias("value")))
     leaves = None
     while True:
         opened = stored(_opened(left, key))
@@ -138,18 +138,15 @@ def typed_leaves(df: DataFrame, key: str, json_text: str) -> DataFrame:
 
 
 def _opened(left: DataFrame, key: str) -> DataFrame:
-    def is_container(v: Column, kind: str) -> Column:
-        return F.schema_of_variant(v).startswith(kind)
-
     level = left.select(key, F.struct("path", F.try_parse_json("value").alias("v")).alias("_n"))
     path, v = F.col("_n.path"), F.col("_n.v")
     for _ in range(LEVELS):
-        members = F.transform(F.map_entries(v.cast("map<string,variant>")), lambda e: F.struct(
+        members = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(
             F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
-        items = F.transform(v.cast("array<variant>"), lambda x, i: F.struct(
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(
             F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
-        inner = F.when(is_container(v, "OBJECT"), members).when(is_container(v, "ARRAY"), items).otherwise(F.array("_n"))
-        level = level.select(key, F.explode(inner).alias("_n"))
+        # the outer form, because the other one makes a filter that opens each container once more
+        level = level.select(key, F.explode_outer(F.coalesce(members, items, F.array("_n"))).alias("_n"))
     kind = F.schema_of_variant(v)
     deeper = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     return level.filter(v.isNotNull() & (kind != "VOID")).select(

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evalmart.functions.numeric import display_percent, mcnemar_exact, ratio, stable_seed
+from evalmart.session import dealt
 
 # Fixed value: bootstrap replicates of a published comparison.
 ITERATIONS = 5000
@@ -168,7 +169,7 @@ def bootstrap_by_draws(counts: DataFrame, keys: Sequence[str], seed: Column, ite
     base = base.withColumn("_its", F.expr(f"cast(greatest(1L, least({iterations}L, {DRAW_BLOCK}L div n)) as int)"))
     blocks = base.withColumn("_from", F.explode(F.expr(f"sequence(1, {iterations}, _its)"))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {DRAW_BLOCK}L"))))
-    blocks = blocks.repartition(4 * counts.sparkSession.sparkContext.defaultParallelism)
+    blocks = dealt(blocks)
     sums = _draw_sums(F.struct(
         "_seed", "n", "treatment_only", "comparator_only", F.col("_from").alias("_first"), F.least(F.col("_from") + F.col("_its") - 1, F.lit(iterations)).alias("_last"),
         (F.col("_block") * DRAW_BLOCK + 1).alias("_low"), F.least(F.col("n"), (F.col("_block") + 1) * DRAW_BLOCK).alias("_high")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from evalmart.functions import gates as GA, grading as GR, jsondoc as JD, literals as LI, redact as R, text as TX
 from evalmart.operators import leaks as LK
+from evalmart.session import dealt
 
 
 def one(spark, column, **values):
@@ -237,3 +238,11 @@ def test_answers_in_any_container(spark, rows):
     code = "gold = ('in tuple', None, [('deep', True)])\nexpected = {'in set'}\nANSWER = {'k': ('shown here', 12)}\nother = ('no answer',)\n"
     df = spark.createDataFrame([(1, code, "it is Shown Here"), (2, "def broken(:", ""), (3, None, "")], "id int, code string, pub string")
     assert rows(LK.python_gold_literals(df, "id", "code", "pub")) == [(1, "True"), (1, "deep"), (1, "in set"), (1, "in tuple")]
+
+
+def test_leaves_of_few_rows_are_dealt_out(spark, rows):
+    # one split of a file is one task, however many documents it holds; empty and null containers leave no rows
+    docs = spark.range(64, numPartitions=1).select("id", F.lit('{"a": [], "b": {}, "c": [[], {"d": [null, [[7]]]}], "e": null}').alias("j"))
+    leaves = JD.typed_leaves(docs, "id", "j")
+    assert {tuple(r)[1:] for r in leaves.collect()} == {("$.c[1].d[1][0][0]", "7", "BIGINT")} and leaves.count() == 64
+    assert len({r.p for r in dealt(docs).select(F.spark_partition_id().alias("p")).collect()}) >= spark.sparkContext.defaultParallelism
