@@ -15,6 +15,7 @@ from evalmart.session import pin
 
 DEFAULT_WIDTH = 1_000_000
 RADIX = 1_000_000  # most chunks of a group in one window
+FEW_GROUPS = 100_000  # most groups whose starts all go to every task
 
 
 def running_total(
@@ -83,21 +84,29 @@ def ordered_rank(
     pinned = pin(ranged.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = pinned.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    key = F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
+    cells = pin(pinned.groupBy(part.alias("_part"), key.alias("_g")).agg(F.count(F.lit(1)).alias("_size"), F.min(local).alias("_first")))
+    sizes = cells.groupBy("_part").agg(F.sum("_size").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    placed = (
-        pinned.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # bounded by the partition count
-        .withColumn(out, F.col("_offset") + local + 1)
-    )
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")))  # bounded by the partition count
+    placed = pinned.withColumn("_part", part).join(offsets, "_part").withColumn(out, F.col("_offset") + local + 1)
     if group:
-        key = F.struct(*[F.col(g) for g in group])
-        starts = placed.groupBy(key.alias("_g")).agg(F.min(out).alias("_start"))
-        placed = placed.withColumn("_g", key).join(starts, "_g").withColumn(out, F.col(out) - F.col("_start") + 1)
+        starts = cells.join(offsets, "_part").groupBy("_g").agg(F.min(F.col("_offset") + F.col("_first") + 1).alias("_start"), F.count(F.lit(1)).alias("_parts"))
+        placed = _with_starts(placed.withColumn("_g", key), starts).withColumn(out, F.col(out) - F.col("_start") + 1)
         placed = placed.drop("_g", "_start")
     return placed.drop("_at", "_part", "_offset")
 
 
+def _with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows with the ``_start`` of their group. A group of more than one range partition is never gathered in one task: such groups
+    are as few as partitions, so their starts go to the rows. So do all starts if they are few."""
+    if starts.count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(starts.drop("_parts")), "_g")
+    wide = F.broadcast(starts.filter("_parts > 1").drop("_parts"))
+    narrow = rows.join(wide, "_g", "left_anti").join(starts.filter("_parts = 1").drop("_parts"), "_g")
+    return rows.join(wide, "_g").unionByName(narrow)
+
+
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per group, for the few rows of a preview; the rank limit is applied in each task before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -52,6 +52,22 @@ def test_ordered_rank_spreads_a_hot_group(spark, hot):
     assert alone == {k: i + 1 for i, k in enumerate(sorted(want))}
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_ordered_rank_gathers_no_group(spark, rows, hot, monkeypatch, few):
+    # a group over several range partitions must not meet in one task, neither among few groups nor among many; null is a group
+    data, df = hot
+    monkeypatch.setattr(X, "FEW_GROUPS", few, raising=False)
+    named = df.withColumn("g", F.when(F.col("seq") > 870, F.concat(F.lit("lone"), F.col("seq").cast("string"))).otherwise(F.col("g")))
+    ranked = X.ordered_rank(named, ["g"], ["seq"], partitions=5)
+    assert ranked.columns == ["seq", "g", "v", "rank"]
+    by = defaultdict(list)
+    for r in sorted(named.collect(), key=lambda r: r.seq):
+        by[r.g].append((r.seq, r.g, r.v, len(by[r.g]) + 1))
+    assert rows(ranked) == sorted((t for group in by.values() for t in group), key=repr)
+    if few:
+        assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_is_idempotent_and_ignores_partitioning(spark, rows, hot):
     _, df = hot
     log = df.withColumn("trial_key", F.coalesce("g", F.lit("")))
