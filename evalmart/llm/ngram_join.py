@@ -16,7 +16,9 @@
 5. Components over all links name each document's group.
 
 Candidate pairs pass two exact bounds before any set is shipped: sizes, as soon as the documents of a region meet, and the L1
-distance of bucketed shingle counts, which never exceeds the symmetric difference. No pair is ever left out, so the result equals brute force.
+distance of bucketed shingle counts, which never exceeds the symmetric difference. Texts are shipped compressed and cut into
+shingles again where they meet. No pair is left out but those whose documents other links of their block already connect, so
+the components equal brute force and links grow with documents, not with pairs.
 
 Defined results: null and empty text has no shingles and links with nothing; texts shorter than a shingle are one shingle;
 a null doc_id joins as the largest id and names its component only if alone; repeated rows are rows of one node, and
@@ -47,7 +49,8 @@ LEAF = 16
 PIVOTS = 3
 PROBES = 4
 BLOCK = 2048
-SHIP = 32  # documents of a block of measured pairs, besides those that all of them meet
+SHIP = 64  # documents of a block of measured pairs, besides those that all of them meet
+TEXTS = 8  # unpacked at once
 BITMAP_BITS = 24
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
@@ -124,19 +127,16 @@ def _prefixes(size: int, percent: int, order):
     return run
 
 
-def _sets(size: int, bitmap):
+def _packed_texts(bitmap):
+    """Texts of the rows whose key is in the bitmap, compressed: a few bytes a word, where its shingle's hash has eight that do not compress."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in slices(batches):
-            at, sids, blobs = [], [], []
-            for i, s in enumerate(shingle_sets(batch.column("text"), size)):
-                sid = set_id(s)[0]
-                spot = (sid + (1 << 63)) >> (64 - BITMAP_BITS)
-                if bits[spot >> 3] >> (spot & 7) & 1:
-                    at.append(i)
-                    sids.append(sid)
-                    blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], ["rep", "sid", "shingles"])
+            spot = ((batch.column("key").to_numpy().view(np.uint64) ^ _U(1 << 63)) >> _U(64 - BITMAP_BITS)).astype(np.int64)
+            own = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7) & 1).astype(bool)))
+            blobs = [pack(text.as_buffer().to_pybytes()) for text in own.column("text")]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("key"), pa.array(blobs, pa.binary())], ["rep", "key", "packed"])
 
     return run
 
@@ -156,7 +156,7 @@ def _bounded(percent: int):
             x, y = a[at : at + BLOCK], b[at : at + BLOCK]
             most = (n[x] + n[y] - np.abs(vectors[x] - vectors[y]).sum(axis=1, dtype=np.int64)) // 2
             ok[at : at + BLOCK] |= 100 * most >= percent * (n[x] + n[y] - most)
-        return pairs.select(["a", "b", "region", "own"]).filter(pa.array(ok))
+        return pairs.select(["a", "b", "exact", "m", "region", "own"]).filter(pa.array(ok))
 
     return run
 
@@ -181,17 +181,44 @@ def _block_pairs(percent: int):
     return run
 
 
-def _overlaps(block: pa.Table) -> pa.Table:
-    """Overlaps of a block's pairs, from the sets that came with it."""
-    sets = {sid: np.frombuffer(s, np.uint64) for sid, s in zip(block.column("sid").to_pylist(), block.column("shingles").to_pylist(), strict=True) if s is not None}
-    out = []
-    for a, b in zip(block.column("a").to_pylist(), block.column("b").to_pylist(), strict=True):
-        if a is not None:
+def _overlaps(size: int, percent: int):
+    """Overlaps of a block's pairs, from the texts that came with it.
+
+    ``joins``: a link whose ends no earlier link of the block connects. Only pairs that are exact or join are returned, so a
+    block of k documents has fewer than k links, however many of its pairs are alike; pairs that could not join are not counted.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        is_pair = pc.is_valid(block.column("a"))
+        pairs, known = block.filter(is_pair), block.filter(pc.invert(is_pair))
+        sids, sets = known.column("sid").to_pylist(), {}
+        for low in range(0, len(sids), TEXTS):
+            texts = [unpack(blob)[0] for blob in known.column("packed")[low : low + TEXTS].to_pylist()]
+            sets.update(zip(sids[low : low + TEXTS], shingle_sets(pa.array(texts, pa.binary()).view(pa.string()), size), strict=True))
+        parent = {sid: sid for sid in sids}
+
+        def root(sid: int) -> int:
+            while parent[sid] != sid:
+                parent[sid] = sid = parent[parent[sid]]
+            return sid
+
+        out = []
+        for a, b, exact in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "exact")), strict=True):
+            x, y = root(a), root(b)
+            if x == y and not exact:
+                continue
             both = np.concatenate([sets[a], sets[b]])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            out.append((a, b, common, len(both) - common))
-    return pa.table({name: pa.array([row[i] for row in out], pa.int64()) for i, name in enumerate(("a", "b", "common", "either"))})
+            joins = x != y and 100 * common >= percent * (len(both) - common)
+            if joins:
+                parent[x] = y
+            if joins or exact:
+                out.append((a, b, common, len(both) - common, joins))
+        types = {"a": pa.int64(), "b": pa.int64(), "common": pa.int64(), "either": pa.int64(), "joins": pa.bool_()}
+        return pa.table({name: pa.array([row[i] for row in out], kind) for i, (name, kind) in enumerate(types.items())})
+
+    return run
 
 
 class _Join:
@@ -200,6 +227,7 @@ class _Join:
         self.radius = 1 - percent / 100
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"))
         keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"), row_key().alias("key"))
+        self.keyed = keyed
         first = kept(keyed.mapInArrow(_nodes(size), "doc_id long, key long, sid long, guard long, n long, vector binary, counts binary"))
         self.nodes = first.filter("counts IS NULL").select("doc_id", "key", "sid", "guard", "n", "vector")
         self.counts = first.filter("counts IS NOT NULL").select("counts")
@@ -214,8 +242,9 @@ class _Join:
         sums = self.counts.mapInArrow(_spread, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most 2^ORDER_BITS rows
         order[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
         shared = self.spark.sparkContext.broadcast(order)
-        rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long, n long")
-        live = rows.groupBy("region").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("region")
+        # Dealt by region once: the bounds of a region and its rows come from one shuffle, which they share as both read all columns.
+        rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long, n long").repartition("region")
+        live = rows.groupBy("region").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("_n")).filter("lo <> hi AND _n > 0").select("region")
         met = kept(rows.join(live, "region").groupBy("region", "sid").agg(F.max("n").alias("n")))
         mark = F.xxhash64("sid")
         signs = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
@@ -238,40 +267,46 @@ class _Join:
         return kept(pairs.join(spans, "region").withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("own", F.lit(11)), "_n"))).drop("_n"))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """Overlaps of distinct pairs (a < b, exact, region, own) that pass the bound of bucketed counts or are exact."""
-        once = pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.min(F.struct("region", "own")).alias("_r"))
-        placed = self.placed(kept(once.select("a", "b", "exact", "_r.region", "_r.own")))
+        """Overlaps of pairs (a < b, exact, m, region, own) that pass the bound of bucketed counts or are exact.
+
+        A pair that meets in several regions counts in the one of most documents ``m``, where most of its neighbours meet too.
+        """
+        once = pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.max(F.struct("m", "region", "own")).alias("_r"))
+        placed = self.placed(kept(once.select("a", "b", "exact", "_r.m", "_r.region", "_r.own")))
         wanted = kept(placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct())
         ends = wanted.select("sid").distinct()
         about = self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"])
         none = F.lit(None).cast("long")
-        sent = about.join(wanted, "sid").select("block", *(none.alias(c) for c in ("a", "b", "region", "own")), F.lit(None).cast("boolean").alias("exact"), "sid", "n", "vector")
+        sent = about.join(wanted, "sid").select("block", *(none.alias(c) for c in ("a", "b", "m", "region", "own")), F.lit(None).cast("boolean").alias("exact"), "sid", "n", "vector")
         full = sent.unionByName(placed.withColumns({"sid": none, "n": none, "vector": F.lit(None).cast("binary")}))
-        return self.overlaps(full.groupBy("block").applyInArrow(_bounded(self.percent), "a long, b long, region long, own long"))
+        return self.overlaps(full.groupBy("block").applyInArrow(_bounded(self.percent), "a long, b long, exact boolean, m long, region long, own long"))
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """a, b, common, either of distinct pairs (a < b, region, own), counted in blocks."""
-        left = kept(pairs)
-        needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
-        sets = self.rows.mapInArrow(_sets(self.size, self.spark.sparkContext.broadcast(self.bitmap(needed))), "rep long, sid long, shingles binary")
-        placed = self.placed(left).select("block", "a", "b")
+        """a, b, common, either, joins of distinct pairs (a < b, exact, region, own), counted in blocks."""
+        left = kept(pairs.select("a", "b", "exact", "region", "own"))
+        ends = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
+        needed = kept(self.reps.join(ends, "sid").select("sid", "rep", "key"))
+        texts = self.keyed.mapInArrow(_packed_texts(self.spark.sparkContext.broadcast(self.bitmap(needed, "key"))), "rep long, key long, packed binary")
+        placed = self.placed(left).select("block", "a", "b", "exact")
         none = F.lit(None).cast("long")
-        # One key for all: copies of a set stay apart, repeated rows are dropped where they are, a set is shuffled once before its blocks.
-        wanted = placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.reps.select("sid", "rep"), "sid")
-        sent = sets.dropDuplicates(["rep", "sid"]).join(wanted, ["rep", "sid"]).select("block", none.alias("a"), none.alias("b"), "sid", "shingles")
-        full = sent.unionByName(placed.withColumn("sid", none).withColumn("shingles", F.lit(None).cast("binary")))
-        return kept(full.groupBy("block").applyInArrow(_overlaps, "a long, b long, common long, either long"))
-
-    def bitmap(self, sids: DataFrame) -> bytes:
-        """2^BITMAP_BITS bits in pieces of 4 KB, whatever the number of sets."""
-        spot = F.shiftrightunsigned(F.col("sid").bitwiseXOR(F.lit(-(1 << 63))), 64 - BITMAP_BITS) + 1
+        # A set is read from its first row; repeated rows are dropped where they are, a text is shuffled once before its blocks.
+        wanted = placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct().join(needed, "sid")
+        sent = texts.dropDuplicates(["rep", "key"]).join(wanted, ["rep", "key"]).select("block", none.alias("a"), none.alias("b"), F.lit(None).cast("boolean").alias("exact"), "sid", "packed")
+        full = sent.unionByName(placed.withColumn("sid", none).withColumn("packed", F.lit(None).cast("binary")))
+        return kept(full.groupBy("block").applyInArrow(_overlaps(self.size, self.percent), "a long, b long, common long, either long, joins boolean"))
+
+    def bitmap(self, rows: DataFrame, column: str) -> bytes:
+        """2^BITMAP_BITS bits in pieces of 4 KB, whatever the number of values."""
+        spot = F.shiftrightunsigned(F.col(column).bitwiseXOR(F.lit(-(1 << 63))), 64 - BITMAP_BITS) + 1
         out = bytearray(1 << (BITMAP_BITS - 3))
-        for r in sids.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():
+        for r in rows.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():
             out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["bits"]
         return bytes(out)
 
-    def linked(self, measured: DataFrame) -> DataFrame:
-        return measured.filter(F.col("common") * 100 >= F.col("either") * self.percent).select("a", "b")
+    @staticmethod
+    def linked(measured: DataFrame) -> DataFrame:
+        """Links with the same components as all links of the measured pairs."""
+        return measured.filter("joins").select("a", "b")
 
     def links(self) -> DataFrame:
         """Links (a, b as sid) with the same components as all links."""
@@ -281,9 +316,9 @@ class _Join:
         drawn = drawn.withColumn("probe", ~F.col("large") | F.col("pivot") | (self.chance(8) < PROBES * F.log2("m")))
         to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"), F.col("n").alias("pn"))
         fits = F.col("exact") | (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
-        stars = drawn.select("region", "sid", "n", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))").filter(fits)
-        stars = kept(stars.select("region", "sid", "p", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
-        near = self.measured(stars.select("a", "b", "exact", "region", F.col("sid").alias("own")))
+        stars = drawn.select("region", "sid", "n", "m", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))").filter(fits)
+        stars = kept(stars.select("region", "sid", "p", "m", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
+        near = self.measured(stars.select("a", "b", "exact", "m", "region", F.col("sid").alias("own")))
         links = self.linked(near)
         large = drawn.filter("large")
         if not large.limit(1).count():
@@ -336,7 +371,7 @@ class _Join:
         outside = rows.filter("label <> main").select(*key, F.pmod(own, "bo").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bm") - 1)).alias("i"), F.lit(True).alias("outer"), *cols)
         inside = rows.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("o"), F.pmod(own, "bm").alias("i"), F.lit(False).alias("outer"), *cols)
         found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent), "a long, b long")
-        return found.distinct().select("a", "b", F.col("a").alias("region"), F.col("b").alias("own"))
+        return found.distinct().select("a", "b", F.lit(False).alias("exact"), F.col("a").alias("region"), F.col("b").alias("own"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -137,6 +137,23 @@ def test_jaccard_keeps_one_of_each_group(spark, docs, rows, no_docs):
     assert ngram_join.jaccard_components(no_docs).count() == 0
 
 
+def test_links_grow_with_the_alike_texts_not_with_their_pairs(spark):
+    texts = near_copies(random.Random(4), 300, 120, 2)
+    join = ngram_join._Join(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), 4, 85)
+    links, sets = ngram_join.kept(join.links()), join.reps.count()
+    assert sets - 1 <= links.count() < 3 * sets
+    assert ngram_join.components(links).select("label").distinct().count() == 1
+
+
+def test_texts_are_sent_in_fewer_bytes_than_their_shingles(spark):
+    text = prose(random.Random(6), "en", 1000)
+    join = ngram_join._Join(frame(spark, [(1, text, "en", "s"), (1, text, "en", "s"), (2, text + " more", "en", "s"), (3, "other", "en", "s")]), 4, 85)
+    wanted = join.spark.sparkContext.broadcast(join.bitmap(join.reps.filter("n > 500"), "key"))
+    sent = join.keyed.mapInArrow(ngram_join._packed_texts(wanted), "rep long, key long, packed binary").collect()
+    assert sorted(r.rep for r in sent) == [1, 1, 2] and max(len(r.packed) for r in sent) < 4 * 997
+    assert join.linked(join.overlaps(join.links().selectExpr("a", "b", "false AS exact", "1L AS region", "a AS own"))).count() == 1
+
+
 def test_null_and_repeated_ids_keep_their_own_texts(spark, no_docs):
     rng = random.Random(21)
     a, b, c, d, e, f = (prose(rng, "en", 40) for _ in range(6))
