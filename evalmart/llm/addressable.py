@@ -17,7 +17,6 @@ store and no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,7 +38,9 @@ SEGMENT_IDS = 1 << 18
 SLICE_BYTES = 8 << 20  # words are looked up once a slice
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+MARKS = ".,;:!?"
+MOST_MARKS = 8  # a word with more behind it is encoded whole
 _SEGMENT = "part int, seq long, start long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, codes binary"
 _DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -154,7 +155,8 @@ class WordIds(spans.Ids):
     """Ids of words of a vocabulary that lowers case and marks the ends of words.
 
     A word of letters is one piece, and so are marks behind it: words that differ in case or such marks share the letters'
-    ids, and letters are encoded in one text, where the closing tokens tell the words apart.
+    ids, and letters are encoded in one text, where the closing tokens tell the words apart. Only letters, marks and other
+    words are remembered, so the store lasts longer than one of whole words.
     """
 
     def __init__(self, path: str):
@@ -164,32 +166,46 @@ class WordIds(spans.Ids):
         self.closes[[k for spelling, k in known.items() if spelling.endswith("</w>")]] = True
         self.clear()
 
-    def encode(self, fresh: list[str]) -> None:
-        plain, others = [], []
-        for w in fresh:
-            m = PLAIN.match(w)
-            if m is None:
-                others.append(w)
-            else:
-                plain.append((w, m[1].lower(), m[2]))
-        letters = [s for s in dict.fromkeys(core for _, core, _ in plain) if s not in self.at]
-        for own in spans.batches(letters):
+    def encode_letters(self, fresh: list[str]) -> None:
+        for own in spans.batches(fresh):
             ids = np.array(spans.tokenizer(self.path).encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) != len(own):
                 raise ValueError("words and closing tokens differ")
             self.add(own, ids, np.diff(stops, prepend=0))
-        marks = dict.fromkeys(tail for _, _, tail in plain if tail)
-        self.encode_each([s for s in dict.fromkeys([*marks, *others]) if s not in self.at])
-        made = [(w, self.at[core], self.at[tail] if tail else -1) for w, core, tail in plain if w not in self.at]
-        if made:
-            core, tail = np.array([m[1] for m in made]), np.array([m[2] for m in made])
-            n_core, n_tail = self.sizes[core], np.where(tail >= 0, self.sizes[tail], 0)
-            ends = np.cumsum(n_core + n_tail)
-            at, row = np.arange(ends[-1]), np.repeat(np.arange(len(made)), n_core + n_tail)
-            place = at - (ends - n_core - n_tail)[row]
-            source = np.where(place < n_core[row], self.starts[core][row] + place, self.starts[tail][row] + place - n_core[row])
-            self.add([m[0] for m in made], self.flat[source], n_core + n_tail)
+
+    def places(self, pieces: pa.Array, encode) -> np.ndarray:
+        """Place of each piece in the store; distinct fresh ones are encoded first."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        encode([s for s in distinct if s not in self.at])
+        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def lookup(self, distinct: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of ids of each word in ``flat``, where they stand behind the store until the next call."""
+        if len(self.at) > spans.MEMO_SPANS:
+            self.clear()
+        distinct = distinct if isinstance(distinct, pa.Array) else pa.array(distinct, pa.string())
+        core = pc.utf8_rtrim(distinct, characters=MARKS)
+        marks = pc.subtract(pc.binary_length(distinct), pc.binary_length(core)).to_numpy()
+        plain = pc.match_substring_regex(core, LETTERS).to_numpy(zero_copy_only=False) & (marks <= MOST_MARKS)
+        head, tail = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1)
+        head[plain] = self.places(pc.utf8_lower(core.filter(pa.array(plain))), self.encode_letters)
+        head[~plain] = self.places(distinct.filter(pa.array(~plain)), self.encode_each)
+        for k in range(1, MOST_MARKS + 1):
+            own = plain & (marks == k)
+            if own.any():
+                tail[own] = self.places(pc.utf8_slice_codeunits(distinct.filter(pa.array(own)), -k), self.encode_each)
+        n_head, n_tail = self.sizes[head], np.where(tail >= 0, self.sizes[tail], 0)
+        sizes = n_head + n_tail
+        starts = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - starts[row]
+        ids = self.flat[np.where(place < n_head[row], self.starts[head][row] + place, self.starts[tail][row] + place - n_head[row])]
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        return self.used + starts, sizes
 
 
 @lru_cache(maxsize=1)
@@ -211,7 +227,7 @@ def _segments(path: str, closing_id: int, segment_ids: int):
             # The vocabulary drops white space and no piece crosses it, so a text falls apart into words.
             words = pc.ascii_split_whitespace(batch.column("text"))
             flat, offsets = words.flatten().dictionary_encode(), words.offsets.to_numpy().astype(np.int64)
-            starts, sizes = store.lookup(flat.dictionary.to_pylist())
+            starts, sizes = store.lookup(flat.dictionary)
             codes = flat.indices.to_numpy()
             counts = sizes[codes]
             ends = np.concatenate([[0], np.cumsum(counts)])

@@ -75,6 +75,16 @@ def test_words_have_the_ids_of_the_tokenizer(words):
             assert store.flat[a : a + n].tolist() == tokenizer.encode(w, add_special_tokens=False).ids
 
 
+def test_store_remembers_pieces_not_words():
+    words = ["The", "the.", "THE?!", "the", "other.", "a" + "." * 30, "İ.", "É!"]
+    path = spans.vocabulary_path(A.VOCABULARY)
+    store, tokenizer = A.WordIds(path), spans.tokenizer(path)
+    for _ in range(2):
+        starts, sizes = store.lookup(words)
+        assert [store.flat[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert sorted(store.at) == sorted(["the", "other", "é", ".", "?!", "!", "a" + "." * 30, "İ."])
+
+
 def brute(rows):
     tokenizer = spans.tokenizer(spans.vocabulary_path(A.VOCABULARY))
     return [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, A.CLOSING_ID], "<u4")) for d, t, *_ in rows]
