@@ -6,13 +6,15 @@
    rare shingles are the outer regions: inside one, distances to pivots tell something, while across the corpus nearly all
    distances are 1.
 3. A small region joins directly. In a larger one a few pivots are drawn, all exact distances to them are taken, and each
-   document falls to its nearest pivot: its Voronoi cell. Further documents, a multiple of log2(size), are probed for links
-   only. Links found so far are contracted, which leaves few documents outside the largest component.
+   document falls to its nearest pivot: its Voronoi cell. A few further documents are probed for links only. Links found so
+   far are contracted, which leaves few documents outside the largest component.
 4. By the triangle inequality a document can link into a cell only if its distance to the cell's pivot is at most the
    cell's radius plus the join radius; documents within that window are replicated there. In a cell only pairs of
    different components are left to compare: every document outside the cell's largest component with all of the cell, in
-   blocks. There is one level of cells only, they are not divided again: in a large region of many different texts cells
-   grow with the region and the comparisons with their square.
+   blocks. A document outside first meets a few of its candidates that pass the bounds, and more in further rounds while
+   their components stay apart, until none is left: alike texts cost a few pairs a document, not pairs of all. There is one
+   level of cells only, they are not divided again: in a large region of many different texts cells grow with the region and
+   the comparisons with their square.
 5. Components over all links name each document's group.
 
 Candidate pairs pass two exact bounds before any set is shipped: sizes, as soon as the documents of a region meet, and the L1
@@ -48,6 +50,8 @@ VECTOR = 256
 LEAF = 16
 PIVOTS = 3
 PROBES = 4
+CANDIDATES = 4  # that a document outside the largest component meets in a block in the first round
+WIDER = 16  # times as many in each further round
 BLOCK = 2048
 SHIP = 64  # documents of a block of measured pairs, besides those that all of them meet
 TEXTS = 8  # unpacked at once
@@ -161,22 +165,27 @@ def _bounded(percent: int):
     return run
 
 
-def _block_pairs(percent: int):
+def _block_pairs(percent: int, limit: int):
+    """``x``: the document outside; ``more``: it has candidates beyond ``limit``, which wait for a further round."""
+
     def run(group: pa.Table) -> pa.Table:
         outer = group.column("outer").to_numpy()
         sid, label, main, n = (group.column(c).to_numpy() for c in ("sid", "label", "main", "n"))
         native = group.column("native").to_numpy()
         vectors = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
-        inner, a, b = np.flatnonzero(~outer), [], []
+        inner, xs, ys, more = np.flatnonzero(~outer), [], [], []
         for x in np.flatnonzero(outer):
             y = inner[(label[inner] != label[x]) & (native[x] | native[inner]) & ((label[inner] == main[x]) | (sid[x] < sid[inner]))]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             most = (n[y] + n[x] - np.abs(vectors[y] - vectors[x]).sum(axis=1, dtype=np.int64)) // 2
             y = y[100 * most >= percent * (n[y] + n[x] - most)]
-            a.append(np.minimum(sid[x], sid[y]))
-            b.append(np.maximum(sid[x], sid[y]))
+            few = y[:limit]
+            xs.append(np.full(len(few), x))
+            ys.append(few)
+            more.append(np.full(len(few), len(few) < len(y)))
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        x, y = np.concatenate([none, *xs]), np.concatenate([none, *ys])
+        return pa.table({"x": sid[x], "y": sid[y], "lx": label[x], "ly": label[y], "more": np.concatenate([none.astype(bool), *more])})
 
     return run
 
@@ -184,7 +193,7 @@ def _block_pairs(percent: int):
 def _overlaps(size: int, percent: int):
     """Overlaps of a block's pairs, from the texts that came with it.
 
-    ``joins``: a link whose ends no earlier link of the block connects. Only pairs that are exact or join are returned, so a
+    ``joins``: a link whose ends' components ``la`` and ``lb`` no earlier link of the block connects. Only pairs that are exact or join are returned, so a
     block of k documents has fewer than k links, however many of its pairs are alike; pairs that could not join are not counted.
     """
 
@@ -195,16 +204,16 @@ def _overlaps(size: int, percent: int):
         for low in range(0, len(sids), TEXTS):
             texts = [unpack(blob)[0] for blob in known.column("packed")[low : low + TEXTS].to_pylist()]
             sets.update(zip(sids[low : low + TEXTS], shingle_sets(pa.array(texts, pa.binary()).view(pa.string()), size), strict=True))
-        parent = {sid: sid for sid in sids}
+        parent = {label: label for c in ("la", "lb") for label in pairs.column(c).to_pylist()}
 
-        def root(sid: int) -> int:
-            while parent[sid] != sid:
-                parent[sid] = sid = parent[parent[sid]]
-            return sid
+        def root(label: int) -> int:
+            while parent[label] != label:
+                parent[label] = label = parent[parent[label]]
+            return label
 
         out = []
-        for a, b, exact in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "exact")), strict=True):
-            x, y = root(a), root(b)
+        for a, b, exact, la, lb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "exact", "la", "lb")), strict=True):
+            x, y = root(la), root(lb)
             if x == y and not exact:
                 continue
             both = np.concatenate([sets[a], sets[b]])
@@ -282,16 +291,20 @@ class _Join:
         return self.overlaps(full.groupBy("block").applyInArrow(_bounded(self.percent), "a long, b long, exact boolean, m long, region long, own long"))
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """a, b, common, either, joins of distinct pairs (a < b, exact, region, own), counted in blocks."""
-        left = kept(pairs.select("a", "b", "exact", "region", "own"))
+        """a, b, common, either, joins of distinct pairs (a < b, exact, region, own), counted in blocks.
+
+        ``la`` and ``lb``, where given, are the components that a and b are known to belong to.
+        """
+        labels = ["la", "lb"] if "la" in pairs.columns else [F.col("a").alias("la"), F.col("b").alias("lb")]
+        left = kept(pairs.select("a", "b", "exact", "region", "own", *labels))
         ends = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         needed = kept(self.reps.join(ends, "sid").select("sid", "rep", "key"))
         texts = self.keyed.mapInArrow(_packed_texts(self.spark.sparkContext.broadcast(self.bitmap(needed, "key"))), "rep long, key long, packed binary")
-        placed = self.placed(left).select("block", "a", "b", "exact")
+        placed = self.placed(left).select("block", "a", "b", "exact", "la", "lb")
         none = F.lit(None).cast("long")
         # A set is read from its first row; repeated rows are dropped where they are, a text is shuffled once before its blocks.
         wanted = placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct().join(needed, "sid")
-        sent = texts.dropDuplicates(["rep", "key"]).join(wanted, ["rep", "key"]).select("block", none.alias("a"), none.alias("b"), F.lit(None).cast("boolean").alias("exact"), "sid", "packed")
+        sent = texts.dropDuplicates(["rep", "key"]).join(wanted, ["rep", "key"]).select("block", *(none.alias(c) for c in ("a", "b", "la", "lb")), F.lit(None).cast("boolean").alias("exact"), "sid", "packed")
         full = sent.unionByName(placed.withColumn("sid", none).withColumn("packed", F.lit(None).cast("binary")))
         return kept(full.groupBy("block").applyInArrow(_overlaps(self.size, self.percent), "a long, b long, common long, either long, joins boolean"))
 
@@ -313,7 +326,7 @@ class _Join:
         met = self.members()
         first = met.filter("large").groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
         drawn = met.join(first, "region", "left").withColumn("pivot", F.col("large") & ((F.col("sid") == F.col("_first")) | (self.chance(7) < PIVOTS)))
-        drawn = drawn.withColumn("probe", ~F.col("large") | F.col("pivot") | (self.chance(8) < PROBES * F.log2("m")))
+        drawn = drawn.withColumn("probe", ~F.col("large") | F.col("pivot") | (self.chance(8) < PROBES))
         to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"), F.col("n").alias("pn"))
         fits = F.col("exact") | (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
         stars = drawn.select("region", "sid", "n", "m", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))").filter(fits)
@@ -323,8 +336,13 @@ class _Join:
         large = drawn.filter("large")
         if not large.limit(1).count():
             return links
-        cells = self.cells(large, stars.filter("exact"), near)
-        return links.union(self.linked(self.overlaps(self.across(cells, components(links)))))
+        cells, limit = self.described(self.cells(large, stars.filter("exact"), near)), CANDIDATES
+        while True:
+            found = kept(self.across(cells, components(links), limit))
+            links = kept(links.union(self.linked(self.overlaps(found.drop("more")))))
+            if not found.filter("more").limit(1).count():
+                return links
+            limit *= WIDER
 
     @staticmethod
     def chance(seed: int) -> Column:
@@ -354,24 +372,30 @@ class _Join:
         slack = 1e-9  # a window may be too wide, never too narrow
         return kept(inside.filter((F.col("p") == F.col("home")) | (F.col("d") <= F.col("reach") + self.radius + slack)).select("region", F.col("p").alias("cell"), "sid", (F.col("p") == F.col("home")).alias("native")))
 
-    def across(self, cells: DataFrame, labels: DataFrame) -> DataFrame:
+    def described(self, cells: DataFrame) -> DataFrame:
+        """Adds n and vector."""
+        about = self.nodes.join(self.reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector")
+        return kept(cells.join(about.join(cells.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "sid"))
+
+    def across(self, cells: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
         """Pairs of different components in a cell that pass both bounds: every one with a document outside its largest component.
 
-        Documents of one component need no comparison. Both sides of a cell are cut into blocks of about ``BLOCK`` documents,
-        and each pair of blocks is one small group, so neither a hot cell nor its pairs ever stand in one place.
+        A document outside has at most ``limit`` pairs in a block; ``more`` is set where some are left out, so that the caller
+        goes on. Documents of one component need no comparison. Both sides of a cell are cut into blocks of about
+        ``BLOCK`` documents, and each pair of blocks is one small group, so neither a hot cell nor its pairs ever stand in one place.
         """
         key = ["region", "cell"]
-        known = self.labelled(cells, labels, key)
-        about = self.nodes.join(self.reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector")
-        known = kept(known.join(about.join(known.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "sid"))
+        known = kept(self.labelled(cells, labels, key))
         outer = F.sum((F.col("label") != F.col("main")).cast("long"))
         blocks = known.groupBy(*key).agg(F.ceil(outer / BLOCK).alias("bo"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("bm"))
         rows = known.join(blocks, key)
         own, cols = F.xxhash64("sid", F.lit(9)), ["sid", "label", "main", "native", "n", "vector"]
         outside = rows.filter("label <> main").select(*key, F.pmod(own, "bo").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bm") - 1)).alias("i"), F.lit(True).alias("outer"), *cols)
         inside = rows.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("o"), F.pmod(own, "bm").alias("i"), F.lit(False).alias("outer"), *cols)
-        found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent), "a long, b long")
-        return found.distinct().select("a", "b", F.lit(False).alias("exact"), F.col("a").alias("region"), F.col("b").alias("own"))
+        found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent, limit), "x long, y long, lx long, ly long, more boolean")
+        once = found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("more").alias("more"), F.min(F.struct("x", "y", "lx", "ly")).alias("_r"))
+        la, lb = (F.when(F.col("_r.x") == F.col(end), F.col("_r.lx")).otherwise(F.col("_r.ly")) for end in ("a", "b"))
+        return once.select("a", "b", F.lit(False).alias("exact"), F.col("_r.x").alias("region"), F.col("_r.y").alias("own"), la.alias("la"), lb.alias("lb"), "more")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

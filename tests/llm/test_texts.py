@@ -145,6 +145,25 @@ def test_links_grow_with_the_alike_texts_not_with_their_pairs(spark):
     assert ngram_join.components(links).select("label").distinct().count() == 1
 
 
+def test_pairs_of_a_group_of_near_copies_are_a_few_per_document(spark, monkeypatch):
+    texts, counted, measured = near_copies(random.Random(9), 400, 120, 2), [], ngram_join._Join.measured
+    monkeypatch.setattr(ngram_join._Join, "measured", lambda self, pairs: counted.append(pairs.select("a", "b").distinct().count()) or measured(self, pairs))
+    join = ngram_join._Join(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), 4, 85)
+    assert ngram_join.components(join.links()).select("label").distinct().count() == 1
+    assert 0 < sum(counted) < 16 * join.reps.count()
+
+
+def test_candidates_wait_for_further_rounds_but_none_is_lost(spark, monkeypatch):
+    for name, value in (("LEAF", 3), ("PIVOTS", 1), ("PROBES", 0), ("CANDIDATES", 1), ("WIDER", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
+    limits, across = [], ngram_join._Join.across
+    monkeypatch.setattr(ngram_join._Join, "across", lambda self, cells, labels, limit: limits.append(limit) or across(self, cells, labels, limit))
+    every = [(i, t, "en", "s") for i, t in enumerate(near_copies(random.Random(12), 80, 90, 9))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, every), 4, 85).collect()}
+    assert got == brute_components(every, 4, 85)
+    assert limits[:2] == [1, 64]
+
+
 def test_texts_are_sent_in_fewer_bytes_than_their_shingles(spark):
     text = prose(random.Random(6), "en", 1000)
     join = ngram_join._Join(frame(spark, [(1, text, "en", "s"), (1, text, "en", "s"), (2, text + " more", "en", "s"), (3, "other", "en", "s")]), 4, 85)
