@@ -55,6 +55,8 @@ WIDER = 16  # times as many in each further round
 BLOCK = 2048
 SHIP = 64  # documents of a block of measured pairs, besides those that all of them meet
 TEXTS = 8  # unpacked at once
+SLICE = 1 << 19  # bytes of text cut into shingles at once; their arrays take some fifteen times as many
+SEEN = 1 << 16  # sets of a task that are sent once
 BITMAP_BITS = 24
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
@@ -83,7 +85,7 @@ def _nodes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "sid", "guard", "n", "vector", "counts"]
         counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             sets = shingle_sets(batch.column("text"), size)
             ids = [set_id(s) for s in sets]
             counts += np.bincount((np.concatenate(sets) >> _U(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
@@ -110,9 +112,11 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _prefixes(size: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = order.value
-        for batch in slices(batches):
-            seen, tokens, sids, sizes = set(), [], [], []
+        counts, seen = order.value, set()
+        for batch in slices(batches, limit=SLICE):
+            tokens, sids, sizes = [], [], []
+            if len(seen) > SEEN:  # only saves rows, which are summed up later
+                seen.clear()
             for s in shingle_sets(batch.column("text"), size):
                 if len(s) == 0:
                     continue
@@ -136,7 +140,7 @@ def _packed_texts(bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             spot = ((batch.column("key").to_numpy().view(np.uint64) ^ _U(1 << 63)) >> _U(64 - BITMAP_BITS)).astype(np.int64)
             own = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7) & 1).astype(bool)))
             blobs = [pack(text.as_buffer().to_pybytes()) for text in own.column("text")]

@@ -7,7 +7,9 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +166,19 @@ def test_candidates_wait_for_further_rounds_but_none_is_lost(spark, monkeypatch)
     assert limits[:2] == [1, 64]
 
 
+def test_shingles_of_a_batch_take_little_memory_at_once():
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(range(400), pa.int64()), pa.array([f"{i} {text}" for i in range(400)])], ["doc_id", "key", "text"])
+    order = SimpleNamespace(value=np.zeros(1 << ngram_join.ORDER_BITS, np.int64))
+    for run in (ngram_join._nodes(4), ngram_join._prefixes(4, 85, order)):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16 << 20
+
+
 def test_texts_are_sent_in_fewer_bytes_than_their_shingles(spark):
     text = prose(random.Random(6), "en", 1000)
     join = ngram_join._Join(frame(spark, [(1, text, "en", "s"), (1, text, "en", "s"), (2, text + " more", "en", "s"), (3, "other", "en", "s")]), 4, 85)
