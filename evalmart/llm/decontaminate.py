@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, kept, mixed, slices, text_of
+from evalmart.llm.common import checked_broadcast, kept, kept_in_light_batches, mixed, slices, text_of
 from evalmart.llm.quality import row_key
 
 WINDOW = 8
@@ -44,6 +44,7 @@ PASSAGE = 50  # words of an item that suffice, however long the item is
 CONSISTENT = 0.75
 BITMAP_BITS = 22
 MEMO_WORDS = 100_000
+SLICE = 1 << 19  # bytes of text cut into windows at once; their arrays take some thirty times as many
 # Unit names and signs.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent degree degrees °c °f k w kw kwh v volt volts a hz khz mhz ghz b kb mb gb tb $ € £ usd eur gbp dollar dollars euro euros cent cents mph kmh".split())
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
@@ -132,7 +133,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     ``_rich``: the place has a template window; ``_plain``: the row is one.
     """
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         kind, value, slot, named, offsets = template(batch.column("text"))
         heads = offsets[:-1][np.diff(offsets) > 0]
         named[heads[kind[heads] == UNIT]] = 3
@@ -175,11 +176,11 @@ def _windows(sizes: list[int], bitmap: bytes):
     bits = np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             _, value, slot, named, offsets = template(batch.column("text"))
             readings = [(np.where(s > 0, PLACEHOLDERS[s], value), value, _sums(s == 0), other, other is None) for s, other in ((slot, None), (named, _sums(slot != named)))]
             readings.append((value ^ EXACT, value, None, None, False))
-            rows, places, found, held, plain = [], [], [], [], []
+            rows, places, found, held, lengths, plain = [], [], [], [], [], []
             for size in sizes:
                 start = np.arange(max(len(value) - size + 1, 0))
                 owner = np.searchsorted(offsets, start, "right") - 1
@@ -196,11 +197,12 @@ def _windows(sizes: list[int], bitmap: bytes):
                     places.append(start[ok])
                     found.append(hashes[ok])
                     plain.append(np.full(int(ok.sum()), is_plain))
-                    held += [values[a : a + size].view(np.int64).tolist() for a in start[ok].tolist()]
-            owner, start, hashes, plain = map(np.concatenate, (rows, places, found, plain))
-            take = pa.array(owner)
+                    held.append(values[start[ok][:, None] + np.arange(size)].ravel())
+                    lengths.append(np.full(int(ok.sum()), size))
+            owner, start, hashes, held, lengths, plain = map(np.concatenate, (rows, places, found, held, lengths, plain))
+            take, lists = pa.array(owner), pa.ListArray.from_arrays(pa.array(_sums(lengths), pa.int32()), pa.array(held.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("_key").take(take), pa.array(start - offsets[owner]), pa.array(hashes.view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(plain)],
+                [batch.column("doc_id").take(take), batch.column("_key").take(take), pa.array(start - offsets[owner]), pa.array(hashes.view(np.int64)), lists, pa.array(plain)],
                 ["doc_id", "_key", "_at", "_hash", "_values", "_plain"],
             )
         _memo().clear()
@@ -211,7 +213,7 @@ def _windows(sizes: list[int], bitmap: bytes):
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, changed_slots, _key: documents that hold an item or a re-parameterised form of it."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
-    known = kept(own.mapInArrow(_item_windows, "item_id long, _at long, _hash long, _values array<long>, _tokens long, _plain boolean, _rich boolean"))
+    known = kept_in_light_batches(own.mapInArrow(_item_windows, "item_id long, _at long, _hash long, _values array<long>, _tokens long, _plain boolean, _rich boolean"))
     spot = F.shiftrightunsigned("_hash", 64 - BITMAP_BITS)
     # A bitmap of 2^22 bits in 128 pieces, whatever the benchmark's size.
     pieces = known.select(F.bitmap_bucket_number(spot + 1).alias("b"), F.bitmap_bit_position(spot + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
@@ -226,7 +228,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     joined = seen.join(bench, F.col("_hash") == F.col("_h"))
     # Plain templates count by themselves and with all other forms: values that only the other forms show can add windows, never take any away.
     forms = F.explode(F.when(F.col("_plain") & F.col("_item_plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("_form")
-    met = kept(joined.select("doc_id", "_key", "item_id", "_item_at", "_rich", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_values", "_item_values", forms))
+    met = kept_in_light_batches(joined.select("doc_id", "_key", "item_id", "_item_at", "_rich", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_values", "_item_values", forms))
     who = ["doc_id", "_key", "item_id"]
     run = [*who, "_diagonal", "_form"]
     pairs = met.select(*run, F.explode(F.arrays_zip("_item_values", "_values")).alias("v")).filter("v._item_values <> 0")

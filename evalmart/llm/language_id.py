@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, kept, slices, text_of
+from evalmart.llm.common import checked_broadcast, kept, kept_in_light_batches, slices, text_of
 from evalmart.llm.quality import row_key
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -157,7 +157,7 @@ def identify_documents(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES)
     ).withColumn("domain", F.lit("")).withColumn("suffix", F.lit(""))
     keep = ["doc_id", "_key", "declared", "host", "domain", "suffix"]
     scored = rows.mapInArrow(_scored(train(docs, languages), None, keep), "doc_id long, _key long, declared string, host string, domain string, suffix string, likelihood array<double>")
-    fused = fuse(kept(scored), languages)
+    fused = fuse(kept_in_light_batches(scored), languages)
     claimed = F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("declared")).cast("int"), F.lit(0))
     excluded = (claimed > 0) & (F.try_element_at("posterior", claimed) < FOREIGN)
     return fused.withColumn("keep", (F.col("confidence") >= SURE) & ~F.coalesce(excluded, F.lit(False))).select("doc_id", "declared", "text_lang", "lang", "confidence", "keep", "_key")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, hashed, kept, pack, slices, text_of, unpack, windows, words
+from evalmart.llm.common import checked_broadcast, hashed, kept, kept_in_light_batches, pack, slices, text_of, unpack, windows, words
 from evalmart.llm.components import components
 from evalmart.llm.quality import row_key
 
@@ -241,7 +241,7 @@ class _Join:
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"))
         keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"), row_key().alias("key"))
         self.keyed = keyed
-        first = kept(keyed.mapInArrow(_nodes(size), "doc_id long, key long, sid long, guard long, n long, vector binary, counts binary"))
+        first = kept_in_light_batches(keyed.mapInArrow(_nodes(size), "doc_id long, key long, sid long, guard long, n long, vector binary, counts binary"))
         self.nodes = first.filter("counts IS NULL").select("doc_id", "key", "sid", "guard", "n", "vector")
         self.counts = first.filter("counts IS NOT NULL").select("counts")
         same = self.nodes.groupBy("sid").agg(F.min("guard").alias("g"), F.max("guard").alias("h"), F.min(F.struct("doc_id", "key")).alias("_r"), F.max("n").alias("n"))
@@ -258,7 +258,7 @@ class _Join:
         # Dealt by region once: the bounds of a region and its rows come from one shuffle, which they share as both read all columns.
         rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long, n long").repartition("region")
         live = rows.groupBy("region").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("_n")).filter("lo <> hi AND _n > 0").select("region")
-        met = kept(rows.join(live, "region").groupBy("region", "sid").agg(F.max("n").alias("n")))
+        met = kept_in_light_batches(rows.join(live, "region").groupBy("region", "sid").agg(F.max("n").alias("n")))
         mark = F.xxhash64("sid")
         signs = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
         once = signs.groupBy("m", "x", "s").agg(F.min("region").alias("region")).select("region", "m")

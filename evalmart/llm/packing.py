@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmart.llm import spans
-from evalmart.llm.common import kept, slices, text_of
+from evalmart.llm.common import give_back, kept_in_light_batches, slices, text_of
 
 SEQUENCE = 2048
 CLOSING_ID = 1
+SLICE = 1 << 20  # bytes of text whose spans are numbered at once; their arrays take some thirty times as many
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _local long"
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -99,7 +100,7 @@ def _pieces(path: str, ranks_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, ids = TaskContext.get().partitionId(), spans.shared_ids(path, ranks_path)
         seen = np.zeros(size + 1, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             distinct, codes, offsets = spans.spans(batch.column("text"))
             starts, sizes = ids.lookup(distinct)
             counts = sizes[codes]
@@ -126,6 +127,8 @@ def _pieces(path: str, ranks_path: str, size: int):
                 [names.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([partition] * len(rows), pa.int32()), pa.array(local)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_local"],
             )
+        ids.clear()  # the worker goes on to other stages
+        give_back()
 
     return run
 
@@ -161,7 +164,7 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
     The pieces are written to a table, because their ranks must not change between the histogram and the placement.
     """
-    pieces = kept(token_pieces(docs, size=size))
+    pieces = kept_in_light_batches(token_pieces(docs, size=size))
     per_task = pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

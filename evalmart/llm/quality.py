@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, chunk_id, kept, pack, slices, text_of, unpack
+from evalmart.llm.common import checked_broadcast, chunk_id, kept, kept_in_light_batches, pack, slices, text_of, unpack
 
 ORDER = 4
 START = 0xFFFF
@@ -231,7 +231,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     ids = checked_broadcast(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_in", F.lit(True)), 16)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"), row_key().alias("_key"))
     rows = rows.join(ids, "doc_id", "left").withColumn("_in", F.coalesce("_in", F.lit(False))).withColumn("_trusted", F.col("_in") & held_out())
-    counts = kept(rows.filter(F.col("_in") & ~held_out()).select("text").mapInArrow(_trusted_counts, "gram long, shard int, n long").groupBy("gram", "shard").agg(F.sum("n").alias("n")))
+    counts = kept_in_light_batches(rows.filter(F.col("_in") & ~held_out()).select("text").mapInArrow(_trusted_counts, "gram long, shard int, n long").groupBy("gram", "shard").agg(F.sum("n").alias("n")))
     third = counts.groupBy(F.col("gram").bitwiseAND((1 << 48) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     second = third.groupBy(F.col("gram").bitwiseAND((1 << 32) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     first = second.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
@@ -266,7 +266,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, lea
 
     Scores are kept as light rows: the thresholds need all of them before the first decision.
     """
-    scored = kept(scores(docs, trusted))
+    scored = kept_in_light_batches(scores(docs, trusted))
     limits = thresholds(scored, quantile, least)
     own = limits.filter(~F.col("_all")).select(F.col("lang").alias("_lang"), F.col("_limit").alias("_own"))
     overall = (limits.filter("_all").select("_limit").first() or [None])[0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 
 from evalmart.llm import decontaminate, fingerprints, html_extract, language_id, licenses, ngram_join, quality
-from evalmart.llm.common import hashed, words
+from evalmart.llm.common import BATCH_SETTING, hashed, kept, kept_in_light_batches, words
 from tests.llm.conftest import frame, prose
 
 
@@ -270,6 +270,27 @@ def test_a_text_is_read_the_same_whatever_stands_before_it():
     assert alone[2].tolist() == after[2][3:].tolist() == [0, 0, 0]
 
 
+def test_windows_of_a_batch_take_little_memory_at_once():
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(range(400), pa.int64()), pa.array([f"{i} {text}" for i in range(400)])], ["doc_id", "_key", "text"])
+    tracemalloc.start()
+    for _ in decontaminate._windows([decontaminate.WINDOW], bytes(1 << (decontaminate.BITMAP_BITS - 3)))(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+
+
+def test_texts_go_to_workers_in_light_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows, before = spark.range(4000).selectExpr("id", "repeat('x', 3000) AS text").coalesce(1), spark.conf.get(BATCH_SETTING)
+    assert [max(r.n for r in how(rows.mapInArrow(sizes, "n long")).collect()) for how in (kept, kept_in_light_batches)] == [4000, 1393]
+    assert spark.conf.get(BATCH_SETTING) == before
+
+
 # --- quality ---
 
 def brute_model(texts: list[str]):
