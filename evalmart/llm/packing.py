@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmart.llm import spans
-from evalmart.llm.common import give_back, kept_in_light_batches, slices, text_of
+from evalmart.llm.common import SLICE_BYTES, give_back, kept_in_light_batches, slices, text_of
 
 SEQUENCE = 2048
 CLOSING_ID = 1
-SLICE = 1 << 20  # bytes of text whose spans are numbered at once; their arrays take some thirty times as many
+FRUGAL_SLICE = 1 << 20  # bytes of text whose spans are numbered at once; their arrays take some thirty times as many
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _local long"
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -96,11 +96,11 @@ def best_fit_plan(histogram: dict[int, int], size: int = SEQUENCE) -> np.ndarray
     return np.array(plan, np.int64).reshape(-1, 5)
 
 
-def _pieces(path: str, ranks_path: str, size: int):
+def _pieces(path: str, ranks_path: str, size: int, frugal: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, ids = TaskContext.get().partitionId(), spans.shared_ids(path, ranks_path)
         seen = np.zeros(size + 1, np.int64)
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches, limit=FRUGAL_SLICE if frugal else SLICE_BYTES):
             distinct, codes, offsets = spans.spans(batch.column("text"))
             starts, sizes = ids.lookup(distinct)
             counts = sizes[codes]
@@ -127,8 +127,9 @@ def _pieces(path: str, ranks_path: str, size: int):
                 [names.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([partition] * len(rows), pa.int32()), pa.array(local)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_local"],
             )
-        ids.clear()  # the worker goes on to other stages
-        give_back()
+        if frugal:
+            ids.clear()
+            give_back()
 
     return run
 
@@ -152,19 +153,20 @@ def _place(plan: np.ndarray, shift: int):
     return run
 
 
-def token_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, size: int = SEQUENCE) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, size: int = SEQUENCE, frugal: bool = False) -> DataFrame:
     """Pieces of at most ``size`` ids of every document with their place among the equally long pieces of their task."""
     path = vocabulary or spans.vocabulary_path(f"{spans.VOCABULARY}.json")
     ranks_path = ranks or spans.vocabulary_path(f"{spans.VOCABULARY}.tiktoken")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_pieces(path, ranks_path, size), _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_pieces(path, ranks_path, size, frugal), _PIECES)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, frugal: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset per piece.
 
+    ``frugal``: smaller slices, and no ids stay in a worker after a task, which costs time; for jobs whose workers serve other stages too.
     The pieces are written to a table, because their ranks must not change between the histogram and the placement.
     """
-    pieces = kept_in_light_batches(token_pieces(docs, size=size))
+    pieces = kept_in_light_batches(token_pieces(docs, size=size, frugal=frugal))
     per_task = pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

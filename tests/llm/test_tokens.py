@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,17 @@ def test_packing(spark, docs, rows, tokenizer, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_frugal_packing_gives_the_same_pieces_and_keeps_no_ids(monkeypatch):
+    texts = [f"alpha beta gamma delta number {i} of many" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(packing, "FRUGAL_SLICE", 2000)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    paths = [spans.vocabulary_path(f"{spans.VOCABULARY}.{kind}") for kind in ("json", "tiktoken")]
+    whole, cut = ([b.to_pylist() for b in packing._pieces(*paths, 16, frugal)(iter([batch]))] for frugal in (False, True))
+    assert len(cut) > len(whole) == 1 and [row for b in cut for row in b] == whole[0]
+    assert not spans.shared_ids(*paths).at
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_best_fit_decreasing(seed):
     rng, size = random.Random(seed), 50
