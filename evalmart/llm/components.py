@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import kept
-
+from evalmart.llm.common import forget, kept
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,12 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of a chain's length. Sums per id are combined before the shuffle, so hubs are no hot groups.
     """
     both = kept(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")))
+    last = kept(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")))
     while True:
+        labels = last.select("id", "label")
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
         better = labels.join(near, "id").select("id", "label", F.least("label", "_near").alias("_new"))
         of_label = labels.select(F.col("id").alias("_new"), F.col("label").alias("_jump"))
         step = kept(better.join(of_label, "_new", "left").select("id", F.least("_new", "_jump").alias("label"), (F.least("_new", "_jump") < F.col("label")).alias("_moved")))
-        labels = step.select("id", "label")
+        forget(last)
+        last = step
         if not step.filter("_moved").limit(1).count():
-            return labels
+            forget(both)
+            return step.select("id", "label")
