@@ -5,20 +5,21 @@
 2. Two sets within the radius share one of their rarest shingles (prefix filter under the order of bucket counts). These
    rare shingles are the outer regions: inside one, distances to pivots tell something, while across the corpus nearly all
    distances are 1.
-3. A small region joins directly. In a larger one a few pivots are drawn, all exact distances to them are taken, and each
-   document falls to its nearest pivot: its Voronoi cell. A few further documents are probed for links only. Links found so
+3. A small region joins directly. In a larger one a few pivots are drawn, exact distances to them are taken up to twice the
+   radius (what the bounds below put farther is not sent), and each document that links with a pivot falls to the nearest
+   one: its Voronoi cell. All others are one more cell. A few further documents are probed for links only. Links found so
    far are contracted, which leaves few documents outside the largest component.
 4. By the triangle inequality a document can link into a cell only if its distance to the cell's pivot is at most the
-   cell's radius plus the join radius; documents within that window are replicated there. In a cell only pairs of
+   cell's radius plus the join radius, so at most twice the radius; documents within that window are replicated there. In a cell only pairs of
    different components are left to compare: every document outside the cell's largest component with all of the cell, in
    blocks. A document outside first meets a few of its candidates that pass the bounds, and more in further rounds while
    their components stay apart, until none is left: alike texts cost a few pairs a document, not pairs of all. There is one
-   level of cells only, they are not divided again: in a large region of many different texts cells grow with the region and
-   the comparisons with their square.
+   level of cells only, they are not divided again: in a large region of many different texts the last cell grows with the
+   region and its comparisons with the square; they are made on bucketed counts.
 5. Components over all links name each document's group.
 
 Candidate pairs pass two exact bounds before any set is shipped: sizes, as soon as the documents of a region meet, and the L1
-distance of bucketed shingle counts, which never exceeds the symmetric difference. Texts are shipped compressed and cut into
+distance of bucketed shingle counts, which never exceeds the symmetric difference; long sets have more buckets. Texts are shipped compressed and cut into
 shingles again where they meet. No pair is left out but those whose documents other links of their block already connect, so
 the components equal brute force and links grow with documents, not with pairs.
 
@@ -39,14 +40,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmart.llm.common import checked_broadcast, hashed, kept, kept_in_light_batches, pack, slices, text_of, unpack, windows, words
+from evalmart.llm.common import checked_broadcast, forget, hashed, kept, kept_in_light_batches, pack, slices, text_of, unpack, windows, words
 from evalmart.llm.components import components
 from evalmart.llm.quality import row_key
 
 SHINGLE = 4
 PERCENT = 85
 ORDER_BITS = 18
-VECTOR = 256
+VECTOR = 256  # buckets of the counts of a short text; a longer one has one for four shingles at least
+PER_BUCKET = 4
 LEAF = 16
 PIVOTS = 3
 PROBES = 4
@@ -58,6 +60,7 @@ TEXTS = 8  # unpacked at once
 SLICE = 1 << 19  # bytes of text cut into shingles at once; their arrays take some fifteen times as many
 SEEN = 1 << 16  # sets of a task that are sent once
 BITMAP_BITS = 24
+REST = 0  # cell of the documents that link with no pivot
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -79,6 +82,49 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 1) - (1 << 63)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles counted in a power of two of buckets, one byte each.
+
+    The number grows with the set, or the bound would say nothing of long texts: with ``PER_BUCKET`` in a bucket two unrelated sets of one
+    size can have little over half of their union in common. Counts are only cut at 255 where they are never summed up.
+    """
+    buckets = max(VECTOR, 1 << (max(1, len(shingles) // PER_BUCKET) - 1).bit_length())
+    counts = np.bincount((shingles & _U(buckets - 1)).astype(np.int64), minlength=buckets)
+    if buckets > VECTOR and counts.max() > 255:
+        counts = counts.reshape(-1, VECTOR).sum(axis=0)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+class Sketches:
+    """L1 distances of sketches, over as many buckets as the smaller of two has; never above the symmetric difference."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.raw, self.sizes, self.folded = blobs, np.array([len(b) for b in blobs], np.int64), {}
+
+    def rows(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of at least so many buckets, folded to them, and the place of each."""
+        if buckets not in self.folded:
+            own = np.flatnonzero(self.sizes >= buckets)
+            place, out = np.full(len(self.raw), -1), np.empty((len(own), buckets), np.uint8)
+            place[own] = np.arange(len(own))
+            for at, i in enumerate(own.tolist()):
+                own_counts = np.frombuffer(self.raw[i], np.uint8)
+                out[at] = own_counts if len(own_counts) == buckets else np.minimum(own_counts.reshape(-1, buckets).sum(axis=0), 255)
+            self.folded[buckets] = place, out
+        return self.folded[buckets]
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least, out = np.minimum(self.sizes[x], self.sizes[y]), np.empty(len(x), np.int64)
+        for buckets in np.unique(least).tolist():
+            place, counts = self.rows(buckets)
+            every, step = np.flatnonzero(least == buckets), max(1, BLOCK * VECTOR // buckets)
+            for low in range(0, len(every), step):
+                own = every[low : low + step]
+                a, b = counts[place[x[own]]], counts[place[y[own]]]
+                out[own] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _nodes(size: int):
     """A row per document, and one row per task with its bucket counts."""
 
@@ -89,7 +135,7 @@ def _nodes(size: int):
             sets = shingle_sets(batch.column("text"), size)
             ids = [set_id(s) for s in sets]
             counts += np.bincount((np.concatenate(sets) >> _U(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
-            vectors = [np.minimum(np.bincount((s & _U(VECTOR - 1)).astype(np.int64), minlength=VECTOR), 255).astype(np.uint8).tobytes() for s in sets]
+            vectors = [sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array([i for i, _ in ids], pa.int64()), pa.array([g for _, g in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(vectors, pa.binary()), pa.nulls(len(sets), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.nulls(1, pa.binary()), pa.array([pack(counts)], pa.binary())], names)
@@ -149,21 +195,27 @@ def _packed_texts(bitmap):
     return run
 
 
+def near_percent(percent: int) -> int:
+    """Share of common shingles of two sets within twice the radius, up to which distances to pivots are taken."""
+    return max(0, 2 * percent - 100)
+
+
 def _bounded(percent: int):
-    """Keeps a block's pairs whose bucketed counts allow enough overlap, or which are exact."""
+    """Keeps a block's pairs whose bucketed counts allow enough overlap; for exact ones enough to lie within twice the radius."""
 
     def run(block: pa.Table) -> pa.Table:
         is_pair = pc.is_valid(block.column("a"))
         pairs, known = block.filter(is_pair), block.filter(pc.invert(is_pair))
         sid, n = known.column("sid").to_numpy(), known.column("n").to_numpy()
-        vectors = np.frombuffer(b"".join(known.column("vector").to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
+        sketches = Sketches(known.column("vector").to_pylist())
         order = np.argsort(sid)
         a, b = (order[np.searchsorted(sid, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
-        ok = pairs.column("exact").to_numpy(zero_copy_only=False).astype(bool)
+        least = np.where(pairs.column("exact").to_numpy(zero_copy_only=False).astype(bool), near_percent(percent), percent)
+        ok = np.zeros(len(a), bool)
         for at in range(0, len(a), BLOCK):
             x, y = a[at : at + BLOCK], b[at : at + BLOCK]
-            most = (n[x] + n[y] - np.abs(vectors[x] - vectors[y]).sum(axis=1, dtype=np.int64)) // 2
-            ok[at : at + BLOCK] |= 100 * most >= percent * (n[x] + n[y] - most)
+            most = (n[x] + n[y] - sketches.distances(x, y)) // 2
+            ok[at : at + BLOCK] = 100 * most >= least[at : at + BLOCK] * (n[x] + n[y] - most)
         return pairs.select(["a", "b", "exact", "m", "region", "own"]).filter(pa.array(ok))
 
     return run
@@ -176,12 +228,12 @@ def _block_pairs(percent: int, limit: int):
         outer = group.column("outer").to_numpy()
         sid, label, main, n = (group.column(c).to_numpy() for c in ("sid", "label", "main", "n"))
         native = group.column("native").to_numpy()
-        vectors = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
+        sketches = Sketches(group.column("vector").to_pylist())
         inner, xs, ys, more = np.flatnonzero(~outer), [], [], []
         for x in np.flatnonzero(outer):
             y = inner[(label[inner] != label[x]) & (native[x] | native[inner]) & ((label[inner] == main[x]) | (sid[x] < sid[inner]))]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            most = (n[y] + n[x] - np.abs(vectors[y] - vectors[x]).sum(axis=1, dtype=np.int64)) // 2
+            most = (n[y] + n[x] - sketches.distances(np.full(len(y), x), y)) // 2
             y = y[100 * most >= percent * (n[y] + n[x] - most)]
             few = y[:limit]
             xs.append(np.full(len(few), x))
@@ -252,23 +304,24 @@ class _Join:
     def members(self) -> DataFrame:
         """region, sid, n, m, large: documents by rare shingle, where at least two different sets meet; equal regions once."""
         order = np.zeros(1 << ORDER_BITS, np.int64)
-        sums = self.counts.mapInArrow(_spread, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most 2^ORDER_BITS rows
-        order[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
+        sums = kept(self.counts.mapInArrow(_spread, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")))
+        known = sums.toArrow()  # at most 2^ORDER_BITS rows
+        order[known.column("bucket").to_numpy()] = known.column("c").to_numpy()
         shared = self.spark.sparkContext.broadcast(order)
-        # Dealt by region once: the bounds of a region and its rows come from one shuffle, which they share as both read all columns.
-        rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long, n long").repartition("region")
-        live = rows.groupBy("region").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("_n")).filter("lo <> hi AND _n > 0").select("region")
-        met = kept_in_light_batches(rows.join(live, "region").groupBy("region", "sid").agg(F.max("n").alias("n")))
+        # Dealt by region once: the signs of a region and its rows come from one shuffle, which they share as both read all columns, none of them null.
+        # Of its rows only those of one region among equals are written: alike texts share nearly all of their rare shingles.
+        rows = self.rows.mapInArrow(_prefixes(self.size, self.percent, shared), "region long, sid long, n long").filter("region IS NOT NULL").repartition("region")
+        met = rows.groupBy("region", "sid").agg(F.max("n").alias("n"))
         mark = F.xxhash64("sid")
-        signs = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
-        once = signs.groupBy("m", "x", "s").agg(F.min("region").alias("region")).select("region", "m")
-        marked = met.join(once, "region")
-        large = marked.filter(F.col("m") > LEAF)
+        signs = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"), F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"), F.max("n").alias("_n"))
+        once = signs.filter("m > 1 AND _n > 0").groupBy("m", "x", "s").agg(F.min("region").alias("region"), F.min("_first").alias("_first")).select("region", "m", "_first")
+        marked = kept_in_light_batches(rows.join(once, "region").groupBy("region", "sid", "m", "_first").agg(F.max("n").alias("n")))
         # Large regions overlap; those with the same first pivot become one, so that no pair is met once per shingle.
-        first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid", F.lit(7))).alias("_first"))
-        merged = large.join(first, "region").select(F.xxhash64("_first").alias("region"), "sid", "n").distinct()
+        merged = marked.filter(F.col("m") > LEAF).select(F.xxhash64("_first").alias("region"), "sid", "n").distinct()
         sizes = merged.groupBy("region").agg(F.count(F.lit(1)).alias("m"))
-        return kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "n", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
+        out = kept(marked.filter(F.col("m") <= LEAF).select("region", "sid", "n", "m", F.lit(False).alias("large")).unionByName(merged.join(sizes, "region").withColumn("large", F.lit(True))))
+        forget(sums, marked)
+        return out
 
     def placed(self, pairs: DataFrame) -> DataFrame:
         """Adds ``block`` to distinct pairs (a < b, region, own).
@@ -277,22 +330,27 @@ class _Join:
         of a small region, or one document. Whatever pairs need is thus sent once per block, not once per pair.
         """
         spans = kept(pairs.select("region", "own").distinct().groupBy("region").agg(F.ceil(F.count(F.lit(1)) / SHIP).alias("_n")))
-        return kept(pairs.join(spans, "region").withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("own", F.lit(11)), "_n"))).drop("_n"))
+        out = kept(pairs.join(spans, "region").withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("own", F.lit(11)), "_n"))).drop("_n"))
+        forget(spans)
+        return out
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """Overlaps of pairs (a < b, exact, m, region, own) that pass the bound of bucketed counts or are exact.
+        """Overlaps of pairs (a < b, exact, m, region, own) that pass the bound of bucketed counts, for exact ones that of twice the radius.
 
         A pair that meets in several regions counts in the one of most documents ``m``, where most of its neighbours meet too.
         """
-        once = pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.max(F.struct("m", "region", "own")).alias("_r"))
-        placed = self.placed(kept(once.select("a", "b", "exact", "_r.m", "_r.region", "_r.own")))
+        best = pairs.groupBy("a", "b").agg(F.max("exact").alias("exact"), F.max(F.struct("m", "region", "own")).alias("_r"))
+        once = kept(best.select("a", "b", "exact", "_r.m", "_r.region", "_r.own"))
+        placed = self.placed(once)
         wanted = kept(placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct())
         ends = wanted.select("sid").distinct()
-        about = self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"])
+        about = self.about(ends)
         none = F.lit(None).cast("long")
         sent = about.join(wanted, "sid").select("block", *(none.alias(c) for c in ("a", "b", "m", "region", "own")), F.lit(None).cast("boolean").alias("exact"), "sid", "n", "vector")
         full = sent.unionByName(placed.withColumns({"sid": none, "n": none, "vector": F.lit(None).cast("binary")}))
-        return self.overlaps(full.groupBy("block").applyInArrow(_bounded(self.percent), "a long, b long, exact boolean, m long, region long, own long"))
+        out = self.overlaps(full.groupBy("block").applyInArrow(_bounded(self.percent), "a long, b long, exact boolean, m long, region long, own long"))
+        forget(once, placed, wanted)
+        return out
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """a, b, common, either, joins of distinct pairs (a < b, exact, region, own), counted in blocks.
@@ -304,13 +362,16 @@ class _Join:
         ends = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
         needed = kept(self.reps.join(ends, "sid").select("sid", "rep", "key"))
         texts = self.keyed.mapInArrow(_packed_texts(self.spark.sparkContext.broadcast(self.bitmap(needed, "key"))), "rep long, key long, packed binary")
-        placed = self.placed(left).select("block", "a", "b", "exact", "la", "lb")
+        dealt = self.placed(left)
+        placed = dealt.select("block", "a", "b", "exact", "la", "lb")
         none = F.lit(None).cast("long")
         # A set is read from its first row; repeated rows are dropped where they are, a text is shuffled once before its blocks.
         wanted = placed.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct().join(needed, "sid")
         sent = texts.dropDuplicates(["rep", "key"]).join(wanted, ["rep", "key"]).select("block", *(none.alias(c) for c in ("a", "b", "la", "lb")), F.lit(None).cast("boolean").alias("exact"), "sid", "packed")
         full = sent.unionByName(placed.withColumn("sid", none).withColumn("packed", F.lit(None).cast("binary")))
-        return kept(full.groupBy("block").applyInArrow(_overlaps(self.size, self.percent), "a long, b long, common long, either long, joins boolean"))
+        out = kept(full.groupBy("block").applyInArrow(_overlaps(self.size, self.percent), "a long, b long, common long, either long, joins boolean"))
+        forget(left, needed, dealt)
+        return out
 
     def bitmap(self, rows: DataFrame, column: str) -> bytes:
         """2^BITMAP_BITS bits in pieces of 4 KB, whatever the number of values."""
@@ -332,19 +393,27 @@ class _Join:
         drawn = met.join(first, "region", "left").withColumn("pivot", F.col("large") & ((F.col("sid") == F.col("_first")) | (self.chance(7) < PIVOTS)))
         drawn = drawn.withColumn("probe", ~F.col("large") | F.col("pivot") | (self.chance(8) < PROBES))
         to = drawn.filter("probe").select("region", F.col("sid").alias("p"), F.col("pivot").alias("exact"), F.col("n").alias("pn"))
-        fits = F.col("exact") | (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
+        fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * F.when(F.col("exact"), near_percent(self.percent)).otherwise(self.percent)
         stars = drawn.select("region", "sid", "n", "m", "pivot", "probe").join(to, "region").filter("sid <> p AND (sid < p OR NOT probe OR (exact AND NOT pivot))").filter(fits)
         stars = kept(stars.select("region", "sid", "p", "m", "exact", F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
         near = self.measured(stars.select("a", "b", "exact", "m", "region", F.col("sid").alias("own")))
-        links = self.linked(near)
         large = drawn.filter("large")
         if not large.limit(1).count():
-            return links
-        cells, limit = self.described(self.cells(large, stars.filter("exact"), near)), CANDIDATES
+            forget(met, stars)
+            return self.linked(near)
+        found = self.cells(large, stars.filter("exact"), near)
+        cells, limit, links = self.described(found), CANDIDATES, kept(self.linked(near))
+        forget(met, stars, near, found)
         while True:
-            found = kept(self.across(cells, components(links), limit))
-            links = kept(links.union(self.linked(self.overlaps(found.drop("more")))))
-            if not found.filter("more").limit(1).count():
+            found, known = self.across(cells, components(links), limit)
+            more = self.overlaps(found.drop("more"))
+            every = kept(links.union(self.linked(more)))
+            forget(links, known, more)
+            links = every
+            left = found.filter("more").limit(1).count()
+            forget(found)
+            if not left:
+                forget(cells)
                 return links
             limit *= WIDER
 
@@ -362,27 +431,40 @@ class _Join:
         return known.join(main, key)
 
     def cells(self, drawn: DataFrame, stars: DataFrame, near: DataFrame) -> DataFrame:
-        """region, cell (pivot), sid, native: each document in its own cell and in those whose window it reaches."""
+        """region, cell (pivot, or ``REST``), sid, native: each document in its own cell and in those whose window it reaches.
+
+        A document's own cell is that of the nearest pivot it links with, so a cell reaches one radius at most, its window two: distances beyond
+        were not taken. Documents that link with no pivot are the cell ``REST``, which all but pivots can link into.
+        """
+        joins = F.col("common") * 100 >= F.col("either") * self.percent
         distance = 1 - F.col("common") / F.col("either")
-        far = stars.join(near, ["a", "b"]).select("region", "a", "b", "sid", "p", distance.alias("d"))
+        far = stars.join(near, ["a", "b"]).select("region", "a", "b", "sid", "p", distance.alias("d"), joins.alias("joins"))
         pivots = drawn.filter("pivot").select("region", "sid")
         both = pivots.select("region", F.col("sid").alias("_other"))
-        swapped = far.join(both, (far["region"] == both["region"]) & (far["sid"] == both["_other"]), "left_semi").select("region", F.col("p").alias("sid"), F.col("sid").alias("p"), "d")
-        own = pivots.select("region", "sid", F.col("sid").alias("p"), F.lit(0.0).alias("d"))
-        table = kept(far.select("region", "sid", "p", "d").unionByName(swapped).unionByName(own))
-        home = table.groupBy("region", "sid").agg(F.min(F.struct("d", "p")).alias("h")).select("region", "sid", F.col("h.p").alias("home"), F.col("h.d").alias("_d"))
+        swapped = far.join(both, (far["region"] == both["region"]) & (far["sid"] == both["_other"]), "left_semi").select("region", F.col("p").alias("sid"), F.col("sid").alias("p"), "d", "joins")
+        own = pivots.select("region", "sid", F.col("sid").alias("p"), F.lit(0.0).alias("d"), F.lit(True).alias("joins"))
+        table = kept(far.select("region", "sid", "p", "d", "joins").unionByName(swapped).unionByName(own))
+        home = kept(table.filter("joins").groupBy("region", "sid").agg(F.min(F.struct("d", "p")).alias("h")).select("region", "sid", F.col("h.p").alias("home"), F.col("h.d").alias("_d")))
         reach = home.groupBy("region", "home").agg(F.max("_d").alias("reach")).withColumnRenamed("home", "p")
-        inside = table.join(home.select("region", "sid", "home"), ["region", "sid"]).join(reach, ["region", "p"])
+        inside = table.join(home.select("region", "sid", "home"), ["region", "sid"], "left").join(reach, ["region", "p"])
         slack = 1e-9  # a window may be too wide, never too narrow
-        return kept(inside.filter((F.col("p") == F.col("home")) | (F.col("d") <= F.col("reach") + self.radius + slack)).select("region", F.col("p").alias("cell"), "sid", (F.col("p") == F.col("home")).alias("native")))
+        native = F.col("p").eqNullSafe(F.col("home"))
+        windows = inside.filter(native | (F.col("d") <= F.col("reach") + self.radius + slack)).select("region", F.col("p").alias("cell"), "sid", native.alias("native"))
+        rest = drawn.filter("NOT pivot").select("region", "sid").join(home.select("region", "sid", "home"), ["region", "sid"], "left")
+        out = kept(windows.unionByName(rest.select("region", F.lit(REST).cast("long").alias("cell"), "sid", F.col("home").isNull().alias("native"))))
+        forget(table, home)
+        return out
+
+    def about(self, ends: DataFrame) -> DataFrame:
+        """sid, n, vector of distinct sids; no other document is shuffled twice."""
+        return self.nodes.join(self.reps.join(ends, "sid").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector").dropDuplicates(["sid"])
 
     def described(self, cells: DataFrame) -> DataFrame:
         """Adds n and vector."""
-        about = self.nodes.join(self.reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "vector")
-        return kept(cells.join(about.join(cells.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "sid"))
+        return kept(cells.join(self.about(cells.select("sid").distinct()), "sid"))
 
-    def across(self, cells: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-        """Pairs of different components in a cell that pass both bounds: every one with a document outside its largest component.
+    def across(self, cells: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of different components in a cell that pass both bounds: every one with a document outside its largest component; and the table of members.
 
         A document outside has at most ``limit`` pairs in a block; ``more`` is set where some are left out, so that the caller
         goes on. Documents of one component need no comparison. Both sides of a cell are cut into blocks of about
@@ -399,7 +481,7 @@ class _Join:
         found = outside.unionByName(inside).groupBy(*key, "o", "i").applyInArrow(_block_pairs(self.percent, limit), "x long, y long, lx long, ly long, more boolean")
         once = found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("more").alias("more"), F.min(F.struct("x", "y", "lx", "ly")).alias("_r"))
         la, lb = (F.when(F.col("_r.x") == F.col(end), F.col("_r.lx")).otherwise(F.col("_r.ly")) for end in ("a", "b"))
-        return once.select("a", "b", F.lit(False).alias("exact"), F.col("_r.x").alias("region"), F.col("_r.y").alias("own"), la.alias("la"), lb.alias("lb"), "more")
+        return kept(once.select("a", "b", F.lit(False).alias("exact"), F.col("_r.x").alias("region"), F.col("_r.y").alias("own"), la.alias("la"), lb.alias("lb"), "more")), known
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

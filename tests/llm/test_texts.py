@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -188,6 +189,59 @@ def test_texts_are_sent_in_fewer_bytes_than_their_shingles(spark):
     assert join.linked(join.overlaps(join.links().selectExpr("a", "b", "false AS exact", "1L AS region", "a AS own"))).count() == 1
 
 
+def test_unrelated_texts_of_one_region_are_not_sent(spark, monkeypatch):
+    rng, sent, overlaps = random.Random(31), [], ngram_join._Join.overlaps
+    phrase = prose(rng, "en", 6)
+    rows = [(i, f"{phrase} {prose(rng, 'en', 4000 if i % 4 == 0 else 60)}", "en", "s") for i in range(60)]
+    rows += [(100 + i, t, "en", "s") for i, t in enumerate(near_copies(rng, 40, 90, 4))]
+    monkeypatch.setattr(ngram_join._Join, "overlaps", lambda self, pairs: sent.extend((r.a, r.b) for r in pairs.select("a", "b").collect()) or overlaps(self, pairs))
+    monkeypatch.setattr(ngram_join, "prefix_size", lambda n, percent: n)  # all shingles: the phrase is a region of all the first texts
+    docs = frame(spark, rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+    ids = {r.sid: r.rep for r in ngram_join._Join(docs, 4, 85).reps.collect()}
+    assert not [(a, b) for a, b in sent if ids[a] < 100 and ids[b] < 100]
+
+
+def test_sketches_never_exceed_the_symmetric_difference():
+    rng = np.random.default_rng(3)
+    every = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    crowded = np.arange(6000, dtype=np.uint64) << np.uint64(13)  # all in one bucket
+    sets = [every[:3], every[:900], every[600:1500], every[:4000], every[1000:5100], every[:9000], crowded, np.concatenate([crowded[:4000], every[:100]]), every[:0]]
+    sketches = ngram_join.Sketches([ngram_join.sketch(s) for s in sets])
+    assert sorted(set(sketches.sizes.tolist())) == [256, 1024, 2048, 4096]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = len(np.setxor1d(a, b))
+            assert sketches.distances(np.array([i]), np.array([j]))[0] <= apart
+    x, y = rng.integers(0, 1 << 63, (2, 8000)).astype(np.uint64)
+    far = ngram_join.Sketches([ngram_join.sketch(x), ngram_join.sketch(y)]).distances(np.array([0]), np.array([1]))[0]
+    most = (16000 - far) // 2
+    assert 100 * most < ngram_join.near_percent(80) * (16000 - most)
+
+
+def test_shuffle_files_and_tables_of_a_join_go_when_they_are_read(spark, monkeypatch):
+    paths, kept = [], ngram_join.kept
+    monkeypatch.setattr(ngram_join, "kept", lambda df: paths.append((out := kept(df)).kept_at) or out)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    ngram_join.jaccard_components(frame(spark, [(i, t, "en", "s") for i, t in enumerate(near_copies(random.Random(8), 80, 90, 4))]), 4, 85).count()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+    left = [p for p in paths if os.path.exists(p.removeprefix("file://").removeprefix("file:"))]
+    assert len(paths) > 12 and len(left) <= 3  # sets, links and labels
+
+    def shuffled() -> int:
+        tracker = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+        return sum(1 for f in tracker.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f)
+
+    files = shuffled()
+    table = kept(spark.range(5000).repartition(7))
+    for _ in range(50):
+        if shuffled() <= files:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= files and table.count() == 5000
+
+
 def test_null_and_repeated_ids_keep_their_own_texts(spark, no_docs):
     rng = random.Random(21)
     a, b, c, d, e, f = (prose(rng, "en", 40) for _ in range(6))
