@@ -402,14 +402,14 @@ class _Join:
             forget(met, stars)
             return self.linked(near)
         found = self.cells(large, stars.filter("exact"), near)
-        cells, limit, links = self.described(found), CANDIDATES, kept(self.linked(near))
-        forget(met, stars, near, found)
+        cells, limit, links, source = self.described(found), CANDIDATES, self.linked(near), near
+        forget(met, stars, found)
         while True:
             found, known = self.across(cells, components(links), limit)
             more = self.overlaps(found.drop("more"))
             every = kept(links.union(self.linked(more)))
-            forget(links, known, more)
-            links = every
+            forget(source, known, more)
+            links = source = every
             left = found.filter("more").limit(1).count()
             forget(found)
             if not left:
